@@ -96,11 +96,13 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     flat = base.select("row", "doc_id", "n", "ws", F.concat(F.array(F.lit(None).cast("bigint")), hashes).alias("hs"))
     for b in range(blocks):
         own = shingles.where(block == b)
-        counts = flat.select(F.explode("hs").alias("h")).join(F.broadcast(own.select("h").distinct()), "h").groupBy("h").agg(F.count("*").alias("df"))
+        # the outer forms: the others' inferred filter on the array would be pushed below the words and
+        # cut them again for every shingle
+        counts = flat.select(F.explode_outer("hs").alias("h")).join(F.broadcast(own.select("h").distinct()), "h").groupBy("h").agg(F.count("*").alias("df"))
         ranked = own.join(F.broadcast(counts), "h", "left").groupBy("wid").agg(
             F.first("ws").alias("w"), F.first("n").alias("len"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("h"), F.col("off"))).alias("p"))
         prefix = materialize(ranked.where("p.df > 0").select("wid", "w", "len", F.col("p.h").alias("h"), F.col("p.off").alias("off")), "prefix")
-        probe = flat.select("row", "doc_id", "n", "ws", F.posexplode("hs").alias("at", "h"))
+        probe = flat.select("row", "doc_id", "n", "ws", F.posexplode_outer("hs").alias("at", "h"))
         place = F.col("at") - 1 - F.col("off")
         case = F.lit(0)
         for k, s in starts.items():
