@@ -71,7 +71,7 @@ def _keys(ws: Column, n: Column, lengths: set[int]) -> Column:
 
 
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Rows (row, doc_id, n_words, wid, start, len): one header row without wid for each document
+    """Rows (row, doc_id, text_hash, n_words, wid, start, len): one header row without wid for each document
     row, and one for each place where a window occurs (start from 0); and (wid, item_id)."""
     wins, members = item_windows(items, window)
     wins = materialize(wins.withColumn("n", F.size("ws")), "distinct-windows")
@@ -81,7 +81,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     blocks = max(1, math.ceil(wins.count() / MAX_WINDOWS))
     block = F.pmod(F.xxhash64("wid"), F.lit(blocks))
 
-    base = docs.select("doc_id", words(F.col("text")).alias("ws")).withColumn("n", F.size("ws")).withColumn("row", F.monotonically_increasing_id())
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("ws")).withColumn("n", F.size("ws")).withColumn("row", F.monotonically_increasing_id())
     parts = _keys(F.col("ws"), F.col("n"), lengths)
     hashes = F.array().cast("array<bigint>") if not parts else parts[0] if len(parts) == 1 else F.flatten(F.array(*parts))
     #: Where each kind of digest begins in the flattened array.
@@ -90,10 +90,10 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
         if (k == SHINGLE and any(x >= SHINGLE for x in lengths)) or (k < SHINGLE and k in lengths):
             starts[k] = at
             at = at + F.greatest(F.col("n") - k + 1, F.lit(0))
-    found, headers = [], base.select("row", "doc_id", F.col("n").cast("long").alias("n_words"), F.lit(None).cast("string").alias("wid"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len"))
+    found, headers = [], base.select("row", "doc_id", "text_hash", F.col("n").cast("long").alias("n_words"), F.lit(None).cast("string").alias("wid"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len"))
     if not lengths:
         return headers, members
-    flat = base.select("row", "doc_id", "n", "ws", F.concat(F.array(F.lit(None).cast("bigint")), hashes).alias("hs"))
+    flat = base.select("row", "doc_id", "text_hash", "n", "ws", F.concat(F.array(F.lit(None).cast("bigint")), hashes).alias("hs"))
     for b in range(blocks):
         own = shingles.where(block == b)
         # the outer forms: the others' inferred filter on the array would be pushed below the words and
@@ -102,7 +102,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
         ranked = own.join(F.broadcast(counts), "h", "left").groupBy("wid").agg(
             F.first("ws").alias("w"), F.first("n").alias("len"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("h"), F.col("off"))).alias("p"))
         prefix = materialize(ranked.where("p.df > 0").select("wid", "w", "len", F.col("p.h").alias("h"), F.col("p.off").alias("off")), "prefix")
-        probe = flat.select("row", "doc_id", "n", "ws", F.posexplode_outer("hs").alias("at", "h"))
+        probe = flat.select("row", "doc_id", "text_hash", "n", "ws", F.posexplode_outer("hs").alias("at", "h"))
         place = F.col("at") - 1 - F.col("off")
         case = F.lit(0)
         for k, s in starts.items():
@@ -113,20 +113,28 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
         inside = (F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n"))
         same = F.when(inside, F.slice("ws", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len")) == F.col("w")).otherwise(F.lit(False))
         hit = hit.where((F.col("at") == 0) | same)
-        found.append(hit.select("row", "doc_id", F.col("n").cast("long").alias("n_words"), "wid", F.when(F.col("wid").isNotNull(), F.col("start")).alias("start"), "len"))
+        found.append(hit.select("row", "doc_id", "text_hash", F.col("n").cast("long").alias("n_words"), "wid", F.when(F.col("wid").isNotNull(), F.col("start")).alias("start"), "len"))
     return reduce(DataFrame.unionByName, found), members
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and item_ids of every row."""
+    """doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated and item_ids of every
+    row."""
     seen, members = occurrences(docs, items, window)
     per_window = members.groupBy("wid").agg(F.collect_set("item_id").alias("ids"))
     spans = F.array_sort(F.collect_set(F.when(F.col("wid").isNotNull(), F.struct("start", "len"))))
     wids = F.collect_set("wid")
-    rows = materialize(seen.groupBy("row", "doc_id", "n_words").agg(spans.alias("spans"), wids.alias("wids")), "hits")
+    rows = materialize(seen.groupBy("row", "doc_id", "text_hash", "n_words").agg(spans.alias("spans"), wids.alias("wids")), "hits")
     step = lambda acc, s: F.struct((acc["n"] + F.greatest(s["start"] + s["len"] - F.greatest(s["start"], acc["end"]), F.lit(0))).alias("n"), F.greatest(acc["end"], s["start"] + s["len"]).alias("end"))
     n_hit = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"].cast("long"))
     named = rows.select("row", F.explode("wids").alias("wid")).join(per_window, "wid").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids"))
-    out = rows.select("row", "doc_id", "n_words", n_hit.alias("n_hit")).join(named, "row", "left")
+    out = rows.select("row", "doc_id", "text_hash", "n_words", n_hit.alias("n_hit")).join(named, "row", "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), ids.alias("item_ids"))
+    return out.select("doc_id", "text_hash", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), ids.alias("item_ids"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in whose text no window of any item occurs."""
+    hit = contamination(docs, items, window).where("contaminated").select(F.struct("doc_id", "text_hash").alias("__key")).distinct()
+    rows = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    return rows.join(hit.withColumnRenamed("__key", "__hit"), F.col("__key").eqNullSafe(F.col("__hit")), "left_anti").drop("__key")

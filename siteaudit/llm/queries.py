@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteaudit.llm import bench_join, extraction, langid, packing, resampling, sharding, simhash, url_filter, vector_search
+from siteaudit.llm import bench_join, bwt_dedup, extraction, langid, packing, resampling, sharding, simhash, url_filter, vector_search
 from siteaudit.llm.common import table
 
 
@@ -25,13 +25,17 @@ def op3_digest_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bench_join.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
+    return bench_join.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids", "text_hash")
 
 
 def op5_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op6_merged_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.removal(table(spark, sf_dir, "documents"))
+
+
 def op7_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return vector_search.search(rows, rows.where(F.col("vec_id") % 20 == 0))
@@ -51,5 +55,5 @@ def op10_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_crf_language, op2_bounded_ring, op3_digest_array, op4_prefix_join, op5_sum_of_squares, op7_additive_quantisation, op8_simhash_bktree, op9_importance_resampling, op10_block_rules)
+    for f in (op1_crf_language, op2_bounded_ring, op3_digest_array, op4_prefix_join, op5_sum_of_squares, op6_merged_bwt, op7_additive_quantisation, op8_simhash_bktree, op9_importance_resampling, op10_block_rules)
 }
