@@ -29,17 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteaudit.llm.common import materialize
-
 LENGTH = 50
 GRAM = 16
 #: Windows that share a minimizer stand this close at most.
 SPREAD = LENGTH - GRAM + 1
 GROUP_BYTES = 8 << 20
 SHARD_BYTES = 1 << 17
+#: Buckets of segments for each document group: what a bucket's merge holds is this much less.
+BUCKETS_A_GROUP = 4
 _CHUNK = 1 << 16
 _KEY_BITS = 48
 
@@ -272,8 +274,11 @@ def substring_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     total = docs.agg(F.sum(size)).first()[0] or 0
     groups = max(1, math.ceil(total / group_bytes))
+    buckets = groups * BUCKETS_A_GROUP
     key = F.coalesce(F.xxhash64(F.col("doc_id").cast("long")), F.lit(0)) + F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
     columns = [F.pmod(key, F.lit(groups)).cast("int").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")]
+    if carry:
+        columns.append(F.struct(F.when(F.col("text").isNull(), F.lit(True)).alias("null"), *[F.col(c) for c in docs.columns if c != "text"]).alias("row"))
     rows = docs.select(*columns)
     shift = np.uint64(64 - _KEY_BITS)
 
@@ -336,26 +341,32 @@ def substring_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool
         least = np.full(len(known), np.iinfo(np.int64).max)
         np.minimum.at(least, number, doc)
         dest = np.empty(len(known), np.int64)
-        dest[number] = (keys % np.uint64(groups)).astype(np.int64)
+        dest[number] = (keys % np.uint64(buckets)).astype(np.int64)
         texts = list(known)
         order = np.argsort(dest, kind="stable")
-        cuts = np.searchsorted(dest[order], np.arange(groups + 1))
+        cuts = np.searchsorted(dest[order], np.arange(buckets + 1))
         cols: list[list] = [[], [], [], [], [], [], []]
         for d in np.flatnonzero(np.diff(cuts)).tolist():
             own = order[cuts[d] : cuts[d + 1]]
             mine = [texts[i] for i in own.tolist()]
-            for c, x in zip(cols, (0, d, grp, own.astype("<i4").tobytes(), b"".join(mine), np.fromiter(map(len, mine), "<i2", len(mine)).tobytes(), least[own].tobytes()), strict=True):
+            for c, x in zip(cols, (0, d, grp, own.astype("<i4").tobytes(), _squeeze(b"".join(mine)), np.fromiter(map(len, mine), "<i2", len(mine)).tobytes(), least[own].tobytes()), strict=True):
                 c.append(x)
-        for c, x in zip(cols, (1, grp, grp, number.astype("<i4").tobytes(), first.astype("<i8").tobytes(), b"", b""), strict=True):
+        for c, x in zip(cols, (1, grp, grp, _squeeze(number.astype("<i4").tobytes()), _squeeze(np.diff(first, prepend=0).astype("<i4").tobytes()), b"", b""), strict=True):
             c.append(x)
         return _table(_PART, cols)
 
     def merge(batch: pa.Table) -> pa.Table:
         """Each document group's windows that also start in a document of smaller id than the
-        group's smallest: runs (number, first window, last window + 1, that smallest id)."""
+        group's smallest: runs (number, first window, last window + 1, that smallest id). What kind 1 says
+        goes on to its group untouched."""
+        onward = batch.filter(pc.equal(batch.column("kind"), 1))
+        batch = batch.filter(pc.equal(batch.column("kind"), 0))
+        if not batch.num_rows:
+            return onward
         known: dict[bytes, int] = {}
         where, least = [], []
         for texts, sizes, docs_ in zip(*(batch.column(c).to_pylist() for c in ("texts", "sizes", "docs")), strict=True):
+            texts = _loosen(texts)
             ends = np.cumsum(np.frombuffer(sizes, "<i2").astype(np.int64)).tolist()
             where.append(np.fromiter((known.setdefault(texts[a:b], len(known)) for a, b in zip([0, *ends], ends, strict=False)), np.int64, len(ends)))
             least.append(np.frombuffer(docs_, np.int64))
@@ -381,7 +392,7 @@ def substring_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool
             a, b, s = run[r] - begins[text[r]], stop[r] - begins[text[r]], source[run[r]]
             for c, x in zip(cols, (2, grp, grp, mine.astype("<i4").tobytes(), a.astype(np.uint8).tobytes(), b.astype(np.uint8).tobytes(), s.tobytes()), strict=True):
                 c.append(x)
-        return _table(_PART, cols)
+        return pa.concat_tables([onward.select(list(_PART)).cast(pa.schema(list(_PART.items()))), _table(_PART, cols)])
 
     def remove(batch: pa.Table, mail: pa.Table) -> pa.Table:
         ids, texts, order_in = _texts(batch)
@@ -392,8 +403,8 @@ def substring_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool
         if 1 in kinds:
             # texts without an id count as empty where the places were noted; they come last
             i = kinds.index(1)
-            number = np.frombuffer(mail.column("numbers")[i].as_py(), "<i4")
-            first = np.frombuffer(mail.column("texts")[i].as_py(), "<i8")
+            number = np.frombuffer(_loosen(mail.column("numbers")[i].as_py()), "<i4")
+            first = np.cumsum(np.frombuffer(_loosen(mail.column("texts")[i].as_py()), "<i4"), dtype=np.int64)
             doc = np.array([x if x is not None else -1 for x in ids])[np.searchsorted(ends, first, "right")]
             runs = [tuple(mail.column(c)[j].as_py() for c in ("numbers", "texts", "sizes", "docs")) for j, k in enumerate(kinds) if k == 2]
             if runs:
@@ -427,16 +438,23 @@ def substring_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool
 
     notes = rows.groupBy("grp").applyInArrow(note, _ddl(_NOTE))
     mail = notes.groupBy("dest").applyInArrow(count, _ddl(_MAIL))
-    parts = materialize(rows.groupBy("grp").cogroup(mail.groupBy("grp")).applyInArrow(collect, _ddl(_PART)), "segments")
-    runs = parts.where("kind = 0").groupBy("dest").applyInArrow(merge, _ddl(_PART))
-    answers = parts.where("kind = 1").unionByName(runs)
+    # one plan, so that the texts are dealt to their groups once: all three passes read that exchange
+    parts = rows.groupBy("grp").cogroup(mail.groupBy("grp")).applyInArrow(collect, _ddl(_PART))
+    answers = parts.groupBy("dest").applyInArrow(merge, _ddl(_PART))
     shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     if carry:
-        rows = docs.select(*columns, F.struct(F.when(F.col("text").isNull(), F.lit(True)).alias("null"), *[F.col(c) for c in docs.columns if c != "text"]).alias("row"))
         shape += ", row " + rows.schema["row"].dataType.simpleString()
     return rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(remove, shape)
 
 
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _loosen(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _six(keys: np.ndarray) -> bytes:
     return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
