@@ -28,6 +28,8 @@ from siteaudit.llm.common import materialize
 BUCKETS = 10_000
 SHARE = 0.5
 SEED = 42
+#: So many labelled ids are broadcast at most (about 130 MB); more are joined by shuffling.
+MAX_BROADCAST = 4_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -103,10 +105,13 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def mark_targets(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text``, ``doc_id`` and ``target`` of all rows of ``docs``."""
+    """``text`` and ``target`` of all rows of ``docs``. Up to ``MAX_BROADCAST`` good ids, counted
+    first, go to the texts; beyond that the texts are shuffled once to meet them."""
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")) == 1).alias("__good"))
+    good = materialize(good.where("__good"), "targets")
+    good = F.broadcast(good) if good.count() <= MAX_BROADCAST else good
     rows = docs.select("doc_id", "text").join(good, "doc_id", "left")
-    return rows.select("doc_id", "text", F.coalesce("__good", F.lit(False)).alias("target"))
+    return rows.select("text", F.coalesce("__good", F.lit(False)).alias("target"))
 
 
 def cut_value(keys: DataFrame, k: int, digits: int = 12) -> tuple[int, int]:
