@@ -34,6 +34,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteaudit.llm.common import tidy, trim
+
 LENGTH = 50
 GRAM = 16
 #: Windows that share a minimizer stand this close at most.
@@ -436,15 +438,35 @@ def substring_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool
             columns, names = [*columns, batch.column("row").take(pa.array(order_in, pa.int64()))], [*names, "row"]
         return pa.table(columns, names=names)
 
-    notes = rows.groupBy("grp").applyInArrow(note, _ddl(_NOTE))
-    mail = notes.groupBy("dest").applyInArrow(count, _ddl(_MAIL))
+    notes = rows.groupBy("grp").applyInArrow(_alone(note), _ddl(_NOTE))
+    mail = notes.groupBy("dest").applyInArrow(_alone(count), _ddl(_MAIL))
     # one plan, so that the texts are dealt to their groups once: all three passes read that exchange
-    parts = rows.groupBy("grp").cogroup(mail.groupBy("grp")).applyInArrow(collect, _ddl(_PART))
-    answers = parts.groupBy("dest").applyInArrow(merge, _ddl(_PART))
+    parts = rows.groupBy("grp").cogroup(mail.groupBy("grp")).applyInArrow(_with_mail(collect), _ddl(_PART))
+    answers = parts.groupBy("dest").applyInArrow(_alone(merge), _ddl(_PART))
     shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     if carry:
         shape += ", row " + rows.schema["row"].dataType.simpleString()
-    return rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(remove, shape)
+    return rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_with_mail(remove), shape)
+
+
+def _alone(step):
+    """A step on one table of a group that leaves its worker trimmed."""
+
+    def run(batch: pa.Table) -> pa.Table:
+        out = step(batch)
+        trim()
+        return out
+
+    return run
+
+
+def _with_mail(step):
+    def run(batch: pa.Table, mail: pa.Table) -> pa.Table:
+        out = step(batch, mail)
+        trim()
+        return out
+
+    return run
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -480,6 +502,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             texts = [None if n else k.decode("utf-8", "ignore") for k, n in zip(b.column(0).to_pylist(), b.column(1).field("null").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(1)], ["text", "row"])
 
-    out = found.select("kept", "row").mapInArrow(decode, "text string, row " + found.schema["row"].dataType.simpleString())
+    out = found.select("kept", "row").mapInArrow(tidy(decode), "text string, row " + found.schema["row"].dataType.simpleString())
     text = F.col("text")
     return out.select(*[text if c == "text" else F.coalesce(F.length(text), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +38,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def utf8_size(col):
     return F.coalesce(F.octet_length(col), F.lit(0)).cast("long")
+
+
+def trim() -> None:
+    """Give memory that is free back to the system. Spark keeps Python workers for later tasks, and
+    what a large batch has left in one would add to what the executor needs then."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that trims its worker when a task is over."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return tidied

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteaudit.llm.common import tidy
+
 UNKNOWN = "und"
 DOCS = 300
 SPANS = 30
@@ -149,8 +151,8 @@ def train(spans: list[tuple[str, list[str]]], seed: int = 11) -> Model:
     listed = [{w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]} for c in counts]
     lexicon = {w: i for i, w in enumerate(sorted(set().union(*listed)))}
     model = Model(langs, lexicon, np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros((k, k)))
-    model.memberships = np.array([[w in own for own in listed] for w in lexicon], float).reshape(-1, k)
-    if k < 1:
+    model.memberships = np.array([[w in own for own in listed] for w in lexicon], float).reshape(len(lexicon), k)
+    if not k:
         return model
     rng = np.random.default_rng(seed)
     vocabulary = {w: i for i, w in enumerate(sorted(set().union(*counts)))}
@@ -260,7 +262,7 @@ def marginal_sums(table: np.ndarray, move: np.ndarray, ids: list[np.ndarray]) ->
 
 
 #: Words whose scores a worker keeps; a fuller store is begun anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 
 
 class _Store(dict):
@@ -312,7 +314,7 @@ class Labeller:
         self.learn()
         order = sorted((i for i in range(len(ids)) if len(ids[i])), key=lambda i: -len(ids[i]))
         while order:
-            n = max(1, min(512, 1_000_000 // len(ids[order[0]])))
+            n = max(1, min(512, 400_000 // len(ids[order[0]])))
             own, order = order[:n], order[n:]
             local, small = np.unique(np.concatenate([ids[i] for i in own]), return_inverse=True)
             sizes = [len(ids[i]) for i in own]
@@ -340,7 +342,7 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, shares map<string,double>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double, shares map<string,double>")
 
 
 def drop_unknown(docs: DataFrame, model: Model | None = None, min_score: float = MIN_SCORE) -> DataFrame:
@@ -360,4 +362,4 @@ def drop_unknown(docs: DataFrame, model: Model | None = None, min_score: float =
                 share = labeller.shares(part.column(at).to_pylist())
                 yield part.filter(pa.array(share.max(1) >= min_score))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

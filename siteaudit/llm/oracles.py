@@ -1,5 +1,35 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express. The others need a learned model, a tokenizer, a
+seeded XXH64 or a byte-wise digest, which DuckDB does not have; tests hold those against plain
+versions."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from siteaudit.llm.url_filter import RULES
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _rules() -> str:
+    return ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in RULES)
+
+
+_OP3 = f"""WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, coalesce(regexp_extract(rest, '^[^/?#]*'), '') AS host, coalesce(rest, '') AS rest FROM a),
+c AS (SELECT page_id, translate(host, '{_UPPER}', '{_LOWER}') AS host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM b),
+r(verdict, rule, rule_host, rule_path) AS (VALUES {_rules()}),
+m AS (SELECT c.page_id, r.rule, r.verdict, row_number() OVER (PARTITION BY c.page_id ORDER BY length(r.rule) DESC, length(r.rule_host) DESC) AS nth FROM c JOIN r ON (c.host = r.rule_host OR c.host LIKE concat('%.', r.rule_host)) AND starts_with(c.path, r.rule_path))
+SELECT c.page_id, c.host, c.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM c LEFT JOIN m ON m.page_id = c.page_id AND m.nth = 1"""
+
+_WORDS = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP4 = f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce({_WORDS}, []) AS ws FROM documents),
+i AS MATERIALIZED (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL),
+w AS MATERIALIZED (SELECT DISTINCT item_id, n, array_to_string(list_slice(ws, k, k + n - 1), ' ') AS win FROM (SELECT item_id, ws, least(len(ws), 10) AS n, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS k FROM i WHERE len(ws) > 0) x),
+lens AS (SELECT DISTINCT n FROM w),
+p AS MATERIALIZED (SELECT doc_id, n, k, array_to_string(list_slice(ws, k, k + n - 1), ' ') AS win FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, lens WHERE len(ws) >= n) x),
+h AS MATERIALIZED (SELECT p.doc_id, p.k, p.n, w.item_id FROM p JOIN w ON w.n = p.n AND w.win = p.win),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM h) x GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS varchar) AS item FROM h) x GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.ws) AS bigint) AS n_words, coalesce(hit.n_hit, 0) AS n_hit, coalesce(items.n_items, 0) AS n_items, sha256(coalesce(items.listed, '')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+
+ORACLES: dict[str, str] = {"op3_digest_array": _OP3, "op4_prefix_join": _OP4}

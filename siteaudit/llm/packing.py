@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteaudit.llm.common import materialize
+from siteaudit.llm.common import materialize, tidy
 
 CAPACITY = 2048
 GROUP = 65_536
@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, encoder=public_encoder, capacity: int = CAPACITY, en
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, encoder=public_encoder, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

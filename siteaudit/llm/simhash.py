@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteaudit.llm.common import materialize
+from siteaudit.llm.common import materialize, tidy
 
 RADIUS = 3
 SHINGLE = 3
@@ -151,7 +151,7 @@ def with_fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, fp long")
 
 
 def _shards(fp: Column) -> Column:
