@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType, DoubleType, FloatType, IntegerType, LongType
 
@@ -54,22 +54,19 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def simhash(text: Column) -> Column:
-    """64-bit SimHash of the text's three-word shingles, weighted by repeats; NULL for fewer words."""
+def simhashes(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, simhash): the 64-bit SimHash of each text's three-word shingles, weighted by repeats;
+    NULL for fewer words. Keys are unique. The votes are 64 sums over exploded shingles, which run
+    as compiled code and are summed up in part before they are shuffled."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    n = F.size(words)
-    shingle = lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")
-    value = lambda i: F.conv(F.substring(F.sha2(shingle(i), 256), 1, 16), 16, -10).cast("bigint")
-    hashes = F.transform(F.sequence(F.lit(1), n - SHINGLE + 1), value)
-
-    def bit(h: Column, b: int) -> Column:
-        vote = F.aggregate(h, F.lit(0), lambda acc, x: acc + F.shiftrightunsigned(x, b).bitwiseAND(F.lit(1).cast("bigint")).cast("int") * 2 - 1)
-        return F.when(vote > 0, F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
-
-    def votes(h: Column) -> Column:
-        return reduce(lambda a, b: a.bitwiseOR(b), [bit(h, b) for b in range(64)])
-
-    return F.when(n >= SHINGLE, F.element_at(F.transform(F.array(hashes), votes), 1))
+    cut = rows.select(F.col(key), words.alias("ws"))
+    shingles = F.when(F.size("ws") >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size("ws") - SHINGLE + 1), lambda i: F.concat_ws(" ", *[F.element_at("ws", i + k) for k in range(SHINGLE)])))
+    # the outer form: the other's inferred filter would cut the words again for every shingle
+    each = cut.select(key, F.explode_outer(shingles).alias("s")).select(key, F.conv(F.substring(F.sha2("s", 256), 1, 16), 16, -10).cast("bigint").alias("h"))
+    bit = lambda b: F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1).cast("bigint"))
+    voted = each.groupBy(key).agg(F.count("h").alias("n"), *[F.sum(bit(b)).alias(f"b{b}") for b in range(64)])
+    ones = [F.when(F.col(f"b{b}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")) for b in range(64)]
+    return voted.select(key, F.when(F.col("n") > 0, reduce(lambda a, b: a.bitwiseOR(b), ones)).alias("simhash"))
 
 
 def bands(fingerprint: Column) -> Column:

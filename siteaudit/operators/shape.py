@@ -78,5 +78,5 @@ def near_duplicate_pairs(docs: DataFrame, key: str, text: str, threshold: int =
     """(a, c, distance): distinct fingerprints of the texts at most ``threshold`` bits apart."""
     from siteaudit.plans.wide import near_fingerprints
 
-    prints = docs.select(X.simhash(F.col(text)).alias("simhash"))
+    prints = X.simhashes(docs, key, text)
     return near_fingerprints(prints, threshold).where("a < c").select("a", "c", X.hamming(F.col("a"), F.col("c")).alias("distance"))

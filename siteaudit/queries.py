@@ -99,7 +99,7 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.lower(F.hex(X.simhash(F.col("text")))).alias("simhash"))
+    return X.simhashes(docs, "doc_id", "text").select("doc_id", F.lower(F.hex("simhash")).alias("simhash"))
 
 
 def _second(crawl: Crawl) -> Crawl:

@@ -99,7 +99,7 @@ def ingest(spark: SparkSession, pages: DataFrame, seed_url: str) -> Crawl:
     of = lambda kind: edges.where(F.col("kind") == kind)
     page = parsed.join(ids, "url_hash")
     canonical = of("canonical").select(F.col("from_id").alias("id"), F.col("to_id").alias("canonical_id"))
-    facts = page.join(canonical, "id", "left").withColumn("simhash", X.simhash(F.col("visible_text"))).withColumnRenamed("id", "url_id")
+    facts = page.join(canonical, "id", "left").join(X.simhashes(page, "id", "visible_text"), "id", "left").withColumnRenamed("id", "url_id")
     answers = page.select(F.col("id").alias("url_id"), "content_length", "url")
     if extra:
         normal = F.udf(normalise, "string")
