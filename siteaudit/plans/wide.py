@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from siteaudit.functions import expressions as X
 from siteaudit.sources.crawl import Crawl
+from siteaudit.sources.tables import written
 
 
 def _joined_list(c: Column) -> Column:
@@ -112,8 +113,11 @@ COUNTS = ("inlinks", "anchor_empty", "anchor_generic", "distinct_anchors", "img_
 
 
 def wide_view(crawl: Crawl) -> DataFrame:
+    """The view of a crawl. What duplicates, near pages and the view itself start from is written
+    once, so that the two large joins run once."""
     urls, responses, facts = crawl.urls, crawl.responses, crawl.page_facts
     base = urls.join(responses.withColumnRenamed("url_id", "id").drop("body_gz"), "id", "left").join(facts.withColumnRenamed("url_id", "id"), "id", "left")
+    base = written(base, "base")
     # urls known only as the source of an image or resource are not shown
     used = crawl.images.select(F.col("src_url_id").alias("id")).union(crawl.resources.select(F.col("src_url_id").alias("id"))).distinct()
     linked = crawl.links.select(F.col("to_url_id").alias("id")).distinct()
