@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteaudit.llm.common import tidy, trim
+from siteaudit.llm.common import bound_batches, trim
 
 LENGTH = 50
 GRAM = 16
@@ -271,8 +270,9 @@ def _rising(a: np.ndarray) -> np.ndarray:
 
 
 def substring_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256 and, with ``carry``, row (the
-    other columns of ``docs`` and whether the text was null) of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``carry``, text (what is left) and
+    row (the other columns of ``docs`` and whether the text was null) of every row."""
+    bound_batches(docs.sparkSession)
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     total = docs.agg(F.sum(size)).first()[0] or 0
     groups = max(1, math.ceil(total / group_bytes))
@@ -425,17 +425,20 @@ def substring_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool
         covered = np.cumsum(cover)[:-1] > 0
         raw = np.frombuffer(b"".join(texts), np.uint8)
         out: list[list] = [ids, sizes.tolist(), [], [], [], []]
-        for lo, hi in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        nulls = batch.column("row").combine_chunks().field("null").take(pa.array(order_in, pa.int64())).to_pylist() if carry else []
+        for i, (lo, hi) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
             own = covered[lo:hi]
             kept = raw[lo:hi][~own].tobytes()
             out[2].append(int(own.sum()))
             out[3].append(int((own[1:] & ~own[:-1]).sum()) + int(len(own) > 0 and bool(own[0])))
-            out[4].append(kept)
-            out[5].append(hashlib.sha256(kept).hexdigest())
-        columns = [pa.array(out[0], pa.int64()), *(pa.array(c, pa.int64()) for c in out[1:4]), pa.array(out[4], pa.binary()), pa.array(out[5], pa.string())]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
-        if "row" in batch.column_names:
-            columns, names = [*columns, batch.column("row").take(pa.array(order_in, pa.int64()))], [*names, "row"]
+            out[4].append(hashlib.sha256(kept).hexdigest())
+            if carry:
+                out[5].append(None if nulls[i] else kept.decode("utf-8", "ignore"))
+        columns = [pa.array(out[0], pa.int64()), *(pa.array(c, pa.int64()) for c in out[1:4]), pa.array(out[4], pa.string())]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        if carry:
+            columns += [pa.array(out[5], pa.string()), batch.column("row").take(pa.array(order_in, pa.int64()))]
+            names += ["text", "row"]
         return pa.table(columns, names=names)
 
     notes = rows.groupBy("grp").applyInArrow(_alone(note), _ddl(_NOTE))
@@ -443,9 +446,9 @@ def substring_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool
     # one plan, so that the texts are dealt to their groups once: all three passes read that exchange
     parts = rows.groupBy("grp").cogroup(mail.groupBy("grp")).applyInArrow(_with_mail(collect), _ddl(_PART))
     answers = parts.groupBy("dest").applyInArrow(_alone(merge), _ddl(_PART))
-    shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if carry:
-        shape += ", row " + rows.schema["row"].dataType.simpleString()
+        shape += ", text string, row " + rows.schema["row"].dataType.simpleString()
     return rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_with_mail(remove), shape)
 
 
@@ -488,20 +491,14 @@ def _unsix(data: bytes) -> np.ndarray:
 
 
 def removal(docs: DataFrame) -> DataFrame:
-    return substring_spans(docs).drop("kept")
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+    return substring_spans(docs)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, repeated strings taken out of their texts; the columns stay the same,
     ``n_chars`` (if there is one) counts what is left, and a null text stays null. Where a cut
     leaves half a character, that half goes too."""
-    found = substring_spans(docs, carry=True)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [None if n else k.decode("utf-8", "ignore") for k, n in zip(b.column(0).to_pylist(), b.column(1).field("null").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(1)], ["text", "row"])
-
-    out = found.select("kept", "row").mapInArrow(tidy(decode), "text string, row " + found.schema["row"].dataType.simpleString())
     text = F.col("text")
+    out = substring_spans(docs, carry=True)
     return out.select(*[text if c == "text" else F.coalesce(F.length(text), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -32,6 +32,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What goes to a Python worker at a time. The default of Spark is eight times as much, and its
+#: buffers would stay in every executor beside the heap.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have texts go to Python in batches of ``BATCH_BYTES`` at most; a smaller setting stays."""
+    now = spark.conf.get(_BATCH_SETTING, None)
+    digits = "".join(c for c in now or "" if c.isdigit())
+    if not digits or not now.rstrip("bB").isdigit() or not 0 < int(digits) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

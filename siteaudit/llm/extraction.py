@@ -25,6 +25,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siteaudit.llm.common import bound_batches
+
 SHORT = 70
 LONG = 200
 DENSE = 0.30
@@ -216,5 +218,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 texts = [extract(h.as_py()) for h in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    bound_batches(pages.sparkSession)
     kinds = [pages.schema[c].dataType.simpleString() for c in ("page_id", "url")]
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteaudit.llm.common import tidy
+from siteaudit.llm.common import bound_batches, tidy
 
 UNKNOWN = "und"
 DOCS = 300
@@ -198,6 +198,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, per_lang: int = DOCS) -> Model:
     """Fit on the rows that are not held out, ``per_lang`` documents of each language at most."""
+    bound_batches(docs.sparkSession)
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
@@ -325,6 +326,7 @@ class Labeller:
 
 def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and the shares of all languages for every row."""
+    bound_batches(docs.sparkSession)
     model = model or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets and lexicons
 
@@ -348,6 +350,7 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def drop_unknown(docs: DataFrame, model: Model | None = None, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` whose text has a language with a score of ``min_score`` or more; where
     nothing could be learned, all rows."""
+    bound_batches(docs.sparkSession)
     model = model or fit(docs)
     if not model.langs:
         return docs

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteaudit.llm.common import materialize, tidy
+from siteaudit.llm.common import bound_batches, materialize, tidy
 
 CAPACITY = 2048
 GROUP = 65_536
@@ -114,6 +114,7 @@ def pieces(docs: DataFrame, encoder=public_encoder, capacity: int = CAPACITY, en
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     return rows.mapInArrow(tidy(run), f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long")

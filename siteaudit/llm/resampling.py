@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteaudit.llm.common import materialize
+from siteaudit.llm.common import bound_batches, materialize
 
 BUCKETS = 10_000
 SHARE = 0.5
@@ -132,6 +132,7 @@ def cut_value(keys: DataFrame, k: int, digits: int = 12) -> tuple[int, int]:
 def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight, quality (0 to 1: the mean ratio an n-gram, as a probability), gumbel_key
     and selected for every row of ``docs``."""
+    bound_batches(docs.sparkSession)
     marked = mark_targets(docs, labels)
     ratio = log_ratio(*count_models(marked, buckets))
     shared = docs.sparkSession.sparkContext.broadcast(ratio)

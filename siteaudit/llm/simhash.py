@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteaudit.llm.common import materialize, tidy
+from siteaudit.llm.common import bound_batches, materialize, tidy
 
 RADIUS = 3
 SHINGLE = 3
@@ -149,6 +149,7 @@ def with_fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py(), k) for t in b.column(2)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, fp long")
