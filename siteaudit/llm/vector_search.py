@@ -4,9 +4,9 @@ A vector is the sum of one word from each of ``books`` codebooks of full dimensi
 are fitted one after the other to the residuals of a bounded sample (``SAMPLE`` rows of smallest
 hash); encoding keeps the best ``beam`` partial sums at each book. The norm of the decoded vector is
 stored beside the codes. A query makes one table of inner products with all words; a row's score
-is the sum of the entries its codes name (for the L2 measure less half the stored norm). Each
-partition's best rows by that score are then reranked with the original vectors in double
-precision, and the best of all partitions remain.
+is the sum of the entries its codes name (for the L2 measure less half the stored norm). The best
+rows of each slice by that score are then reranked with the original vectors in double precision,
+and the best of all slices remain. Slices have one size, so recall does not fall as rows grow.
 
 Every row is indexed; queries are taken in blocks of ``BLOCK`` so that what is broadcast has a
 fixed bound, and each block is searched against all rows.
@@ -29,10 +29,12 @@ from pyspark.sql.window import Window
 
 from siteaudit.llm.common import materialize
 
-BOOKS = 8
-WORDS = 128
+BOOKS = 16
+WORDS = 256
 BEAM = 4
 SAMPLE = 8192
+#: Rows that compete for one shortlist; of so many, each query reranks ``SHORTLIST``.
+SLICE = 8192
 SHORTLIST = 320
 BLOCK = 4096
 ROUNDS = 8
@@ -153,9 +155,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = SH
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             qid, q = held.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            slices = (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE))
+            for b in slices:
                 codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
                 at, ids, scores = best_of(q, qid, matrix(b.column(1)), b.column(0).to_numpy(), codes, b.column(3).to_numpy(), books.value, k, shortlist)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(qid[at]), pa.array(ids), pa.array(scores)], ["at", "query_id", "vec_id", "score"])

@@ -293,6 +293,20 @@ def test_search_recall_and_order(spark):
     assert hits >= 0.95 * len(got)
 
 
+def test_recall_without_structure():
+    """Vectors of no structure at all are the hardest to quantise."""
+    x = np.random.default_rng(5).normal(size=(vector_search.SLICE, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    books = vector_search.fit(x[:4096])
+    codes, norms = vector_search.encode(x, books)
+    ids = np.arange(len(x))
+    at, found, _ = vector_search.best_of(x[:40], ids[:40], x, ids, codes, norms, books, 20, vector_search.SHORTLIST)
+    score = x[:40] @ x.T
+    score[np.arange(40), np.arange(40)] = -np.inf
+    best = np.argsort(-score, 1)[:, :20]
+    assert sum(len(set(found[at == i].tolist()) & set(best[i].tolist())) for i in range(40)) >= 0.9 * 800
+
+
 def test_search_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (20, [0.0, 2.0]), (40, None), (0, [1.0, 0.0]), (9, [1.0])]
