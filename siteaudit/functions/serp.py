@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 #: Advance widths of a common sans-serif face in thousandths of the font size, from a
 #: space to a tilde.
 _WIDTHS = (
@@ -15,8 +17,6 @@ TITLE_SIZE, DESCRIPTION_SIZE = 20, 14
 def width(text: str | None, size: int) -> int | None:
     """Whole pixels; None for nothing. Letters outside ASCII count as their base letter, else as an
     average one, and wide scripts as a full square."""
-    import unicodedata
-
     if not text:
         return None
     total = 0

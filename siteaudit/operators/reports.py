@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteaudit.functions.expressions import display
-from siteaudit.plans.catalogue import COLUMNS, SEVERITIES, Report, ReportColumn, condition, metric_column, reports
+from siteaudit.plans.catalogue import COLUMNS, SEVERITIES, Report, ReportColumn, compile_sql, condition, metric_column, reports
 
 
 def column(column_id: str) -> ReportColumn | None:
@@ -20,9 +20,7 @@ def select(pv: DataFrame, report: Report, filter_id: str | None = None) -> DataF
     return pv.where(condition(report.base) & condition(report.filter(filter_id).predicate))
 
 
-def _expression(c: ReportColumn):
-    from siteaudit.plans.catalogue import compile_sql
-
+def _expression(c: ReportColumn) -> Column:
     return F.expr(compile_sql(c.expression))
 
 

@@ -49,14 +49,12 @@ def queue_counts(crawl: Crawl) -> DataFrame:
 
 def overview(pv: DataFrame, crawl: Crawl, counted: DataFrame) -> DataFrame:
     """(section, item, value): the crawl, its urls and responses, then the findings that occur."""
-    spark = crawl.spark
     meta = crawl.crawl_meta.where("id = 1").select(F.lit("Crawl").alias("section"), F.explode(F.array(
         F.struct(F.lit("Seed").alias("item"), F.col("seed_url").alias("value")),
         *[F.struct(F.lit(n).alias("item"), F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("value")) for n, c in (("Started", "started_at"), ("Finished", "finished_at"))])).alias("e")).select("section", "e.*")
     totals = summary(pv, crawl).where("metric IN ('totalURLs', 'internalURLs', 'externalURLs')").select(F.lit("URLs").alias("section"), F.col("metric").alias("item"), F.col("value").cast("string").alias("value"))
     codes = status_classes(crawl).select(F.lit("Responses").alias("section"), F.concat(F.col("class").cast("string"), F.lit("xx")).alias("item"), F.col("n").cast("string").alias("value"))
     found = findings(counted).select(F.concat(F.lit("Findings: "), F.col("severity")).alias("section"), F.concat_ws(": ", "report", "filter").alias("item"), F.col("n").cast("string").alias("value"))
-    del spark
     return meta.unionByName(totals).unionByName(codes).unionByName(found)
 
 

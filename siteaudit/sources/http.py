@@ -3,6 +3,7 @@ so that limits of a host hold without talk between tasks."""
 
 from __future__ import annotations
 
+import json
 import socket
 import ssl
 import time
@@ -49,8 +50,6 @@ def request(url: str, method: str, headers: dict[str, str], timeout: float) -> d
 
 
 def answer(url: str, status: int, headers: dict[str, str], body: bytes, method: str, took: int) -> dict:
-    import json
-
     low = {k.lower(): v for k, v in headers.items()}
     kind = low.get("content-type")
     told = low.get("content-length", "")

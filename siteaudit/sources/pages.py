@@ -58,8 +58,7 @@ def read_page(url: str, html: str | None) -> dict | None:
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Parsed rows of (url, html); a url that is none gives no row."""
-    names = [c.strip().split(" ")[0] for c in PARSED.replace(_REFS, "x").split(", ")]
-    names = [f.name for f in pages.sparkSession.createDataFrame([], PARSED).schema.fields] or names
+    names = pages.sparkSession.createDataFrame([], PARSED).columns
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -7,6 +7,7 @@ import re
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 from datetime import date
+from itertools import chain
 from pathlib import Path
 from xml.sax.saxutils import escape
 
@@ -29,9 +30,7 @@ def csv_bytes(headers: Sequence[str], rows: Iterable[Sequence[str | None]], bom:
     """RFC 4180 lines with CRLF; quotes only where they are needed."""
     if bom:
         yield b"\xef\xbb\xbf"
-    for row in (headers, *()):
-        yield (",".join(map(csv_cell, row)) + "\r\n").encode()
-    for row in rows:
+    for row in chain([headers], rows):
         yield (",".join(map(csv_cell, row)) + "\r\n").encode()
 
 
@@ -69,17 +68,12 @@ def _xml(text: str) -> str:
 
 def _sheet(headers: Sequence[str], rows: Iterable[Sequence[str | None]]) -> Iterator[str]:
     yield '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
-    for n, row in enumerate((headers, *rows) if isinstance(rows, (list, tuple)) else _chain(headers, rows), 1):
+    for n, row in enumerate(chain([headers], rows), 1):
         cells = "".join(f'<c r="{column_letters(i)}{n}" t="inlineStr"><is><t xml:space="preserve">{_xml(v)}</t></is></c>' for i, v in enumerate(row) if v is not None)
         yield f'<row r="{n}">{cells}</row>'
     yield "</sheetData></worksheet>"
 
 
-def _chain(first, rest):
-    yield first
-    yield from rest
-
-
 _TYPES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{}</Types>'
 _RELS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
 _REL = '<Relationship Id="rId{}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{}" Target="{}"/>'
