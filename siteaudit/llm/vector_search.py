@@ -90,21 +90,48 @@ def table_scores(queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, book
 
 
 def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int, shortlist: int):
-    """(query position, id, exact score) of the best k rows of each query."""
+    """(query position, id, exact score) of the best k rows of each query. Equal vectors compete
+    as one, so however many copies there are, they take one place of the shortlist; each then
+    stands for its k smallest ids."""
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], np.ascontiguousarray(vectors[order]) + 0.0  # no negative zeros
+    _, first, group = np.unique(vectors.view(np.dtype((np.void, vectors.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+    # groups in order of their smallest ids, which breaks ties of approximate scores
+    place = np.empty(len(first), np.int64)
+    place[np.argsort(first)] = np.arange(len(first))
+    group, first = place[group.ravel()], np.sort(first)
+    members = np.argsort(group, kind="stable")
+    starts = np.searchsorted(group[members], np.arange(len(first) + 1))
+    lowest, highest = ids[first], ids[members[starts[1:] - 1]]
+    vectors, codes, norms = vectors[first], codes[order[first]], norms[order[first]]
+    n = min(shortlist, len(first))
     qs, vs, ss = [], [], []
     for lo in range(0, len(queries), 256):
         q, own = queries[lo : lo + 256], query_ids[lo : lo + 256]
         scores = table_scores(q, codes, norms, books)
-        scores[own[:, None] == ids[None, :]] = -np.inf
-        n = min(shortlist, len(ids))
-        short = np.argpartition(-scores, n - 1, 1)[:, :n] if n < len(ids) else np.broadcast_to(np.arange(n), (len(q), n))
+        scores[(own[:, None] == lowest) & (own[:, None] == highest)] = -np.inf
+        least = -np.partition(-scores, n - 1, 1)[:, n - 1]
         for i in range(len(q)):
-            rows = short[i][ids[short[i]] != own[i]]
-            exact = vectors[rows] @ q[i]
-            top = np.lexsort((ids[rows], -exact))[:k]
+            above = np.flatnonzero(scores[i] > least[i])
+            short = np.concatenate((above, np.flatnonzero(scores[i] == least[i])[: n - len(above)]))
+            short = short[scores[i, short] > -np.inf]
+            # summed row by row, so that equal vectors of other slices have equal scores
+            exact = (vectors[short] * q[i]).sum(1)
+            if len(short) > k:
+                near = exact >= -np.partition(-exact, k - 1)[k - 1]
+                short, exact = short[near], exact[near]
+            found, score = [ids[:0]], [exact[:0]]
+            for g, e in zip(short, exact, strict=True):
+                rows = ids[members[starts[g] : starts[g + 1]]]
+                a, z = np.searchsorted(rows, own[i]), np.searchsorted(rows, own[i], "right")
+                rows = np.concatenate((rows[: min(a, k)], rows[z : z + max(0, k - a)]))
+                found.append(rows)
+                score.append(np.full(len(rows), e))
+            found, score = np.concatenate(found), np.concatenate(score)
+            top = np.lexsort((found, -score))[:k]
             qs.append(np.full(len(top), lo + i))
-            vs.append(ids[rows][top])
-            ss.append(exact[top])
+            vs.append(found[top])
+            ss.append(score[top])
     return np.concatenate(qs), np.concatenate(vs), np.concatenate(ss)
 
 

@@ -316,6 +316,28 @@ def test_search_odd_rows(spark):
     assert vector_search.search(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_search_many_copies(spark):
+    """More copies in one slice than the shortlist holds, in no order of their ids, and rows that are nearer than the copies."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 8))
+    copies = rng.choice(np.arange(1, 2000), 900, replace=False)
+    x[copies] = x[copies[0]]
+    ids = rng.permutation(2000)
+    books = vector_search.fit(x)
+    codes, norms = vector_search.encode(x, books)
+    asked = np.array([copies[0], copies[1], 0])
+    at, found, score = vector_search.best_of(x[asked], ids[asked], x, ids, codes, norms, books, 20, vector_search.SHORTLIST)
+    for i, r in enumerate(asked):
+        exact = (x * x[r]).sum(1)
+        want = [j for j in np.lexsort((ids, -exact)) if j != r][:20]
+        assert found[at == i].tolist() == ids[want].tolist() and np.allclose(score[at == i], exact[want])
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = vector_search.search(frame, frame.where(F.col("vec_id") == int(ids[copies[0]]))).collect()
+    exact = (x * x[copies[0]]).sum(1)
+    want = [int(ids[j]) for j in np.lexsort((ids, -exact)) if j != copies[0]][:20]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == want
+
+
 def test_table_scores_are_exact_for_the_decoded():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8))
