@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteaudit.llm import bench_join, bwt_dedup, langid, packing, simhash
+from siteaudit.llm import bench_join, bwt_dedup, langid, near_copies, packing
 from siteaudit.llm.common import materialize, table
 
 
@@ -18,9 +18,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays (five-word
-    shingles)."""
-    return simhash.drop_near_duplicates(docs, k=5)
+    """Of each group of near-duplicates (five-word shingles, a Jaccard similarity of 0.8 or more) the
+    document with the smallest doc_id stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siteaudit.llm import bench_join, bwt_dedup, extraction, langid, packing, resampling, sharding, simhash, url_filter, vector_search
+from siteaudit.llm import bench_join, bwt_dedup, extraction, langid, near_copies, packing, resampling, sharding, simhash, url_filter, vector_search
 from siteaudit.llm.queries import QUERIES
 from tests.conftest import SF
 
@@ -479,3 +479,45 @@ def test_pipeline(spark):
     rows = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in now.collect()}
     assert corpus_pipeline.run(spark, SF).count() == len(rows)
+
+
+def test_near_copies_equal_brute_force(spark):
+    """Planted copies on both sides of 0.8, a large group of near copies, and odd rows, against all pairs."""
+    import corpus_pipeline
+
+    random.seed(11)
+    word = lambda: f"w{random.randrange(4000)}"
+    texts = []
+    for changed in [1, 2, 3, 4, 5, 6, 7, 8] * 4:  # of 150 words: similarities of 0.97 down to about 0.6
+        base = [word() for _ in range(150)]
+        copy = list(base)
+        for i in random.sample(range(150), changed):
+            copy[i] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    base = [word() for _ in range(120)]
+    for _ in range(60):
+        copy = list(base)
+        copy[random.randrange(120)] = word()
+        texts.append(" ".join(copy))
+    line = " ".join(word() for _ in range(30))
+    texts += [f"{line} {' '.join(word() for _ in range(60))}" for _ in range(20)]
+    texts += [None, "", " ", "one two", "One  two", "a b c d e", texts[0], texts[0]]
+    ids = random.sample(range(1000), len(texts) - 2) + [None, 5000]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, grp int")
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
+    root = list(range(len(texts)))
+    at, between = lambda i: i if root[i] == i else at(root[i]), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 10 * shared >= 8 * (len(sets[i]) + len(sets[j]) - shared):
+                between += 10 * shared < 9 * (len(sets[i]) + len(sets[j]) - shared)
+                root[at(i)] = at(j)
+    assert between > 10
+    groups = {}
+    for i, x in enumerate(ids):
+        groups.setdefault(at(i), []).append(x)
+    want = sorted(min((x for x in g if x is not None), default=-1) for g in groups.values())
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns and sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == want
+    assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
