@@ -122,6 +122,20 @@ def compare_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.added(now, _second(crawl))
 
 
+def compare_all_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of all six fields."""
+    crawl = crawl_and_view(spark, sf_dir)[0]
+    now = Crawl.of(spark, **{**crawl.tables, "urls": crawl.urls.withColumn("url_hash", F.col("url").cast("binary"))})
+    return compare.changes(now, _second(crawl))
+
+
+def compare_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urls that the second crawl, taken as the later one, has lost."""
+    crawl = crawl_and_view(spark, sf_dir)[0]
+    before = Crawl.of(spark, **{**crawl.tables, "urls": crawl.urls.withColumn("url_hash", F.col("url").cast("binary"))})
+    return compare.removed(_second(crawl), before)
+
+
 def crawl_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.unix_timestamp("w.start").alias("hour"), "event_type", "n")
@@ -131,7 +145,7 @@ def reports_by_id(report_id: str):
     return next(r for r in all_reports() if r.id == report_id)
 
 
-_OWN = (counts_all, indexability, status_class, crawl_summary, queue_state, claim_next, link_counts, link_graph_nodes, site_tree, redirect_chain, visible_urls, duplicate_values, titles_table, metric_lookup, near_duplicates, document_simhash, compare_changes, compare_added, crawl_rate)
+_OWN = (counts_all, indexability, status_class, crawl_summary, queue_state, claim_next, link_counts, link_graph_nodes, site_tree, redirect_chain, visible_urls, duplicate_values, titles_table, metric_lookup, near_duplicates, document_simhash, compare_changes, compare_added, compare_all_changes, compare_removed, crawl_rate)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"report_{r.id}": _members(r) for r in all_reports()} | {f.__name__: f for f in _OWN}
 
@@ -143,6 +157,16 @@ v AS (SELECT doc_id, ('0x' || substr(h, 1, 16))::ubigint AS h FROM s),
 b AS (SELECT doc_id, bit, sum(CASE WHEN (h >> bit) & 1 = 1 THEN 1 ELSE -1 END) AS vote FROM v, (SELECT unnest(range(64))::ubigint AS bit) GROUP BY doc_id, bit),
 f AS (SELECT doc_id, sum(CASE WHEN vote > 0 THEN (1::hugeint << bit::int) ELSE 0 END) AS p FROM b GROUP BY doc_id)"""
 
+_OLD_STATUS = "CASE WHEN u.id % 8 = 1 THEN 200 ELSE r.status END"
+
+
+def _label(status: str) -> str:
+    return (
+        f"CASE WHEN {status} BETWEEN 300 AND 399 THEN 'Non-indexable: redirected' WHEN {status} BETWEEN 400 AND 499 THEN 'Non-indexable: client error' WHEN {status} = 0 OR {status} >= 500 THEN 'Non-indexable: server error'"
+        " WHEN concat(coalesce(f.meta_robots, ''), ' ', coalesce(f.x_robots_tag, '')) ILIKE '%noindex%' THEN 'Non-indexable: noindex' WHEN f.canonical_id <> u.id THEN 'Non-indexable: canonicalised' ELSE 'Indexable' END"
+    )
+
+
 ORACLES: dict[str, str] = {f"report_{r.id}": oracle.members(r) for r in all_reports()} | {
     "counts_all": oracle.counts(),
     "indexability": oracle.with_view("SELECT indexability, count(*) AS n FROM pv GROUP BY indexability"),
@@ -179,5 +203,16 @@ ORACLES: dict[str, str] = {f"report_{r.id}": oracle.members(r) for r in all_repo
                 ("Title", "CASE WHEN f.url_id IS NOT NULL AND u.id % 10 = 3 THEN 'Changed' ELSE f.title END", "f.title"),
                 ("H1", "CASE WHEN u.id % 12 <> 5 THEN f.h1 END", "f.h1"))) + ") x"),
     "compare_added": oracle.with_crawl("SELECT u.url FROM urls u JOIN responses r ON r.url_id = u.id WHERE u.id % 9 = 4"),
+    "compare_all_changes": oracle.with_crawl(
+        "SELECT * FROM (" + " UNION ALL ".join(
+            f"SELECT u.url, '{n}' AS field, {old} AS before, {new} AS after FROM urls u LEFT JOIN responses r ON r.url_id = u.id LEFT JOIN page_facts f ON f.url_id = u.id LEFT JOIN urls c ON c.id = f.canonical_id WHERE u.id % 9 <> 4 AND r.status IS NOT NULL AND ({old}) IS DISTINCT FROM ({new})"
+            for n, old, new in (
+                ("Status", f"CAST({_OLD_STATUS} AS varchar)", "CAST(r.status AS varchar)"),
+                ("Title", "CASE WHEN f.url_id IS NOT NULL AND u.id % 10 = 3 THEN 'Changed' ELSE f.title END", "f.title"),
+                ("Meta Description", "f.meta_description", "f.meta_description"),
+                ("H1", "CASE WHEN u.id % 12 <> 5 THEN f.h1 END", "f.h1"),
+                ("Indexability", _label(f"({_OLD_STATUS})"), _label("r.status")),
+                ("Canonical", "CASE WHEN c.id % 9 <> 4 THEN c.url END", "c.url"))) + ") x"),
+    "compare_removed": oracle.with_crawl("SELECT u.url FROM urls u JOIN responses r ON r.url_id = u.id WHERE u.id % 9 = 4"),
     "crawl_rate": "SELECT CAST(epoch(date_trunc('hour', ts)) AS bigint) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
