@@ -4,12 +4,14 @@ Documents are tokenised once; a document of more than ``capacity`` ids is cut in
 exactly that length, of which only the first may be shorter. Full pieces are sequences of their
 own. All other pieces are dealt to groups of about ``GROUP`` pieces by a row hash, and each
 group is packed by the sum-of-squares rule: a piece goes to the open bin for which the squared
-counts of open bins per residual gap become smallest, ties to the smallest gap; a bin is opened
-only when no open bin has room, and pieces come longest first, because the aim is few bins.
-Groups see lengths only, never texts or ids.
-
-Null text is empty: it has the closing id only. Repeated rows are packed as rows of their own.
-An empty table gives no rows. Other columns are ignored.
+counts of open bins per residual gap become smallest, ties to the smallest gap. Pieces come longest
+first, and a bin is opened only when no open bin has room, because the aim is few bins; with
+``weigh_opening`` a new bin is one more choice of the same sum, which needs more bins. Groups see
+lengths only, never texts or ids.
+
+Null text is empty: it has the closing id only. Texts of any length and kind are encoded whole.
+Repeated rows are packed as rows of their own. An empty table gives no rows. Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ END_ID = 0
 
 class Encoder:
     """Token ids of the vocabulary ``byte_bpe_50k``. ``tiktoken`` gives the same ids from the same
-    vocabulary about three times as fast; a text with the special token's string in it goes to
-    ``tokenizers``, which alone gives it its own id."""
+    vocabulary about four times as fast; ``tokenizers`` encodes what it does not: texts with the
+    special token's string, to which it alone gives its own id, and texts whose runs of white space
+    are too long for the other's pattern."""
 
     SPECIAL = "<|endoftext|>"
 
@@ -49,7 +52,10 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         if self.SPECIAL not in text:
-            return np.asarray(self.fast.encode_to_numpy(text), "<u4")
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text), "<u4")
+            except ValueError:  # the pattern's backtracking is bounded
+                pass
         if self.slow is None:
             from tokenizers import Tokenizer
 
@@ -71,7 +77,7 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, head)] * (head > 0) + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+def pack(lengths: np.ndarray, capacity: int = CAPACITY, weigh_opening: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of every piece; lengths are 1 to ``capacity``."""
     order = np.argsort(-lengths, kind="stable")
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by residual gap
@@ -84,7 +90,8 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.
         change[0] = 1 - 2 * count[n]
         change[count[n:] == 0] = np.iinfo(np.int64).max
         j = int(np.argmin(change))
-        if count[n + j] > 0:
+        opening = 2 * count[capacity - n] + 1 if n < capacity else 0
+        if count[n + j] > 0 and not (weigh_opening and opening < change[j]):
             b = open_bins[n + j].pop()
             count[n + j] -= 1
             offset, gap = capacity - (n + j), j
