@@ -1,35 +1,45 @@
-"""Documents whose word shingles overlap by a Jaccard similarity of ``SIMILARITY`` or more, exactly.
-
-Two sets that are so similar share a shingle among the first |x| - ceil(s |x|) + 1 of each in any
-order that all sets agree on (prefix filter). The order puts shingles that are common in a sample
-last, so that few sets meet for what many share; a poor sample costs time, never a link. Where sets
-meet, rounds of pivots link most of a large group with few pairs; one more round tests every pair
-that is still apart, so no link is missed and no group is compared pair by pair once it is linked.
-Every link is tested on the shingles themselves. Null text counts as empty; empty texts are equal.
+"""Near copies by SimHash and BK-trees: texts whose word shingles have a Jaccard similarity of
+``SIMILARITY`` or more.
+
+Sets at that similarity differ in some ten of 64 fingerprint bits, far too many for shards of equal
+bits. So shards are least hashes here: of ``KEYS`` hash orders each gives the set's first shingle,
+and two sets of similarity s share none with a probability of (1 - s) ** KEYS, 0.0000026 at 0.8. In
+a shard the fingerprints of different sets are searched within ``RADIUS`` bits, which a pair at 0.8
+exceeds with a probability of about 0.0001, and every link is tested on the shingles themselves. So
+a link is always right, and next to none is missed.
+
+A large group of near copies shares its shards. It is not compared pair by pair: first each shard
+has a tree of one root only, the set whose fingerprint is nearest to the majority of all bits in the
+shard, which is nearest to what the copies were made from; what it links leaves the search. After
+``ROUNDS`` of this all that is still apart from its shard's largest group is searched in the shard's
+trees, against everything there. Equal sets count once.
+
+Null text counts as empty; empty texts are equal. Texts of any length are read whole. Repeated rows
+and copies leave one row, an empty table none; other columns come along, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from siteaudit.llm.common import bound_batches, materialize, tidy
-from siteaudit.llm.simhash import components, shingle_hashes
+from siteaudit.llm.common import bound_batches, discard, materialize, tidy
+from siteaudit.llm.simhash import TREE, BKTree, components, in_trees, one_each, shingle_hashes, vote
 
 SIMILARITY = 0.8
 SHINGLE = 5
-#: Cells of the sample's counts, and one of how many texts it takes.
-CELLS, BLOCK, SAMPLED = 1 << 20, 1 << 14, 8
-#: Counts below this are all taken as rare.
-RARE = 32
-PIVOT_ROUNDS = 3
+KEYS = 8
+RADIUS = 20
+ROUNDS = 2
+#: Pairs of one set that are tested in one place.
+SALT = 1024
+_TOGETHER = 256
+_ORDERS = np.random.default_rng(5).integers(1, 1 << 63, (KEYS, 2), dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -43,116 +53,71 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return shared >= least * (len(a) + len(b) - shared) - 1e-9
 
 
-def prefix(own: np.ndarray, cells: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    n = len(own) - ceil(least * len(own) - 1e-9) + 1
-    count = cells[(own % np.uint64(CELLS)).astype(np.int64)]
-    return own[np.lexsort((own, np.where(count < RARE, 0, count)))[:n]] if len(own) else own
+def least_hashes(own: np.ndarray) -> np.ndarray:
+    """The first shingle of the set in each hash order, marked with the order."""
+    if not len(own):
+        return np.empty(0, np.uint64)
+    mixed = (own ^ _ORDERS[:, :1]) * _ORDERS[:, 1:]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(3)).min(1) * np.uint64(8) + np.arange(len(_ORDERS), dtype=np.uint64) % np.uint64(8)
 
 
-def sample_counts(docs: DataFrame, k: int) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        for b in batches:
-            for t in b.column(0):
-                np.add.at(cells, (shingle_set(t.as_py(), k) % np.uint64(CELLS)).astype(np.int64), 1)
-        used = [i for i in range(CELLS // BLOCK) if cells[i * BLOCK : (i + 1) * BLOCK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([cells[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in used], pa.binary())], ["block", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c.as_py(), np.int64) for c in table.column(1))
-        return pa.table({"block": table.column(0)[:1].cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(tidy(run), "block int, counts binary")
-    cells = np.zeros(CELLS, np.int64)
-    for r in some.groupBy("block").applyInArrow(add, "block int, counts binary").collect():
-        cells[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int64)
-    return cells
-
-
-def with_prefixes(docs: DataFrame, k: int, least: float) -> DataFrame:
-    """doc_id, text_hash, key (of the set), n (its size) and prefix of every row."""
-    cells = docs.sparkSession.sparkContext.broadcast(sample_counts(docs, k).astype(np.int32))
+def with_sets(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, text_hash, key (of the set), n (its size), fp and its shards of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, firsts = [], [], []
-            for t in b.column(2):
-                own = shingle_set(t.as_py(), k)
-                keys.append(xxhash.xxh64_intdigest(own.tobytes()))
-                sizes.append(len(own))
-                firsts.append(prefix(own, cells.value, least).view(np.int64))
-            at = np.concatenate(([0], np.cumsum([len(p) for p in firsts]))).astype(np.int32)
+            sets = [shingle_set(t.as_py(), k) for t in b.column(2)]
+            keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
+            fps = np.array([vote(s) for s in sets], np.uint64)
+            firsts = [least_hashes(s).view(np.int64) for s in sets]
+            at = np.concatenate(([0], np.cumsum([len(f) for f in firsts]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], ["doc_id", "text_hash", "key", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps.view(np.int64)), lists], ["doc_id", "text_hash", "key", "n", "fp", "shards"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, key long, n int, prefix array<long>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, key long, n long, fp long, shards array<long>")
 
 
-def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
-    x = keys.view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+def _sized(a: Column, b: Column, least: float) -> Column:
+    return F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9
 
 
-def _fits(n: np.ndarray, pos: np.ndarray, i: int, least: float) -> np.ndarray:
-    """Which rows can be similar to row i by their sizes and by what follows the shared shingle."""
-    need = np.ceil(least / (1 + least) * (n + n[i]) - 1e-6)
-    return np.minimum(n - pos, n[i] - pos[i]) >= need
+def by_roots(apart: DataFrame, largest: DataFrame | None, radius: int, least: float) -> DataFrame:
+    """Pairs (a, b): each shard's root and what it has within the radius and not yet in its component.
+    The root is taken from what is not in the shard's largest component."""
+    free = apart if largest is None else apart.join(largest, "shard").where("root <> most").drop("most")
+    bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
+    middle = F.lit(0).cast("long")
+    for i in range(64):
+        middle = middle.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("all"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    middles = free.groupBy("shard").agg(F.count("*").alias("all"), *bits).select("shard", middle.alias("middle"))
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
+    roots = free.join(middles, "shard").groupBy("shard").agg(F.min_by(F.struct("key", "n", "fp", "root"), F.struct(far, "key")).alias("r"))
+    near = (F.col("root") != F.col("r.root")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("r.fp"))) <= radius) & _sized(F.col("n"), F.col("r.n"), least)
+    return apart.join(roots, "shard").where(near).select(F.col("r.key").alias("a"), F.col("key").alias("b")).distinct()
 
 
-def meet(key: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, seed: int | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one shingle's sets to be tested: with the pivot of the largest group, or (seed
-    None) all that are apart."""
-    if (root == root[0]).all():
-        return key[:0], key[:0]
-    if seed is not None:
-        names, sizes = np.unique(root, return_counts=True)
-        most = np.flatnonzero(root == names[np.argmax(sizes)]) if sizes.max() > 1 else np.arange(len(key))
-        i = most[np.argmin(_mixed(key[most], seed))]
-        take = (root != root[i]) & _fits(n, pos, i, least)
-        return np.full(take.sum(), key[i]), key[take]
-    a, b = [key[:0]], [key[:0]]
-    for i in range(len(key) - 1):
-        take = (root != root[i]) & _fits(n, pos, i, least)
-        take[: i + 1] = False
-        a.append(np.full(take.sum(), key[i]))
-        b.append(key[take])
-    return np.concatenate(a), np.concatenate(b)
+def by_trees(apart: DataFrame, largest: DataFrame, radius: int, least: float, tree: int = TREE) -> DataFrame:
+    """Pairs (a, b) within the radius and in different components, a outside its shard's largest one."""
 
+    def run(members: list[np.ndarray], asked: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        (key, fp, n, root), search = members, BKTree(members[1].view(np.uint64))
+        for lo in range(0, len(asked[0]), _TOGETHER):
+            own = [c[lo : lo + _TOGETHER] for c in asked]
+            q, v = search.within(own[1].view(np.uint64), radius)
+            small, large = np.minimum(own[2][q], n[v]), np.maximum(own[2][q], n[v])
+            fits = (own[3][q] != root[v]) & (small >= least * large - 1e-9)
+            yield own[0][q[fits]], key[v[fits]]
 
-def candidates(rows: DataFrame, seed: int | None, least: float) -> DataFrame:
-    """Distinct (a, b), a < b, of (token, key, n, pos, root)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def closed() -> pa.RecordBatch:
-            a, b = meet(*[np.concatenate(c) for c in list(zip(*held, strict=True))[1:]], seed, least) if held else (np.empty(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            cuts = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), batch.num_rows]
-            out = []
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if lo == hi:
-                    continue
-                if held and held[0][0][0] != columns[0][lo]:
-                    out.append(closed())
-                    held.clear()
-                held.append([c[lo:hi] for c in columns])
-            if out := [o for o in out if o.num_rows]:
-                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-        yield closed()
-
-    sorted_rows = rows.select("token", "key", "n", "pos", "root").repartition("token").sortWithinPartitions("token")
-    return sorted_rows.mapInArrow(run, "a long, b long").distinct()
+    free = apart.join(largest, "shard").where("root <> most").select(apart.columns)
+    found = in_trees(apart, free, run, tree)
+    return found.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
 
 
 def tested(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs (u, v) whose sets are similar."""
+    """The pairs (u, v) whose sets are similar. A set with many partners is sent to several places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -164,32 +129,44 @@ def tested(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFram
                 keep.append(similar(own, shingle_set(t.as_py(), k), least))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("s"))
+    places = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("long").alias("places"))
+    salted = pairs.join(places, "a").select("a", "b", F.pmod(F.xxhash64("b"), "places").alias("place"))
+    left = texts.join(places, texts.key == places.a).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)).alias("place"), F.col("text").alias("s"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("t"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "s", "t").mapInArrow(tidy(run), "u long, v long")
+    return salted.join(right, "b").join(left, ["a", "place"]).select("a", "b", "s", "t").mapInArrow(tidy(run), "u long, v long")
 
 
-def drop_near_copies(docs: DataFrame, least: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
+def drop_near_copies(docs: DataFrame, least: float = SIMILARITY, k: int = SHINGLE, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
     """The rows of ``docs`` with one row of each group that links of similar texts hold together:
     the one with the smallest doc_id (of several such rows the one whose text hashes lowest, once)."""
     bound_batches(docs.sparkSession)
-    marked = materialize(with_prefixes(docs, k, least), "prefixes")
+    marked = materialize(with_sets(docs, k), "sets")
     rank = lambda c: F.struct(F.col(f"{c}doc_id").isNull(), f"{c}doc_id", f"{c}text_hash")
-    own = materialize(marked.groupBy("key").agg(F.min_by(F.struct("doc_id", "text_hash"), rank("")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
-    rows = own.select("key", "n", F.posexplode("prefix").alias("pos", "token"))
-    rows = materialize(rows.withColumn("met", F.count("*").over(Window.partitionBy("token"))).where("met > 1").drop("met"), "shared")
-    wanted = own.join(rows.select("key").distinct(), "key", "left_semi").select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
-    held = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
-    texts = wanted.join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("key", "text")
-    texts = materialize(texts.dropDuplicates(["key"]), "texts")
-    edges = roots = None
-    for seed in [*range(PIVOT_ROUNDS), None]:
-        known = rows.withColumn("root", F.col("key")) if roots is None else rows.join(roots, rows.key == roots.node, "left").select("token", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
-        pairs = materialize(candidates(known, seed, least), "pairs")
+    own = materialize(marked.groupBy("key").agg(F.min_by(F.struct("doc_id", "text_hash"), rank("")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("shards").alias("shards")), "distinct")
+    rows = own.select(F.explode("shards").alias("shard"), "key", "fp", "n")
+    met = rows.groupBy("shard").agg(F.count("*").alias("met")).where("met > 1").select("shard")
+    rows = materialize(rows.join(met, "shard"), "shared")
+    wanted = own.join(rows.select("key").distinct(), "key", "left_semi").select("key", F.col("first.doc_id").alias("d"), F.col("first.text_hash").alias("h"))
+    held = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    texts = held.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("key", "text")
+    edges = roots = largest = None
+    for turn in range(ROUNDS + 1):
+        if roots is None:
+            apart = rows.withColumn("root", F.col("key"))
+        else:
+            known = rows.join(roots, rows.key == roots.node, "left").select("shard", "key", "fp", "n", F.coalesce("root", "key").alias("root"))
+            mixed = known.groupBy("shard").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shard")
+            apart = materialize(known.join(mixed, "shard"), "apart")
+            sizes = apart.groupBy("shard", "root").count()
+            largest = sizes.groupBy("shard").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+        pairs = by_roots(apart, largest, radius, least) if turn < ROUNDS else by_trees(apart, largest, radius, least, tree)
+        pairs = materialize(pairs, "pairs")
         found = materialize(tested(pairs, texts, k, least), "links")
+        discard(pairs)
         edges = found if edges is None else edges.union(found)
+        if roots is not None:
+            discard(apart)
         roots = materialize(components(edges), "roots")
     rooted = own.join(roots, own.key == roots.node, "left").select("first", F.coalesce("root", "key").alias("root"))
     kept = rooted.groupBy("root").agg(F.min_by("first", rank("first.")).alias("__key")).select("__key")
-    keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
-    return keyed.join(kept, keyed["__key"].eqNullSafe(kept["__key"]), "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return one_each(docs, kept, marked)

@@ -1,23 +1,28 @@
 """SimHash near-duplicates found with BK-trees.
 
-Two fingerprints within ``radius`` bits agree on at least two of five bit blocks when the
-radius is three, so every link lies inside one of ten block-pair shards. Each shard value is
-one BK-tree: children are keyed by their integer Hamming distance to the parent, and a search
-follows only edges within ``radius`` of the distance to the node at hand. A shard tree is built
-inside the task that owns the key instead of being broadcast whole, because all trees together
-grow with the corpus. A tree hands on a spanning forest of its links, which keeps every
-component; components are then closed by alternating large-star and small-star steps over
-written tables.
-
-Null text counts as empty: no words, fingerprint zero, linked like any other. A null doc_id
-never becomes a component's id unless all ids of the component are null. Repeated rows give
-repeated results; other columns, whatever their names, are ignored.
+Fingerprints are dealt to shards so that linked ones meet in one: with radius three they agree in
+one of four blocks of 16 bits, and a shard is the leading bits of one block, as many as leave about
+``TREE`` fingerprints in a shard on average (beyond 2^16 shards a block, the bits of two of five
+blocks). So shards, not pairs, grow with the corpus. A shard is one BK-tree: children are keyed by
+their integer Hamming distance to the parent, and a search follows only edges within ``radius`` of
+the distance to the node at hand. A shard of more than ``TREE`` fingerprints becomes several trees,
+and each of its queries goes to all of them, so a hot shard is spread over tasks and no task holds
+more than one tree. Trees go to their queries by a shuffle: all of them together are all
+fingerprints, which have no bound for a broadcast and must not pass the driver. A task hands on a
+spanning forest of the links that it found, which keeps every component; components are closed by
+alternating large-star and small-star steps over written tables.
+
+Null text counts as empty: no words, fingerprint zero, linked like any other. Texts of any length
+are read whole. A null doc_id never becomes a component's id unless all ids of the component are
+null. Repeated rows give repeated results, an empty table none; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +30,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteaudit.llm.common import bound_batches, materialize, tidy
+from siteaudit.llm.common import bound_batches, discard, materialize, tidy
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: (shift, width) of the bit blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: A tree of more fingerprints is split by the pigeonhole rule over its bits once more.
-TREE = 1024
+#: (shift, width) of the bit blocks of which one agrees, and of those of which two agree.
+ONE_OF = ((0, 16), (16, 16), (32, 16), (48, 16))
+TWO_OF = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Fingerprints of one tree at most.
+TREE = 4096
+#: Queries that descend together.
+_TOGETHER = 512
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 _LANES = (np.arange(8) * 256).astype(np.int64)
@@ -55,9 +63,8 @@ def shingle_hashes(text: bytes, k: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n - k + 1)
 
 
-def fingerprint(text: str | None, k: int = SHINGLE) -> int:
-    """A bit is 1 if it is set in over half of the shingles' hashes."""
-    h = shingle_hashes((text or "").encode("utf-8", "surrogatepass"), k)
+def vote(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
     if not len(h):
         return 0
     lanes = h.astype("<u8").view(np.uint8).reshape(-1, 8) + _LANES
@@ -65,80 +72,73 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones.ravel() * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, k: int = SHINGLE) -> int:
+    return vote(shingle_hashes((text or "").encode("utf-8", "surrogatepass"), k))
+
+
 class BKTree:
-    """Burkhard-Keller tree over 64-bit fingerprints; the metric is Hamming distance."""
-
-    def __init__(self) -> None:
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def within(self, value: int, radius: int) -> list[int]:
-        """Indexes of all stored values within the radius."""
-        values, children, found = self.values, self.children, []
-        todo = [0] if values else []
-        while todo:
-            i = todo.pop()
-            d = (value ^ values[i]).bit_count()
-            if d <= radius:
-                found.append(i)
-            if edges := children[i]:
-                if len(edges) <= 2 * radius + 1:
-                    todo += [c for e, c in edges.items() if -radius <= e - d <= radius]
-                else:
-                    todo += [edges[e] for e in range(d - radius, d + radius + 1) if e in edges]
-        return found
-
-    def add(self, value: int) -> int:
-        """Store a value; an equal one already stored keeps its place."""
-        values, children, i = self.values, self.children, 0
-        if not values:
-            values.append(value)
-            children.append({})
-            return 0
-        while d := (value ^ values[i]).bit_count():
-            if d not in children[i]:
-                values.append(value)
-                children.append({})
-                children[i][d] = len(values) - 1
-                return len(values) - 1
-            i = children[i][d]
-        return i
-
-
-def _root(parent: dict[int, int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
-def _search(values: Iterable[int], parent: dict[int, int], radius: int) -> None:
-    tree = BKTree()
-    for v in values:
-        for i in tree.within(v, radius):
-            a, b = _root(parent, v), _root(parent, tree.values[i])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        tree.add(v)
-
-
-def forest(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(fingerprint, smallest of its component) for all linked values of one shard but the
-    smallest ones."""
-    parent = {v: v for v in values}
-    if len(parent) <= TREE:
-        _search(parent, parent, radius)
-    else:
-        width = 64 // (radius + 1)
-        for j in range(radius + 1):
-            own: dict[int, list[int]] = {}
-            mask = (1 << (64 - j * width if j == radius else width)) - 1
-            for v in parent:
-                own.setdefault((v >> (j * width)) & mask, []).append(v)
-            for part in own.values():
-                if len(part) > 1:
-                    _search(part, parent, radius)
-    return [(v, r) for v in parent if (r := _root(parent, v)) != v]
+    """Burkhard-Keller tree over 64-bit fingerprints; the metric is Hamming distance. The first value
+    is the root; edges lie in one sorted list of (parent, distance), so that many queries descend
+    together."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = np.asarray(values, np.uint64)
+        rest = np.arange(1, len(self.values))
+        at, keys, children = np.zeros(len(rest), np.int64), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        while len(rest):
+            # the first value at each distance of a node becomes its child, the others go down to it
+            edge = at * 65 + np.bitwise_count(self.values[rest] ^ self.values[at])
+            edge, first, own = np.unique(edge, return_index=True, return_inverse=True)
+            keys.append(edge)
+            children.append(rest[first])
+            left = np.ones(len(rest), bool)
+            left[first] = False
+            at, rest = rest[first][own][left], rest[left]
+        order = np.argsort(keys := np.concatenate(keys))
+        self.keys, self.children = keys[order], np.concatenate(children)[order]
+
+    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the query, place of the value) of all pairs within the radius."""
+        queries = np.asarray(queries, np.uint64)
+        asked, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(asked) and len(self.values):
+            d = np.bitwise_count(queries[asked] ^ self.values[node]).astype(np.int64)
+            found.append((asked[d <= radius], node[d <= radius]))
+            low = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0))
+            n = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), "right") - low
+            asked = np.repeat(asked, n)
+            node = self.children[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        if not found:
+            return asked[:0], node[:0]
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _roots(parent: np.ndarray) -> np.ndarray:
+    while (up := parent[parent]).tobytes() != parent.tobytes():
+        parent = up
+    return parent
+
+
+def linked(values: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (query, value) that keep the components of all pairs within the radius: of the values
+    that one query reaches, those that are known to hang together are named once."""
+    tree = BKTree(values)
+    parent = np.arange(len(values))
+    for lo in range(0, len(queries), _TOGETHER):
+        own = queries[lo : lo + _TOGETHER]
+        q, v = tree.within(own, radius)
+        pairs = np.unique(q * len(values) + parent[v])
+        q, v = pairs // len(values), pairs % len(values)
+        other = own[q] != tree.values[v]
+        yield own[q][other], tree.values[v][other]
+        # what one query reaches hangs together from now on
+        joint = np.flatnonzero(q[1:] == q[:-1])
+        while len(joint):
+            a, b = parent[v[joint]], parent[v[joint + 1]]
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            parent = _roots(parent)
+            joint = joint[parent[v[joint]] != parent[v[joint + 1]]]
 
 
 def with_fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -155,55 +155,80 @@ def with_fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, fp long")
 
 
-def _shards(fp: Column) -> Column:
-    blocks = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BLOCKS]
-    pairs = list(combinations(range(len(BLOCKS)), 2))
-    return F.array(*[F.shiftleft(F.lit(t).cast("long"), 32).bitwiseOR(F.shiftleft(blocks[a], 13)).bitwiseOR(blocks[b]) for t, (a, b) in enumerate(pairs)])
+def shards(fp: Column, count: int, tree: int = TREE) -> Column:
+    """The shards of a fingerprint among ``count`` ones."""
 
+    def lead(at: int, width: int, take: int) -> Column:
+        return F.shiftrightunsigned(fp, at + width - take).bitwiseAND(F.lit((1 << take) - 1)) if take else F.lit(0).cast("long")
+
+    bits = max(0, ceil(log2(max(1, count) / tree)))
+    if bits <= 16:
+        keys = [lead(at, width, min(bits, width)) for at, width in ONE_OF]
+    else:
+        half = min(12, (bits + 1) // 2)
+        keys = [F.shiftleft(lead(*a, half), 13).bitwiseOR(lead(*b, half)) for a, b in combinations(TWO_OF, 2)]
+    return F.array(*[F.lit(t << 32).cast("long").bitwiseOR(k) for t, k in enumerate(keys)])
+
+
+def in_trees(members: DataFrame, queries: DataFrame, run: Callable[[list[np.ndarray], list[np.ndarray]], Iterator[tuple[np.ndarray, np.ndarray]]], tree: int = TREE) -> DataFrame:
+    """(u, v) that ``run`` gives for each tree's members (whole columns) and its queries (columns, a
+    batch at a time). Both tables have the columns shard, key and others, all longs; members of one
+    shard are dealt to trees of about ``tree`` by their key, and queries go to each of its trees."""
+    names = [c for c in members.columns if c != "shard"]
+    parts = members.groupBy("shard").agg(F.ceil(F.count("*") / tree).cast("long").alias("parts"))
+    own = members.join(parts, "shard").select("shard", F.pmod(F.xxhash64("key"), "parts").alias("part"), F.lit(0).alias("asks"), *names)
+    asked = queries.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks"), *names)
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ready = None, [], None
+
+        def one(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nonlocal now, held, ready
+            where, asks = (int(columns[0][0]), int(columns[1][0])), columns[2]
+            if where != now:
+                now, held, ready = where, [], None
+            m = int(np.searchsorted(asks, 1))
+            if m:
+                held.append([c[:m] for c in columns[3:]])
+            if m < len(asks) and held:
+                ready = ready or [np.concatenate(c) for c in zip(*held, strict=True)]
+                for u, v in run(ready, [c[m:] for c in columns[3:]]):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for b in batches:
+            columns = [c.to_numpy() for c in b.columns]
+            cuts = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1
+            bounds = [0, *cuts.tolist(), b.num_rows]
+            out = [o for x, y in zip(bounds, bounds[1:], strict=False) if x < y for o in one([c[x:y] for c in columns]) if o.num_rows]
+            if out:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """A spanning forest (u, v), v < u, of the links between the distinct values of ``fp``."""
+    return own.unionByName(asked).repartition("shard", "part").sortWithinPartitions("shard", "part", "asks").mapInArrow(trees, "u long, v long")
+
+
+def links(fps: DataFrame, radius: int = RADIUS, tree: int = TREE, count: int | None = None) -> DataFrame:
+    """A spanning forest (u, v), v < u, of the links between the distinct values of ``fp``; the shards
+    are made for ``count`` of them."""
     if radius > 3:
         raise ValueError("the shards cover a radius of three bits at most")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def closed() -> list[tuple[int, int]]:
-            return forest(held, radius) if len(held) > 1 else []
+    def run(members: list[np.ndarray], asked: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for u, v in linked(members[0].view(np.uint64), asked[0].view(np.uint64), radius):
+            yield u.view(np.int64), v.view(np.int64)
 
-        for b in batches:
-            out: list[tuple[int, int]] = []
-            keys = b.column(0).to_numpy()
-            values = b.column(1).to_numpy().view(np.uint64)
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            bounds = [0, *cuts.tolist(), len(keys)]
-            for a, z in zip(bounds, bounds[1:], strict=False):
-                if a == z:
-                    continue
-                if keys[a] != key:
-                    out += closed()
-                    key, held = keys[a], []
-                if held or z - a > 1 or z == len(keys):
-                    held += values[a:z].tolist()
-            yield _edges(out)
-        yield _edges(closed())
-
-    shards = fps.select(F.explode(_shards(F.col("fp"))).alias("shard"), "fp")
-    return shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "u long, v long")
-
-
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["u", "v"])
+    rows = fps.select(F.explode(shards(F.col("fp"), fps.count() if count is None else count, tree)).alias("shard"), F.col("fp").alias("key"))
+    found = in_trees(rows, rows, run, tree)
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v): alternating large-star and small-star
     steps, each written, until nothing changes. The root is the smallest node."""
-    now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    before, now = None, materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     while True:
+        if before is not None:
+            discard(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
@@ -213,7 +238,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        now = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        before, now = now, materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
@@ -234,11 +259,22 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_each(docs: DataFrame, kept: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose struct ``__key`` of doc_id and text_hash is in ``kept``, each once.
+    ``marked`` has doc_id and text_hash of all rows; only repeated rows are told apart by a shuffle."""
+    again = materialize(marked.groupBy(F.struct("doc_id", "text_hash").alias("__key")).agg(F.count("*").alias("__rows")).where("__rows > 1"), "repeated")
+    keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    if again.isEmpty():
+        return keyed.join(kept, "__key", "left_semi").select(docs.columns)
+    once = keyed.join(kept.join(again, "__key", "left_anti"), "__key", "left_semi")
+    twice = keyed.join(kept.join(again, "__key", "left_semi"), "__key", "left_semi").dropDuplicates(["__key"])
+    return once.unionByName(twice).select(docs.columns)
+
+
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` with one row of each component: the one with the smallest doc_id
     (of several such rows the one whose text hashes lowest, once)."""
-    found = near_duplicates(docs, radius, k)
+    found = materialize(near_duplicates(docs, radius, k), "components")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")))
     kept = kept.select(F.struct("doc_id", "text_hash").alias("__key")).distinct()
-    rows = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
-    return rows.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return one_each(docs, kept, found)

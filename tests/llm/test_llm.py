@@ -365,15 +365,33 @@ def test_trees_lose_no_link(monkeypatch):
     random.seed(4)
     base = [random.getrandbits(64) for _ in range(60)]
     values = [b ^ sum(1 << i for i in random.sample(range(64), random.randint(0, 4))) for b in base for _ in range(5)]
-    tree = simhash.BKTree()
-    for v in values:
-        tree.add(v)
-    for v in values[:50]:
-        assert {tree.values[i] for i in tree.within(v, 3)} == {w for w in values if (v ^ w).bit_count() <= 3}
-    for size in (1024, 2):
-        monkeypatch.setattr(simhash, "TREE", size)
-        roots = dict(simhash.forest(values))
-        assert _groups({v: roots.get(v, v) for v in values}) == _groups(_closed(sorted(set(values))))
+    values = np.array(values, np.uint64)
+    for radius in (3, 20):
+        q, v = simhash.BKTree(values).within(values[:50], radius)
+        assert Counter(zip(q.tolist(), v.tolist(), strict=True)) == Counter((i, j) for i in range(50) for j in range(len(values)) if (int(values[i]) ^ int(values[j])).bit_count() <= radius)
+    values = np.unique(values)
+    parent = {v: v for v in values.tolist()}
+    up = lambda x: x if parent[x] == x else up(parent[x])
+    monkeypatch.setattr(simhash, "_TOGETHER", 7)
+    for us, vs in simhash.linked(values, values):
+        for u, v in zip(us.tolist(), vs.tolist(), strict=True):
+            parent[up(u)] = up(v)
+    assert _groups({v: up(v) for v in values.tolist()}) == _groups(_closed(values.tolist()))
+
+
+@pytest.mark.parametrize("tree, count", [(4096, None), (64, None), (5, 20), (4096, 4096 << 16), (4096, 4096 << 20), (4096, 4096 << 30)])
+def test_links_of_all_plans(spark, tree, count):
+    """One tree for all, shards of some bits of one block, trees split within a shard, and two blocks."""
+    random.seed(5)
+    base = [random.getrandbits(64) for _ in range(40)]
+    values = sorted({b ^ sum(1 << i for i in random.sample(range(64), random.randint(0, 4))) for b in base for _ in range(6)})
+    fps = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    got = simhash.links(fps, tree=tree, count=count)
+    parent = {v: v for v in values}
+    up = lambda x: x if parent[x] == x else up(parent[x])
+    for r in got.collect():
+        parent[up(r.u % (1 << 64))] = up(r.v % (1 << 64))
+    assert _groups({v: up(v) for v in values}) == _groups(_closed(values))
 
 
 def _closed(values):
