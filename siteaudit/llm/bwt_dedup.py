@@ -4,21 +4,30 @@ A byte goes if it lies in a ``LENGTH``-byte string that also starts in a documen
 doc_id. Strings that can repeat are first brought together: every window of ``LENGTH`` bytes has a
 minimizer (its ``GRAM``-byte gram of smallest hash), equal windows have equal minimizers, and a
 stretch of neighbouring windows with one minimizer is a segment of at most ``LENGTH + SPREAD - 1``
-bytes. Segments whose minimizer occurs in one document only cannot repeat and stay behind. The
-others meet by minimizer in buckets of bounded size, each distinct text once a document group
-with its smallest doc_id, so that neither copies nor common passages pile up.
-
-In a bucket the distinct segments are dealt to shards. Each shard's suffixes are sorted once for
-its own transform; the shards are then merged by iterative interleave refinement: every
-round re-deals the interleave by the two symbols that precede each suffix, stepping left by the
-shards' LF mappings, so that after r rounds it is right for the first 2 r symbols, and splits the
-blocks of suffixes that agree so far. No suffixes are compared across shards, and blocks whose
-suffixes all come from one document need no further refinement. After LENGTH / 2 rounds the blocks are the intervals of
-common prefix LENGTH or more, and the smallest doc_id of each says which of its windows go.
+bytes. Segments whose minimizer occurs in one document only cannot repeat and stay behind. All
+others go to buckets by their minimizers, each occurrence as a text of its own with its document:
+nothing is known to repeat before the buckets are merged.
+
+In a bucket the segments are dealt to shards. Each shard's suffixes are sorted once for its own
+transform: the ``STEP`` symbols before each suffix, and the LF mapping, which says where in the
+shard's order the suffix so much further left stands. The shards are then merged by iterative
+interleave refinement from these alone: every round re-deals the interleave by the symbols before
+its suffixes and steps left, so that after r rounds it is right for the first ``STEP`` r symbols,
+and splits the blocks of suffixes that agree so far. No suffixes are compared across shards. Only
+suffixes that will stand at the start of a window take part, and blocks whose suffixes all come from
+one document are left out, as nothing can be removed in them. After ``LENGTH / STEP`` rounds the
+blocks are the intervals of common prefix ``LENGTH``, and the smallest doc_id of each says which of
+its windows go.
+
+A minimizer with more than ``HOT`` occurrences is dealt to parts of about so many, which are merged
+each by itself; what is left there after removal meets in a second merge. Of a window that goes in
+its part one from a smaller document is left, so nothing is lost, and of copies next to nothing is
+left.
 
 Null text is empty. A null doc_id has no order: such a row neither loses nor causes anything.
-Rows of one doc_id do not remove each other's bytes. Repeated rows give repeated results; an
-empty table gives no rows; other columns are ignored.
+Rows of one doc_id do not remove each other's bytes. Texts of any length are read whole. Repeated
+rows give repeated results; an empty table gives no rows; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +37,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +51,13 @@ GROUP_BYTES = 8 << 20
 SHARD_BYTES = 1 << 17
 #: Buckets of segments for each document group: what a bucket's merge holds is this much less.
 BUCKETS_A_GROUP = 4
+#: Occurrences of one minimizer that are merged in one place.
+HOT = 1 << 14
+#: Symbols of one refinement, and end symbols after each text.
+STEP, ENDS = 5, 8
 _CHUNK = 1 << 16
 _KEY_BITS = 48
+_PART_BITS = 15
 
 # ---- segments -------------------------------------------------------------------------------
 
@@ -95,141 +108,118 @@ def segments(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 # ---- transforms -----------------------------------------------------------------------------
 
 
-def shard_transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of a shard and, for each suffix in that order, the two symbols before it.
-
-    Symbols are bytes + 1; each text ends with two end symbols 0. Places of suffixes count in the
-    texts so written, one after the other. A suffix with fewer than two symbols before it gets 0.
-    End symbols come first: all last ones, then all last but one, in the order of the texts."""
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    owner = np.repeat(np.arange(len(texts)), size)
-    n = len(raw) + 2 * len(texts)
-    symbols = np.zeros(n + 16, np.uint8)
-    place = np.arange(len(raw)) + 2 * owner
+def _stably(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of ``STEP`` symbols in order, and where each was; equal ones stay in order."""
+    bits = np.uint64(max(1, len(keys).bit_length()))
+    if 8 * STEP + int(bits) > 64:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order.astype(np.int32)
+    packed = np.sort((keys << bits) | np.arange(len(keys), dtype=np.uint64))
+    return packed >> bits, (packed & np.uint64((1 << int(bits)) - 1)).astype(np.int32)
+
+
+def shard_transform(raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The transform of a shard of texts that lie one after the other in ``raw``: for each suffix in
+    order the ``STEP`` symbols before it and its LF mapping, where the suffix that begins with them
+    stands; and the order's place of each symbol.
+
+    Symbols are bytes + 1 (no byte of UTF-8 is 255); each text is followed by ``ENDS`` end symbols 0,
+    which rank by their texts. Places of symbols count in the texts so written. A suffix with fewer
+    symbols before it in its text gets 0 and -1. Suffixes that are ends only come first."""
+    texts, total = len(size), len(raw)
+    place = np.arange(total, dtype=np.int32) + np.repeat((ENDS * np.arange(texts)).astype(np.int32), size)
+    end = (np.cumsum(size) + ENDS * np.arange(texts)).astype(np.int32)
+    ends, n = np.repeat(end, size), total + ENDS * texts
+    symbols = np.zeros(n + STEP, np.uint8)
     symbols[place] = raw + 1
-    last = np.cumsum(size + 2) - 1
-    # order by eight symbols, then by doubling; an end symbol ranks by its text
-    packed = np.zeros(n, np.uint64)
-    for i in range(8):
-        packed = (packed << np.uint64(8)) | symbols[i : i + n]
-    # what follows the first end symbol does not count
-    body = packed[place]
-    zero = (np.repeat(last, size) - 1) - place  # symbols left before the end
-    short = zero < 8
-    keep = np.uint64(64) - (zero[short].astype(np.uint64) << np.uint64(3))
-    body[short] = (body[short] >> keep) << keep
-    # unlike texts that end within the eight symbols differ by their end
-    order = np.argsort(body, kind="stable")
-    rank = np.zeros(n + 1, np.int64)
-    m = len(texts)
-    rank[last], rank[last - 1] = np.arange(m), m + np.arange(m)
-    head = np.ones(len(body), bool)
-    head[1:] = body[order][1:] != body[order][:-1]
-    rank[place[order]] = 2 * m + np.maximum.accumulate(np.where(head, np.arange(len(body)), 0))
-    width = 8
+    key = np.zeros(n, np.uint64)
+    for i in range(STEP):
+        key = (key << np.uint64(8)) | symbols[i : i + n]
+    sorted_keys, order = _stably(key[place])
+    head = np.ones(total, bool)
+    head[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    rank = np.zeros(n, np.int32)
+    rank[end] = np.arange(texts)
+    rank[place[order]] = texts + np.maximum.accumulate(np.where(head, np.arange(total, dtype=np.int32), 0))
+    bits = np.uint64(max(1, (total + texts).bit_length()))
+    if 3 * int(bits) > 64:
+        raise ValueError("the shard is too large")
+    width = STEP
     while not head.all():
-        # only suffixes that share a rank are ordered anew, by the rank ``width`` further on
+        # only suffixes that share a rank are ordered anew, by the rank ``width`` further on; a tie
+        # reaches past an end only if both end at once, and the end's rank, by text, decides
         tied = ~head
         tied[:-1] |= ~head[1:]
         at = np.flatnonzero(tied)
-        own = place[order[at]]
-        end = np.repeat(last - 1, size)[order[at]]
-        # a tie reaches past an end only if both end at once: the end's rank, by text, decides
-        key = rank[np.minimum(own + width, end)]
-        group = rank[own]
-        new = np.lexsort((key, group))
-        order[at] = order[at][new]
-        key, group = key[new], group[new]
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-        head[at] = fresh
-        full = np.maximum.accumulate(np.where(head, np.arange(len(body)), 0))
-        rank[place[order[at]]] = 2 * m + full[at]
+        where = place[order[at]]
+        after = rank[np.minimum(where + width, ends[order[at]])]
+        packed = (((rank[where].astype(np.uint64) << bits) | after.astype(np.uint64)) << bits) | order[at].astype(np.uint64)
+        packed.sort()
+        order[at] = (packed & np.uint64((1 << int(bits)) - 1)).astype(np.int32)
+        packed >>= bits
+        head[at[1:]] = packed[1:] != packed[:-1]
+        rank[place[order[at]]] = texts + np.maximum.accumulate(np.where(head[at], at, 0)).astype(np.int32)
         width *= 2
-    ranked = np.concatenate((last, last - 1, place[order]))
-    before = np.zeros(n, np.uint16)
-    before[2:] = (symbols[: n - 2].astype(np.uint16) << 8) | symbols[1 : n - 1]
-    starts = last - size - 1
-    before[starts] = 0
-    before[np.minimum(starts + 1, n - 1)] = 0
-    return ranked, before[ranked]
-
-
-def step_back(before: np.ndarray, texts: int) -> np.ndarray:
-    """The LF mapping of a shard's transform, by two symbols: where in the shard's order the suffix
-    two places further left stands (-1 where there is none)."""
-    by = np.flatnonzero(before)
-    by = by[np.argsort(before[by], kind="stable")]
-    out = np.full(len(before), -1, np.int32)
-    out[by] = 2 * texts + np.arange(len(by))
-    return out
-
-
-def merge_transforms(transforms: list[np.ndarray], texts: list[int], colours: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Merge the shards' transforms (two symbols before each suffix, in the shard's order) of so
-    many texts each, refining their interleave round by round. ``colours`` are numbers of the
-    suffixes in the same order; suffixes of one text have one. Returns the merged order, as places
-    in the shards' orders laid end to end, and block numbers: suffixes of one block agree in their
-    first ``length`` symbols, and none of those is an end. Blocks of one colour only are left out:
-    whatever they are refined into has one colour too, so a round drops them for all later ones."""
-    if length % 2:
-        raise ValueError("an even length is needed: each round adds two symbols")
-    sizes = np.array([len(t) for t in transforms])
-    base = np.cumsum(sizes) - sizes
-    back = np.concatenate([step_back(t, k) + np.int32(b) for t, k, b in zip(transforms, texts, base.tolist(), strict=True)])
-    flat, colour = np.concatenate(transforms), np.concatenate(colours)
-    # end symbols come first, in the order of the texts; the last ones lead to suffixes that agree with nothing
-    ends = np.concatenate([b + np.arange(k, 2 * k) for k, b in zip(texts, base.tolist(), strict=True)])
-    body = np.concatenate([b + np.arange(2 * k, n) for k, n, b in zip(texts, sizes.tolist(), base.tolist(), strict=True)])
-    now = np.concatenate((ends, body)).astype(np.int32)
-    block = np.zeros(len(now), np.int32)  # nothing is compared yet
-    for turn in range(length // 2):
-        symbol = flat[now]
-        by = np.flatnonzero(symbol)
-        by = by[np.argsort(symbol[by], kind="stable")]
-        symbol, block, now = symbol[by], block[by], back[now[by]]
+    suffixes = np.concatenate((end, place[order]))
+    rank[suffixes] = np.arange(len(suffixes), dtype=np.int32)
+    begin = (end - size).astype(np.int32)
+    room = suffixes - np.concatenate((begin, np.repeat(begin, size)[order])) >= STEP
+    before, left = np.zeros(len(suffixes), np.uint64), np.full(len(suffixes), -1, np.int32)
+    before[room] = key[suffixes[room] - STEP]
+    left[room] = rank[suffixes[room] - STEP]
+    return before, left, rank
+
+
+def merge_transforms(before: np.ndarray, left: np.ndarray, now: np.ndarray, colour: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Merge shards, whose transforms lie end to end in ``before`` and ``left`` (LF mappings count in
+    both), refining the interleave ``now`` of suffixes round by round. Returns which of ``now`` are
+    left, and their block numbers: suffixes of one block are led by the same ``length`` symbols.
+    Blocks of one colour only are left out: whatever they are refined into has one colour too."""
+    if length % STEP:
+        raise ValueError("each round adds STEP symbols")
+    which, block = np.arange(len(now), dtype=np.int32), np.zeros(len(now), np.int32)  # nothing is compared yet
+    for _ in range(length // STEP):
+        symbols, by = _stably(before[now])
+        if not len(by):
+            break
+        block, now, which, colour = block[by], left[now[by]], which[by], colour[by]
         fresh = np.ones(len(by), bool)
-        fresh[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(fresh, dtype=np.int32)
-        if (turn % 3 == 2 or turn == length // 2 - 1) and len(now):
-            own, heads = colour[now], np.flatnonzero(fresh)
-            mixed = np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads)
-            stay = np.repeat(mixed, np.diff(np.append(heads, len(now))))
-            now, block = now[stay], block[stay]
-    return now, block
-
-
-def repeated_windows(texts: list[bytes], docs: np.ndarray, shard_bytes: int = SHARD_BYTES, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """For texts with a doc each: the smallest doc whose text has the window that starts at each
-    place of the joined texts (places without a whole window: the text's own doc), and where
-    each text begins there."""
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    begins = np.cumsum(size) - size
-    total = int(size.sum())
-    shards = max(2, min(256, -(-total // shard_bytes)))
-    bounds = np.unique(np.searchsorted(begins, np.linspace(0, total, shards + 1)[1:-1]))
-    bounds = [0, *[b for b in bounds.tolist() if 0 < b < len(texts)], len(texts)]
+        fresh[1:] = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
+        heads = np.flatnonzero(fresh)
+        n = np.diff(np.append(heads, len(by)))
+        mixed = np.minimum.reduceat(colour, heads) != np.maximum.reduceat(colour, heads)
+        stay = np.repeat(mixed, n)
+        now, which, colour = now[stay], which[stay], colour[stay]
+        block = np.repeat(np.arange(np.count_nonzero(mixed), dtype=np.int32), n[mixed])
+    return which, block
+
+
+def repeated_windows(raw: np.ndarray, size: np.ndarray, docs: np.ndarray, shard_bytes: int = SHARD_BYTES, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """For texts of at least ``length`` bytes, one after the other in ``raw``, with a doc each: the
+    smallest doc whose text has each window, and which text the window is from, in order."""
+    begin = np.cumsum(size) - size
+    shards = max(2, -(-len(raw) // shard_bytes))
+    bounds = np.unique(np.concatenate(([0, len(size)], np.searchsorted(begin, np.linspace(0, len(raw), shards + 1)[1:-1])))).tolist()
     ids, colour = np.unique(docs, return_inverse=True)
-    places, transforms, counts, colours = [], [], [], []
+    windows = size - length + 1
+    befores, lefts, starts, base = [], [], [], 0
     for a, b in zip(bounds, bounds[1:], strict=False):
-        order, before = shard_transform(texts[a:b])
-        own = np.repeat(np.arange(a, b), size[a:b] + 2)
-        inner = np.arange(len(order)) - 2 * (own - a)  # place in the shard's joined texts, for places that are no ends
-        end = np.cumsum(size[a:b] + 2)
-        inner[end - 1] = inner[end - 2] = -1
-        at = inner[order]
-        places.append(np.where(at >= 0, at + begins[a], -1))
-        transforms.append(before)
-        counts.append(b - a)
-        colours.append(colour[own[order]].astype(np.int32))
-    out = np.repeat(docs, size)
-    merged, block = merge_transforms(transforms, counts, colours, length)
-    if len(merged):
+        own, n = size[a:b], windows[a:b]
+        before, left, rank = shard_transform(raw[begin[a] : begin[b - 1] + size[b - 1]], own)
+        befores.append(before)
+        lefts.append(np.where(left >= 0, left + base, -1).astype(np.int32))
+        # the suffix right behind each window
+        first = begin[a:b] - begin[a] + ENDS * np.arange(b - a) + length
+        starts.append(rank[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)] + np.int32(base))
+        base += len(before)
+    text = np.repeat(np.arange(len(size), dtype=np.int32), windows)
+    own = colour.astype(np.int32)[text]
+    which, block = merge_transforms(np.concatenate(befores), np.concatenate(lefts), np.concatenate(starts), own, length)
+    least = own.copy()
+    if len(which):
         heads = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        least = np.minimum.reduceat(np.concatenate(colours)[merged], heads)
-        out[np.concatenate(places)[merged]] = ids[np.repeat(least, np.diff(np.append(heads, len(block))))]
-    return out, begins
+        least[which] = np.repeat(np.minimum.reduceat(own[which], heads), np.diff(np.append(heads, len(which))))
+    return ids[least], text
 
 
 # ---- stages ---------------------------------------------------------------------------------
@@ -242,23 +232,23 @@ def _texts(batch: pa.Table) -> tuple[list[int | None], list[bytes], list[int]]:
     return [ids[i] for i in order], [texts[i] for i in order], order
 
 
-def _ordered(batch: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, bytes]:
-    """Ids, sizes, bytes of a group's texts; those without an id count as empty."""
+def _ordered(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, sizes, bytes of a group's texts; those without an id, which come last, count as empty."""
     ids, texts, _ = _texts(batch)
     texts = [t if i is not None else b"" for i, t in zip(ids, texts, strict=True)]
-    joined = b"".join(texts)
-    return [i if i is not None else -1 for i in ids], np.fromiter(map(len, texts), np.int64, len(texts)), np.frombuffer(joined, np.uint8), joined
+    return np.array([i if i is not None else -1 for i in ids], np.int64), np.fromiter(map(len, texts), np.int64, len(texts)), np.frombuffer(b"".join(texts), np.uint8)
 
 
 def _table(shape: dict[str, pa.DataType], columns: list[list]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, shape.values(), strict=True)], names=list(shape))
 
 
-_I, _B = pa.int32(), pa.binary()
-_NOTE = {"dest": _I, "grp": _I, "keys": _B, "several": _B}
-_MAIL = {"grp": _I, "keys": _B}
-_PART = {"kind": _I, "dest": _I, "grp": _I, "numbers": _B, "texts": _B, "sizes": _B, "docs": _B}
-_TYPES = {_I: "int", _B: "binary"}
+_I, _L, _B = pa.int32(), pa.int64(), pa.binary()
+_NOTE = {"dest": _I, "grp": _I, "keys": _B, "counts": _B}
+_MAIL = {"grp": _I, "keys": _B, "parts": _B}
+#: Segments (kind 0) with their places, texts, sizes and documents, or answers (kind 1): runs of bytes that go.
+_PART = {"kind": _I, "dest": _L, "grp": _I, "onward": _L, "firsts": _B, "texts": _B, "sizes": _B, "docs": _B}
+_TYPES = {_I: "int", _L: "long", _B: "binary"}
 
 
 def _ddl(shape: dict[str, pa.DataType]) -> str:
@@ -269,7 +259,53 @@ def _rising(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.empty(0, np.int64)
 
 
-def substring_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool = False) -> DataFrame:
+def _runs(a: np.ndarray) -> list[tuple[int, int]]:
+    at = _rising(a).tolist()
+    return list(zip(at, [*at[1:], len(a)], strict=True))
+
+
+def _cut(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``raw``, one after the other."""
+    return raw[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)]
+
+
+def split_merge(rows: list[tuple]) -> list[tuple]:
+    """Merge the segments of one dest. ``rows`` are (grp, onward, firsts, texts, sizes, docs); returns rows
+    of ``_PART``: runs of bytes that go, for each group, and, of rows that name where to meet next, the
+    segments that still have a window left."""
+    sizes = [np.frombuffer(r[4], "<u2").astype(np.int64) for r in rows]
+    docs = [np.frombuffer(r[5], np.int64) for r in rows]
+    firsts = [np.cumsum(np.frombuffer(_loosen(r[2]), "<i4"), dtype=np.int64) for r in rows]
+    size, doc, first = np.concatenate(sizes), np.concatenate(docs), np.concatenate(firsts)
+    raw = np.frombuffer(b"".join(_loosen(r[3]) for r in rows), np.uint8)
+    least, text = repeated_windows(raw, size, doc)
+    gone = least < doc[text]
+    window = np.cumsum(size - LENGTH + 1) - (size - LENGTH + 1)
+    fresh = np.ones(len(text), bool)
+    fresh[1:] = (gone[1:] != gone[:-1]) | (text[1:] != text[:-1])
+    run = np.flatnonzero(fresh)
+    n = np.diff(np.append(run, len(text)))
+    run, n = run[gone[run]], n[gone[run]]
+    owner = text[run]
+    start = first[owner] + run - window[owner]
+    left = np.bincount(text[~gone], minlength=len(size)) > 0
+    begin, bound = np.cumsum(size) - size, np.cumsum([0, *map(len, sizes)])
+    out = []
+    for (grp, onward, *_), lo, hi in zip(rows, bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+        a, b = np.searchsorted(owner, [lo, hi])
+        if a < b:
+            out.append((1, grp, grp, 0, start[a:b].astype("<i4").tobytes(), b"", (n[a:b] + LENGTH - 1).astype("<u2").tobytes(), b""))
+        if onward and left[lo:hi].any():
+            keep = lo + np.flatnonzero(left[lo:hi])
+            out.append(segment_row(onward, grp, 0, first[keep], _cut(raw, begin[keep], size[keep]), size[keep], doc[keep]))
+    return out
+
+
+def segment_row(dest: int, grp: int, onward: int, first: np.ndarray, raw: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple:
+    return 0, dest, grp, onward, _squeeze(np.diff(first, prepend=0).astype("<i4").tobytes()), _squeeze(raw.tobytes()), size.astype("<u2").tobytes(), doc.astype("<i8").tobytes()
+
+
+def substring_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``carry``, text (what is left) and
     row (the other columns of ``docs`` and whether the text was null) of every row."""
     bound_batches(docs.sparkSession)
@@ -277,7 +313,7 @@ def substring_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool
     total = docs.agg(F.sum(size)).first()[0] or 0
     groups = max(1, math.ceil(total / group_bytes))
     buckets = groups * BUCKETS_A_GROUP
-    key = F.coalesce(F.xxhash64(F.col("doc_id").cast("long")), F.lit(0)) + F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
     columns = [F.pmod(key, F.lit(groups)).cast("int").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")]
     if carry:
         columns.append(F.struct(F.when(F.col("text").isNull(), F.lit(True)).alias("null"), *[F.col(c) for c in docs.columns if c != "text"]).alias("row"))
@@ -285,155 +321,100 @@ def substring_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool
     shift = np.uint64(64 - _KEY_BITS)
 
     def note(batch: pa.Table) -> pa.Table:
-        """The distinct minimizers of a document group, by the bucket that counts them."""
+        """The distinct minimizers of a document group, how often they occur and whether in several
+        documents, by the bucket that counts them."""
         grp = batch.column("grp")[0].as_py()
-        ids, sizes, raw, _ = _ordered(batch)
+        ids, sizes, raw = _ordered(batch)
         first, _, low = segments(raw, sizes)
-        doc = np.array(ids)[np.searchsorted(np.cumsum(sizes), first, "right")]
-        keys = low >> shift
+        doc, keys = ids[np.searchsorted(np.cumsum(sizes), first, "right")], low >> shift
         order = np.argsort(keys, kind="stable")
         keys, doc = keys[order], doc[order]
         at = _rising(keys)
         if not len(at):
             return _table(_NOTE, [[], [], [], []])
         several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+        counts = (np.diff(np.append(at, len(keys))) * 2 + several).astype("<u4")
         keys = keys[at]
         dest = (keys % np.uint64(groups)).astype(np.int64)
         order = np.argsort(dest, kind="stable")
-        cuts = np.searchsorted(dest[order], np.arange(groups + 1))
-        used = np.flatnonzero(np.diff(cuts)).tolist()
-        parts = [order[cuts[d] : cuts[d + 1]] for d in used]
-        return _table(_NOTE, [used, [grp] * len(used), [_six(keys[p]) for p in parts], [np.packbits(several[p]).tobytes() for p in parts]])
+        keys, counts, dest = keys[order], counts[order], dest[order]
+        runs = _runs(dest)
+        return _table(_NOTE, [[int(dest[a]) for a, _ in runs], [grp] * len(runs), [_six(keys[a:b]) for a, b in runs], [_squeeze(counts[a:b].tobytes()) for a, b in runs]])
 
     def count(batch: pa.Table) -> pa.Table:
-        """Tells each document group which of its minimizers occur in other documents too."""
+        """Tells each document group which of its minimizers occur in other documents too, and in how
+        many parts they are merged."""
         keys = [_unsix(b) for b in batch.column("keys").to_pylist()]
-        several = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(k)) for b, k in zip(batch.column("several").to_pylist(), keys, strict=True)]
-        grp = batch.column("grp").to_pylist()
+        counts = np.concatenate([np.frombuffer(_loosen(b), "<u4") for b in batch.column("counts").to_pylist()])
         flat = np.concatenate(keys)
         order = np.argsort(flat, kind="stable")
         at = _rising(flat[order])
         n = np.diff(np.append(at, len(flat)))
-        again = np.zeros(len(flat), bool)
-        again[order] = np.repeat((n > 1) | np.maximum.reduceat(np.concatenate(several)[order], at).astype(bool), n)
-        out, lo = [], 0
+        again, parts = np.zeros(len(flat), bool), np.zeros(len(flat), np.int64)
+        again[order] = np.repeat((n > 1) | (np.maximum.reduceat(counts[order] & 1, at) > 0), n)
+        occur = np.add.reduceat((counts[order] >> 1).astype(np.int64), at)
+        parts[order] = np.repeat(np.minimum(-(-occur // hot), (1 << _PART_BITS) - 1), n)
+        out, lo = ([], []), 0
         for k in keys:
-            out.append(_six(k[again[lo : lo + len(k)]]))
+            use = again[lo : lo + len(k)]
+            out[0].append(_six(k[use]))
+            out[1].append(_squeeze(parts[lo : lo + len(k)][use].astype("<u2").tobytes()))
             lo += len(k)
-        return _table(_MAIL, [grp, out])
+        return _table(_MAIL, [batch.column("grp").to_pylist(), *out])
 
     def collect(batch: pa.Table, mail: pa.Table) -> pa.Table:
-        """Distinct segments of a document group by bucket (kind 0), and where they occur (kind 1)."""
-        if not batch.num_rows:
-            return _table(_PART, [[] for _ in _PART])
+        """All segments of a document group that can repeat, by bucket, or by minimizer and part."""
+        empty = _table(_PART, [[] for _ in _PART])
+        if not batch.num_rows or not mail.num_rows:
+            return empty
         grp = batch.column("grp")[0].as_py()
-        ids, sizes, raw, joined = _ordered(batch)
-        again = np.sort(np.concatenate([_unsix(b) for b in mail.column("keys").to_pylist()] or [np.empty(0, np.uint64)]))
+        ids, sizes, raw = _ordered(batch)
+        again = np.concatenate([_unsix(b) for b in mail.column("keys").to_pylist()])
+        parts = np.concatenate([np.frombuffer(_loosen(b), "<u2") for b in mail.column("parts").to_pylist()])
+        if not len(again):
+            return empty
+        order = np.argsort(again)
+        again, parts = again[order], parts[order].astype(np.int64)
         first, n, low = segments(raw, sizes)
         keys = low >> shift
-        at = np.searchsorted(again, keys)
-        use = np.flatnonzero(again[np.minimum(at, len(again) - 1)] == keys) if len(again) else np.empty(0, np.int64)
-        first, n, keys = first[use], n[use], keys[use]
-        if not len(first):
-            return _table(_PART, [[] for _ in _PART])
-        known: dict[bytes, int] = {}
-        ends = (first + n + LENGTH - 1).tolist()
-        number = np.fromiter((known.setdefault(joined[a:b], len(known)) for a, b in zip(first.tolist(), ends, strict=True)), np.int64, len(first))
-        doc = np.array(ids)[np.searchsorted(np.cumsum(sizes), first, "right")]
-        least = np.full(len(known), np.iinfo(np.int64).max)
-        np.minimum.at(least, number, doc)
-        dest = np.empty(len(known), np.int64)
-        dest[number] = (keys % np.uint64(buckets)).astype(np.int64)
-        texts = list(known)
+        at = np.minimum(np.searchsorted(again, keys), len(again) - 1)
+        use = np.flatnonzero(again[at] == keys)
+        first, n, keys, parts = first[use], n[use], keys[use], parts[at[use]]
+        doc = ids[np.searchsorted(np.cumsum(sizes), first, "right")]
+        # hot minimizers have negative numbers; a group begins with a part of its own, so that groups spread
+        mine = (grp * 40503 + np.arange(len(keys)) // hot) % np.maximum(parts, 1)
+        dest = np.where(parts > 1, -1 - ((keys.astype(np.int64) << _PART_BITS) | mine), (keys % np.uint64(buckets)).astype(np.int64))
         order = np.argsort(dest, kind="stable")
-        cuts = np.searchsorted(dest[order], np.arange(buckets + 1))
-        cols: list[list] = [[], [], [], [], [], [], []]
-        for d in np.flatnonzero(np.diff(cuts)).tolist():
-            own = order[cuts[d] : cuts[d + 1]]
-            mine = [texts[i] for i in own.tolist()]
-            for c, x in zip(cols, (0, d, grp, own.astype("<i4").tobytes(), _squeeze(b"".join(mine)), np.fromiter(map(len, mine), "<i2", len(mine)).tobytes(), least[own].tobytes()), strict=True):
-                c.append(x)
-        for c, x in zip(cols, (1, grp, grp, _squeeze(number.astype("<i4").tobytes()), _squeeze(np.diff(first, prepend=0).astype("<i4").tobytes()), b"", b""), strict=True):
-            c.append(x)
-        return _table(_PART, cols)
+        first, size, doc, dest, keys = first[order], n[order] + LENGTH - 1, doc[order], dest[order], keys[order]
+        out = [segment_row(int(dest[a]), grp, -1 - int(keys[a]) if dest[a] < 0 else 0, first[a:b], _cut(raw, first[a:b], size[a:b]), size[a:b], doc[a:b]) for a, b in _runs(dest)]
+        return _table(_PART, [list(c) for c in zip(*out, strict=True)]) if out else empty
 
     def merge(batch: pa.Table) -> pa.Table:
-        """Each document group's windows that also start in a document of smaller id than the
-        group's smallest: runs (number, first window, last window + 1, that smallest id). What kind 1 says
-        goes on to its group untouched."""
-        onward = batch.filter(pc.equal(batch.column("kind"), 1))
-        batch = batch.filter(pc.equal(batch.column("kind"), 0))
-        if not batch.num_rows:
-            return onward
-        known: dict[bytes, int] = {}
-        where, least = [], []
-        for texts, sizes, docs_ in zip(*(batch.column(c).to_pylist() for c in ("texts", "sizes", "docs")), strict=True):
-            texts = _loosen(texts)
-            ends = np.cumsum(np.frombuffer(sizes, "<i2").astype(np.int64)).tolist()
-            where.append(np.fromiter((known.setdefault(texts[a:b], len(known)) for a, b in zip([0, *ends], ends, strict=False)), np.int64, len(ends)))
-            least.append(np.frombuffer(docs_, np.int64))
-        docs_ = np.full(len(known), np.iinfo(np.int64).max)
-        np.minimum.at(docs_, np.concatenate(where), np.concatenate(least))
-        source, begins = repeated_windows(list(known), docs_)
-        size = np.fromiter(map(len, known), np.int64, len(known))
-        # runs of windows with one source
-        head = np.zeros(len(source), bool)
-        head[1:] = source[1:] != source[:-1]
-        head[begins] = True
-        last = begins + size - LENGTH + 1
-        whole = np.arange(len(source)) < np.repeat(last, size)
-        run = np.flatnonzero(head & whole)
-        text = np.searchsorted(begins, run, "right") - 1
-        stop = np.minimum(np.append(run[1:], len(source)), last[text])
-        per = np.searchsorted(text, np.arange(len(known) + 1))
-        cols: list[list] = [[], [], [], [], [], [], []]
-        for grp, numbers, w in zip(batch.column("grp").to_pylist(), batch.column("numbers").to_pylist(), where, strict=True):
-            n = per[w + 1] - per[w]
-            r = np.repeat(per[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            mine = np.repeat(np.frombuffer(numbers, "<i4"), n)
-            a, b, s = run[r] - begins[text[r]], stop[r] - begins[text[r]], source[run[r]]
-            for c, x in zip(cols, (2, grp, grp, mine.astype("<i4").tobytes(), a.astype(np.uint8).tobytes(), b.astype(np.uint8).tobytes(), s.tobytes()), strict=True):
-                c.append(x)
-        return pa.concat_tables([onward.select(list(_PART)).cast(pa.schema(list(_PART.items()))), _table(_PART, cols)])
+        """The answers of one bucket or part; answers that are there already go on as they are."""
+        rows = list(zip(*(batch.column(c).to_pylist() for c in _PART), strict=True))
+        open_rows = [(r[2], r[3], *r[4:]) for r in rows if r[0] == 0]
+        out = [r for r in rows if r[0] == 1] + (split_merge(open_rows) if open_rows else [])
+        return _table(_PART, [list(c) for c in zip(*out, strict=True)] if out else [[] for _ in _PART])
 
     def remove(batch: pa.Table, mail: pa.Table) -> pa.Table:
         ids, texts, order_in = _texts(batch)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(sizes)
-        cover = np.zeros(int(sizes.sum()) + 1, np.int32)
-        kinds = mail.column("kind").to_pylist()
-        if 1 in kinds:
-            # texts without an id count as empty where the places were noted; they come last
-            i = kinds.index(1)
-            number = np.frombuffer(_loosen(mail.column("numbers")[i].as_py()), "<i4")
-            first = np.cumsum(np.frombuffer(_loosen(mail.column("texts")[i].as_py()), "<i4"), dtype=np.int64)
-            doc = np.array([x if x is not None else -1 for x in ids])[np.searchsorted(ends, first, "right")]
-            runs = [tuple(mail.column(c)[j].as_py() for c in ("numbers", "texts", "sizes", "docs")) for j, k in enumerate(kinds) if k == 2]
-            if runs:
-                num = np.concatenate([np.frombuffer(r[0], "<i4") for r in runs])
-                a = np.concatenate([np.frombuffer(r[1], np.uint8) for r in runs]).astype(np.int64)
-                b = np.concatenate([np.frombuffer(r[2], np.uint8) for r in runs]).astype(np.int64)
-                s = np.concatenate([np.frombuffer(r[3], np.int64) for r in runs])
-                order = np.argsort(num, kind="stable")
-                per = np.searchsorted(num[order], np.arange(int(num.max()) + 2))
-                n = per[number + 1] - per[number]
-                r = order[np.repeat(per[number] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                gone = np.repeat(doc, n) > s[r]
-                at, r = np.repeat(first, n)[gone], r[gone]
-                np.add.at(cover, at + a[r], 1)
-                np.add.at(cover, at + b[r] + LENGTH - 1, -1)
-        covered = np.cumsum(cover)[:-1] > 0
+        start = np.concatenate([np.empty(0, "<i4"), *(np.frombuffer(b, "<i4") for b in mail.column("firsts").to_pylist())]).astype(np.int64)
+        n = np.concatenate([np.empty(0, "<u2"), *(np.frombuffer(b, "<u2") for b in mail.column("sizes").to_pylist())]).astype(np.int64)
+        width = int(sizes.sum()) + 1
+        covered = np.cumsum(np.bincount(start, minlength=width) - np.bincount(start + n, minlength=width))[:-1] > 0
         raw = np.frombuffer(b"".join(texts), np.uint8)
         out: list[list] = [ids, sizes.tolist(), [], [], [], []]
         nulls = batch.column("row").combine_chunks().field("null").take(pa.array(order_in, pa.int64())).to_pylist() if carry else []
         for i, (lo, hi) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
             own = covered[lo:hi]
             kept = raw[lo:hi][~own].tobytes()
-            out[2].append(int(own.sum()))
+            out[2].append(hi - lo - len(kept))
             out[3].append(int((own[1:] & ~own[:-1]).sum()) + int(len(own) > 0 and bool(own[0])))
             out[4].append(hashlib.sha256(kept).hexdigest())
             if carry:
-                out[5].append(None if nulls[i] else kept.decode("utf-8", "ignore"))
+                out[5].append(None if nulls[i] else _whole_characters(texts[i], own))
         columns = [pa.array(out[0], pa.int64()), *(pa.array(c, pa.int64()) for c in out[1:4]), pa.array(out[4], pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if carry:
@@ -446,12 +427,21 @@ def substring_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool
     # one plan, so that the texts are dealt to their groups once: all three passes read that exchange
     parts = rows.groupBy("grp").cogroup(mail.groupBy("grp")).applyInArrow(_with_mail(collect), _ddl(_PART))
     answers = parts.groupBy("dest").applyInArrow(_alone(merge), _ddl(_PART))
+    answers = answers.groupBy("dest").applyInArrow(_alone(merge), _ddl(_PART))
     shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if carry:
         shape += ", text string, row " + rows.schema["row"].dataType.simpleString()
     return rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_with_mail(remove), shape)
 
 
+def _whole_characters(text: bytes, gone: np.ndarray) -> str:
+    """What is left of a text. A character of which a part goes, goes: halves never meet."""
+    if not gone.any():
+        return text.decode("utf-8", "ignore")
+    edges = [0, *(np.flatnonzero(gone[1:] != gone[:-1]) + 1).tolist(), len(gone)]
+    return "".join(text[a:b].decode("utf-8", "ignore") for a, b in zip(edges, edges[1:], strict=False) if not gone[a])
+
+
 def _alone(step):
     """A step on one table of a group that leaves its worker trimmed."""
 
@@ -498,7 +488,7 @@ def removal(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, repeated strings taken out of their texts; the columns stay the same,
     ``n_chars`` (if there is one) counts what is left, and a null text stays null. Where a cut
-    leaves half a character, that half goes too."""
+    leaves a part of a character, that part goes too."""
     text = F.col("text")
     out = substring_spans(docs, carry=True)
     return out.select(*[text if c == "text" else F.coalesce(F.length(text), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -241,17 +241,31 @@ def brute_removal(docs, n=50):
 
 def test_merged_transforms_equal_brute_force():
     random.seed(1)
-    for _ in range(150):
-        n, letters = random.choice([4, 6, 10, 50]), random.choice([b"a", b"ab", b"abc\xf4"])
-        texts = list({bytes(random.choice(letters) for _ in range(random.randint(n, n + 34))) for _ in range(random.randint(1, 12))})
+    for _ in range(200):
+        n, letters = random.choice([5, 10, 20, 50]), random.choice([b"a", b"ab", b"abc\xf4"])
+        texts = [bytes(random.choice(letters) for _ in range(random.randint(n, n + 34))) for _ in range(random.randint(1, 12))]
+        texts += random.choices(texts, k=random.randint(0, 6))
         docs = np.array([random.randint(0, 9) for _ in texts])
-        found, begins = bwt_dedup.repeated_windows(texts, docs, random.choice([10, 60, 1000]), n)
+        raw, size = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+        found, text = bwt_dedup.repeated_windows(raw, size, docs, random.choice([10, 60, 1000]), n)
         least = {}
-        for t, d in zip(texts, docs, strict=True):
+        for t, d in zip(texts, docs.tolist(), strict=True):
             for j in range(len(t) - n + 1):
                 least[t[j : j + n]] = min(least.get(t[j : j + n], 99), d)
-        for t, b in zip(texts, begins, strict=True):
-            assert found[b : b + len(t) - n + 1].tolist() == [least[t[j : j + n]] for j in range(len(t) - n + 1)]
+        assert list(zip(found.tolist(), text.tolist(), strict=True)) == [(least[t[j : j + n]], i) for i, t in enumerate(texts) for j in range(len(t) - n + 1)]
+
+
+def test_transform_is_the_suffix_order():
+    random.seed(7)
+    texts = [bytes(random.choice(b"ab") for _ in range(random.randint(5, 30))) for _ in range(20)]
+    before, left, rank = bwt_dedup.shard_transform(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]))
+    begin = np.cumsum([0, *(len(t) + bwt_dedup.ENDS for t in texts)])
+    suffixes = sorted(((t[j:], i), i, j) for i, t in enumerate(texts) for j in range(len(t) + 1))
+    for r, (_, i, j) in enumerate(suffixes):
+        assert rank[begin[i] + j] == r
+        symbols = texts[i][j - 5 : j] if j >= 5 else b""
+        assert int(before[r]) == int.from_bytes(bytes(c + 1 for c in symbols), "big")
+        assert left[r] == (rank[begin[i] + j - 5] if j >= 5 else -1)
 
 
 def test_removal(spark):
@@ -261,12 +275,37 @@ def test_removal(spark):
     docs = [(i, "".join(random.choice([word(), random.choice(shared)]) for _ in range(4))) for i in range(30)]
     docs += [(40, "y" * 3000), (41, "y" * 3000), (42, "ab" * 2000), (43, "ba" * 2000), (44, None), (45, ""), (3, docs[3][1]), (3, shared[0]), (None, shared[1]), (46, shared[1]), (47, "z" * 49), (48, "z" * 49), (49, "z" * 50), (50, "z" * 50), (-5, shared[2])]
     frame = spark.createDataFrame([(*d, 5, "g") for d in docs], "doc_id long, text string, grp int, kind string")
-    for size in (1 << 22, 4000):
-        got = bwt_dedup.substring_spans(frame, size).collect()
-        assert Counter(map(tuple, got)) == brute_removal(docs), size
+    for size, hot in ((1 << 22, 1 << 14), (4000, 1 << 14), (4000, 3)):  # one group, several, minimizers in parts
+        got = bwt_dedup.substring_spans(frame, size, hot=hot).collect()
+        assert Counter(map(tuple, got)) == brute_removal(docs), (size, hot)
     assert bwt_dedup.removal(frame.limit(0)).count() == 0
 
 
+def test_nothing_goes_without_the_merge(monkeypatch):
+    text = np.frombuffer(b"q" * 60 * 2, np.uint8)
+    rows = [(0, 0, bwt_dedup._squeeze(np.array([0, 60], "<i4").tobytes()), bwt_dedup._squeeze(text.tobytes()), np.array([60, 60], "<u2").tobytes(), np.array([1, 2], "<i8").tobytes())]
+    assert [r[0] for r in bwt_dedup.split_merge(rows)] == [1]
+    monkeypatch.setattr(bwt_dedup, "merge_transforms", lambda *a: (np.empty(0, np.int32), np.empty(0, np.int32)))
+    assert bwt_dedup.split_merge(rows) == []
+
+
+def test_a_hot_minimizer_is_merged_in_parts():
+    """Of copies that fill a part one is left for the second merge, and it is the first document's."""
+    text = bytes(range(60, 120))
+    size, n = np.full(500, 60), 500
+    row = (7, -5, bwt_dedup._squeeze(np.diff(np.arange(n) * 60, prepend=0).astype("<i4").tobytes()), bwt_dedup._squeeze(text * n), size.astype("<u2").tobytes(), np.arange(3, n + 3).astype("<i8").tobytes())
+    out = bwt_dedup.split_merge([row])
+    assert [(r[0], r[1]) for r in out] == [(1, 7), (0, -5)]
+    assert np.frombuffer(out[1][7], np.int64).tolist() == [3] and bwt_dedup._loosen(out[1][5]) == text
+
+
+def test_halves_of_characters_do_not_meet(spark):
+    run = "q" * 60
+    docs = spark.createDataFrame([(1, "ß" + run + "ñ"), (5, "aџ" + run + "éz"), (6, None), (7, "w " * 300_000)], "doc_id long, text string")
+    for left in ({r.doc_id: r.text for r in bwt_dedup.without_repeats(docs).collect()}, {5: bwt_dedup._whole_characters("aџxéz".encode(), np.array([0, 0, 1, 1, 1, 0, 0], bool))}):
+        assert left[5] == "az"
+
+
 def test_removal_keeps_columns(spark):
     docs = odd_documents(spark, [(20, "é" + "q" * 80), (21, "zé" + "q" * 80), (22, None)])
     got = {(r.doc_id, r.text, r.n_chars, r.grp) for r in bwt_dedup.without_repeats(docs).collect()}
