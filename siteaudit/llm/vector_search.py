@@ -4,22 +4,25 @@ A vector is the sum of one word from each of ``books`` codebooks of full dimensi
 are fitted one after the other to the residuals of a bounded sample (``SAMPLE`` rows of smallest
 hash); encoding keeps the best ``beam`` partial sums at each book. The norm of the decoded vector is
 stored beside the codes. A query makes one table of inner products with all words; a row's score
-is the sum of the entries its codes name (for the L2 measure less half the stored norm). The best
+is the sum of the entries its codes name (with ``measure`` l2 less half the stored norm). The best
 rows of each slice by that score are then reranked with the original vectors in double precision,
 and the best of all slices remain. Slices have one size, so recall does not fall as rows grow.
 
-Every row is indexed; queries are taken in blocks of ``BLOCK`` so that what is broadcast has a
-fixed bound, and each block is searched against all rows.
+Every row is indexed and keeps a random number that deals it to a chunk of about ``CHUNK`` rows;
+queries are dealt to blocks of about ``BLOCK``. Each block meets each chunk in one task, which keeps
+its best over the chunk's slices, so neither queries nor rows pass the driver (the sample alone
+does) and the plan has one size. The search is exhaustive over the codes: its work is queries times
+rows.
 
 Vectors that are null, zero, of another length than the first book's, or hold null or non-finite
 components take no part, neither as query nor as candidate. Repeated ids are rows of their own; a
-query never meets a row of its own id. Ties go to the smaller vec_id. Other columns are ignored.
+query never meets a row of its own id. Ties go to the smaller vec_id. An empty table gives no rows. Other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,8 @@ SAMPLE = 8192
 #: Rows that compete for one shortlist; of so many, each query reranks ``SHORTLIST``.
 SLICE = 8192
 SHORTLIST = 320
-BLOCK = 4096
+#: Rows and queries that meet in one task.
+CHUNK, BLOCK = 65_536, 8_192
 ROUNDS = 8
 
 
@@ -89,7 +93,7 @@ def table_scores(queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, book
     return scores - 0.5 * norms if measure == "l2" else scores
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int, shortlist: int):
+def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int, shortlist: int, measure: str = "ip"):
     """(query position, id, exact score) of the best k rows of each query. Equal vectors compete
     as one, so however many copies there are, they take one place of the shortlist; each then
     stands for its k smallest ids."""
@@ -108,7 +112,7 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
     qs, vs, ss = [], [], []
     for lo in range(0, len(queries), 256):
         q, own = queries[lo : lo + 256], query_ids[lo : lo + 256]
-        scores = table_scores(q, codes, norms, books)
+        scores = table_scores(q, codes, norms, books, measure)
         scores[(own[:, None] == lowest) & (own[:, None] == highest)] = -np.inf
         least = -np.partition(-scores, n - 1, 1)[:, n - 1]
         for i in range(len(q)):
@@ -116,7 +120,7 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
             short = np.concatenate((above, np.flatnonzero(scores[i] == least[i])[: n - len(above)]))
             short = short[scores[i, short] > -np.inf]
             # summed row by row, so that equal vectors of other slices have equal scores
-            exact = (vectors[short] * q[i]).sum(1)
+            exact = (vectors[short] * q[i]).sum(1) if measure == "ip" else -((vectors[short] - q[i]) ** 2).sum(1)
             if len(short) > k:
                 near = exact >= -np.partition(-exact, k - 1)[k - 1]
                 short, exact = short[near], exact[near]
@@ -148,16 +152,25 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id and score: the k nearest found for each query row."""
+def bounded_sample(rows: DataFrame, n: int, total: int) -> np.ndarray:
+    """About ``n`` of ``total`` vectors, those of smallest hash; what reaches the driver does not grow
+    with rows or tasks."""
+    share = min(1.0, 1.25 * n / max(1, total))
+    mixed = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30))
+    some = rows.where(mixed <= int(share * (1 << 30))).orderBy(mixed, "vec_id").limit(n).select("embedding")
+    found = [np.asarray(v) for v in some.toPandas()["embedding"]]
+    return np.stack([v for v in found if len(v) == len(found[0])]) if found else np.empty((0, 0))
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = SHORTLIST, sample: int = SAMPLE, measure: str = "ip", chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id and score: the k nearest found for each query row. The score is the inner
+    product, or with ``measure`` l2 the squared distance, negative."""
     rows, queries = usable(rows), usable(queries)
     spark = rows.sparkSession
-    shape = "query_id long, rank int, vec_id long, score double"
-    taught = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    taught = bounded_sample(rows, sample, rows.count())
     if not len(taught):
-        return spark.createDataFrame([], shape)
-    dim = len(taught["embedding"].iloc[0])
-    taught = np.stack([v for v in taught["embedding"] if len(v) == dim])
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim = taught.shape[1]
     books = spark.sparkContext.broadcast(fit(taught))
     rows, queries = rows.where(F.size("embedding") == dim), queries.where(F.size("embedding") == dim)
 
@@ -165,32 +178,40 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = SH
         for b in batches:
             codes, norms = encode(matrix(b.column(1)), books.value)
             packed = pa.array([c.tobytes() for c in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, packed, pa.array(norms)], ["vec_id", "embedding", "codes", "norm"])
-
-    indexed = materialize(rows.mapInArrow(index, "vec_id long, embedding array<double>, codes binary, norm float"), "codes")
-    asked = materialize(queries, "queries")
-    n = asked.count()
-    found = []
-    for block in range(max(1, -(-n // BLOCK))):
-        blocks = max(1, -(-n // BLOCK))
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
-
-        own = own.toPandas()  # about BLOCK rows
-        if not len(own):
-            continue
-        held = spark.sparkContext.broadcast((own["vec_id"].to_numpy(), np.stack(own["embedding"].to_numpy())))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            qid, q = held.value
-            slices = (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE))
-            for b in slices:
-                codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                at, ids, scores = best_of(q, qid, matrix(b.column(1)), b.column(0).to_numpy(), codes, b.column(3).to_numpy(), books.value, k, shortlist)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(qid[at]), pa.array(ids), pa.array(scores)], ["at", "query_id", "vec_id", "score"])
-
-        found.append(indexed.mapInArrow(run, "at int, query_id long, vec_id long, score double").withColumn("block", F.lit(block)))
-    if not found:
-        return spark.createDataFrame([], shape)
-    order = Window.partitionBy("block", "at", "query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            yield pa.RecordBatch.from_arrays([*b.columns, packed, pa.array(norms)], ["vec_id", "embedding", "spread", "codes", "norm"])
+
+    # the random numbers are written, so that a task that runs again deals alike
+    spread = F.xxhash64("vec_id", F.monotonically_increasing_id())
+    indexed = materialize(rows.select("vec_id", "embedding", spread.alias("spread")).mapInArrow(index, "vec_id long, embedding array<double>, spread long, codes binary, norm float"), "codes")
+    asked = materialize(queries.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding", spread.alias("spread")), "queries")
+    chunks, blocks = (max(1, -(-t.count() // n)) for t, n in ((indexed, chunk), (asked, block)))
+    shape = "row long, query_id long, vec_id long, score double"
+
+    def meet(own: pa.Table, held: pa.Table) -> pa.Table:
+        names = ["row", "query_id", "vec_id", "score"]
+        if not own.num_rows or not held.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())], names=names)
+        own, held = own.combine_chunks(), held.sort_by([("vec_id", "ascending"), ("spread", "ascending")]).combine_chunks()
+        row, qid, q = own.column("row").to_numpy(), own.column("vec_id").to_numpy(), matrix(own.column("embedding").combine_chunks())
+        # a slice takes every so manieth row, so that slices are alike in size and kind
+        slices = max(1, -(-held.num_rows // SLICE))
+        found = []
+        for i in range(slices):
+            part = held.take(pa.array(np.arange(i, held.num_rows, slices))).combine_chunks()
+            codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+            found.append(best_of(q, qid, matrix(part.column("embedding").combine_chunks()), part.column("vec_id").to_numpy(), codes, part.column("norm").to_numpy(), books.value, k, shortlist, measure))
+        at, ids, scores = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((ids, -scores, at))
+        at, ids, scores = at[order], ids[order], scores[order]
+        best = np.arange(len(at)) - np.searchsorted(at, at) < k
+        at, ids, scores = at[best], ids[best], scores[best]
+        return pa.table([pa.array(row[at]), pa.array(qid[at]), pa.array(ids), pa.array(scores)], names=names)
+
+    def cells(table: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return table.withColumn(own, F.pmod("spread", F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+
+    left, right = cells(asked, "block", blocks, "chunk", chunks), cells(indexed, "chunk", chunks, "block", blocks)
+    found = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(meet, shape)
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
