@@ -2,17 +2,21 @@
 ``SIMILARITY`` or more.
 
 Sets at that similarity differ in some ten of 64 fingerprint bits, far too many for shards of equal
-bits. So shards are least hashes here: of ``KEYS`` hash orders each gives the set's first shingle,
-and two sets of similarity s share none with a probability of (1 - s) ** KEYS, 0.0000026 at 0.8. In
-a shard the fingerprints of different sets are searched within ``RADIUS`` bits, which a pair at 0.8
-exceeds with a probability of about 0.0001, and every link is tested on the shingles themselves. So
-a link is always right, and next to none is missed.
+bits. So shards are least hashes here: of ``BANDS`` times ``ROWS`` hash orders each gives the set's
+first shingle, and a shard is what the orders of one band give. Two sets of similarity 0.8 share none
+with a probability of 0.0002; sets that share no more than a passage hardly meet. In a shard the
+fingerprints are searched within ``RADIUS`` bits, which a pair at 0.8 exceeds with a probability of
+0.001, and every link is tested on the shingles themselves. So a link is always right, and next to
+none is missed.
 
 A large group of near copies shares its shards. It is not compared pair by pair: first each shard
 has a tree of one root only, the set whose fingerprint is nearest to the majority of all bits in the
-shard, which is nearest to what the copies were made from; what it links leaves the search. After
-``ROUNDS`` of this all that is still apart from its shard's largest group is searched in the shard's
-trees, against everything there. Equal sets count once.
+shard, which is nearest to what the copies were made from; what it links leaves the search, and a
+root is taken from the rest, ``ROUNDS`` times. All that is then still apart from its shard's largest
+group is searched in the shard's trees, against everything there. Pairs below 0.8 are many where
+copies differ much, so a sketch of ``CELLS`` bytes (the first shingle of each cell of one more hash
+order) has to agree as pairs at 0.8 do, to within ``DEVIATIONS`` standard deviations, before the texts
+are fetched. Equal sets count once.
 
 Null text counts as empty; empty texts are equal. Texts of any length are read whole. Repeated rows
 and copies leave one row, an empty table none; other columns come along, whatever their names.
@@ -33,13 +37,15 @@ from siteaudit.llm.simhash import TREE, BKTree, components, in_trees, one_each,
 
 SIMILARITY = 0.8
 SHINGLE = 5
-KEYS = 8
-RADIUS = 20
+BANDS, ROWS = 16, 4
+RADIUS = 18
 ROUNDS = 2
+CELLS, DEVIATIONS = 256, 3.5
 #: Pairs of one set that are tested in one place.
 SALT = 1024
 _TOGETHER = 256
-_ORDERS = np.random.default_rng(5).integers(1, 1 << 63, (KEYS, 2), dtype=np.uint64) | np.uint64(1)
+_ORDERS = np.random.default_rng(5).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
+_FOLD = np.random.default_rng(6).integers(1, 1 << 63, ROWS + 1, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -53,31 +59,51 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return shared >= least * (len(a) + len(b) - shared) - 1e-9
 
 
-def least_hashes(own: np.ndarray) -> np.ndarray:
-    """The first shingle of the set in each hash order, marked with the order."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """The shards of a set: in each band the first shingle of each of its hash orders."""
     if not len(own):
         return np.empty(0, np.uint64)
-    mixed = (own ^ _ORDERS[:, :1]) * _ORDERS[:, 1:]
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(3)).min(1) * np.uint64(8) + np.arange(len(_ORDERS), dtype=np.uint64) % np.uint64(8)
+    least = _mixed((own ^ _ORDERS[:, :1]) * _ORDERS[:, 1:]).min(1).reshape(BANDS, ROWS)
+    return _mixed((least * _FOLD[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _FOLD[ROWS])
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """A byte (1 to 255) of the first shingle of each cell, 0 for empty cells."""
+    out = np.zeros(CELLS, np.uint8)
+    h = np.sort(_mixed(own * _FOLD[0]))
+    cell = (h >> np.uint64(56)).astype(np.int64) * CELLS >> 8
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    out[cell[first]] = h[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Whether sketches (rows of bytes) agree as those of similar sets do."""
+    used = ((a | b) != 0).sum(1)
+    return ((a == b) & (a != 0)).sum(1) >= least * used - DEVIATIONS * np.sqrt(least * (1 - least) * used) - 1
 
 
 def with_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, text_hash, key (of the set), n (its size), fp and its shards of every row."""
+    """doc_id, text_hash, key (of the set), n (its size), fp, sketch and shards of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py(), k) for t in b.column(2)]
             keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
             fps = np.array([vote(s) for s in sets], np.uint64)
-            firsts = [least_hashes(s).view(np.int64) for s in sets]
+            firsts = [band_keys(s).view(np.int64) for s in sets]
             at = np.concatenate(([0], np.cumsum([len(f) for f in firsts]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps.view(np.int64)), lists], ["doc_id", "text_hash", "key", "n", "fp", "shards"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps.view(np.int64)), pa.array([sketch(s) for s in sets], pa.binary()), lists], ["doc_id", "text_hash", "key", "n", "fp", "sketch", "shards"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, key long, n long, fp long, shards array<long>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, key long, n long, fp long, sketch binary, shards array<long>")
 
 
 def _sized(a: Column, b: Column, least: float) -> Column:
@@ -85,8 +111,8 @@ def _sized(a: Column, b: Column, least: float) -> Column:
 
 
 def by_roots(apart: DataFrame, largest: DataFrame | None, radius: int, least: float) -> DataFrame:
-    """Pairs (a, b): each shard's root and what it has within the radius and not yet in its component.
-    The root is taken from what is not in the shard's largest component."""
+    """Pairs (a, b): each shard's root and what it has within the radius, of what is not in the shard's
+    largest component."""
     free = apart if largest is None else apart.join(largest, "shard").where("root <> most").drop("most")
     bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
     middle = F.lit(0).cast("long")
@@ -96,20 +122,26 @@ def by_roots(apart: DataFrame, largest: DataFrame | None, radius: int, least: fl
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
     roots = free.join(middles, "shard").groupBy("shard").agg(F.min_by(F.struct("key", "n", "fp", "root"), F.struct(far, "key")).alias("r"))
     near = (F.col("root") != F.col("r.root")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("r.fp"))) <= radius) & _sized(F.col("n"), F.col("r.n"), least)
-    return apart.join(roots, "shard").where(near).select(F.col("r.key").alias("a"), F.col("key").alias("b")).distinct()
+    return free.join(roots, "shard").where(near).select(F.col("r.key").alias("a"), F.col("key").alias("b")).distinct()
 
 
 def by_trees(apart: DataFrame, largest: DataFrame, radius: int, least: float, tree: int = TREE) -> DataFrame:
-    """Pairs (a, b) within the radius and in different components, a outside its shard's largest one."""
+    """Pairs (a, b) within the radius and in different components, a outside its shard's largest one,
+    whose sketches agree."""
 
     def run(members: list[np.ndarray], asked: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        (key, fp, n, root), search = members, BKTree(members[1].view(np.uint64))
+        (key, fp, n, root, bins), search = members, BKTree(members[1].view(np.uint64))
+        bins = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, CELLS)
         for lo in range(0, len(asked[0]), _TOGETHER):
             own = [c[lo : lo + _TOGETHER] for c in asked]
+            mine = np.frombuffer(b"".join(own[4]), np.uint8).reshape(-1, CELLS)
             q, v = search.within(own[1].view(np.uint64), radius)
             small, large = np.minimum(own[2][q], n[v]), np.maximum(own[2][q], n[v])
-            fits = (own[3][q] != root[v]) & (small >= least * large - 1e-9)
-            yield own[0][q[fits]], key[v[fits]]
+            fits = np.flatnonzero((own[3][q] != root[v]) & (small >= least * large - 1e-9))
+            for at in range(0, len(fits), 1 << 15):
+                part = fits[at : at + (1 << 15)]
+                part = part[may_be_similar(mine[q[part]], bins[v[part]], least)]
+                yield own[0][q[part]], key[v[part]]
 
     free = apart.join(largest, "shard").where("root <> most").select(apart.columns)
     found = in_trees(apart, free, run, tree)
@@ -142,7 +174,7 @@ def drop_near_copies(docs: DataFrame, least: float = SIMILARITY, k: int = SHINGL
     bound_batches(docs.sparkSession)
     marked = materialize(with_sets(docs, k), "sets")
     rank = lambda c: F.struct(F.col(f"{c}doc_id").isNull(), f"{c}doc_id", f"{c}text_hash")
-    own = materialize(marked.groupBy("key").agg(F.min_by(F.struct("doc_id", "text_hash"), rank("")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("shards").alias("shards")), "distinct")
+    own = materialize(marked.groupBy("key").agg(F.min_by(F.struct("doc_id", "text_hash"), rank("")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("shards").alias("shards")), "distinct")
     rows = own.select(F.explode("shards").alias("shard"), "key", "fp", "n")
     met = rows.groupBy("shard").agg(F.count("*").alias("met")).where("met > 1").select("shard")
     rows = materialize(rows.join(met, "shard"), "shared")
@@ -159,7 +191,10 @@ def drop_near_copies(docs: DataFrame, least: float = SIMILARITY, k: int = SHINGL
             apart = materialize(known.join(mixed, "shard"), "apart")
             sizes = apart.groupBy("shard", "root").count()
             largest = sizes.groupBy("shard").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-        pairs = by_roots(apart, largest, radius, least) if turn < ROUNDS else by_trees(apart, largest, radius, least, tree)
+        if turn < ROUNDS:
+            pairs = by_roots(apart, largest, radius, least)
+        else:
+            pairs = by_trees(apart.join(own.select("key", "sketch"), "key").select("shard", "key", "fp", "n", "root", "sketch"), largest, radius, least, tree)
         pairs = materialize(pairs, "pairs")
         found = materialize(tested(pairs, texts, k, least), "links")
         discard(pairs)

@@ -172,7 +172,7 @@ def shards(fp: Column, count: int, tree: int = TREE) -> Column:
 
 def in_trees(members: DataFrame, queries: DataFrame, run: Callable[[list[np.ndarray], list[np.ndarray]], Iterator[tuple[np.ndarray, np.ndarray]]], tree: int = TREE) -> DataFrame:
     """(u, v) that ``run`` gives for each tree's members (whole columns) and its queries (columns, a
-    batch at a time). Both tables have the columns shard, key and others, all longs; members of one
+    batch at a time). Both tables have the columns shard, key and others; members of one
     shard are dealt to trees of about ``tree`` by their key, and queries go to each of its trees."""
     names = [c for c in members.columns if c != "shard"]
     parts = members.groupBy("shard").agg(F.ceil(F.count("*") / tree).cast("long").alias("parts"))
@@ -196,7 +196,7 @@ def in_trees(members: DataFrame, queries: DataFrame, run: Callable[[list[np.ndar
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for b in batches:
-            columns = [c.to_numpy() for c in b.columns]
+            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             cuts = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1
             bounds = [0, *cuts.tolist(), b.num_rows]
             out = [o for x, y in zip(bounds, bounds[1:], strict=False) if x < y for o in one([c[x:y] for c in columns]) if o.num_rows]
