@@ -18,17 +18,37 @@ class Node:
         return [c for c in self.children if isinstance(c, Node)]
 
     def walk(self):
-        for c in self.elements():
-            yield c
-            yield from c.walk()
+        """All elements below in page order. Pages may be nested to any depth, so nothing here calls itself."""
+        todo = self.elements()[::-1]
+        while todo:
+            n = todo.pop()
+            yield n
+            todo += n.elements()[::-1]
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else "" if c.tag in ("script", "style") else c.text() for c in self.children)
+        out, todo = [], self.children[::-1]
+        while todo:
+            c = todo.pop()
+            if isinstance(c, str):
+                out.append(c)
+            elif c.tag not in ("script", "style"):
+                todo += c.children[::-1]
+        return "".join(out)
 
     def html(self) -> str:
-        inner = "".join(escape(c, False) if isinstance(c, str) else c.html() for c in self.children)
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}>" + ("" if self.tag in _VOID else f"{inner}</{self.tag}>")
+        out, todo = [], [self]
+        while todo:
+            c = todo.pop()
+            if isinstance(c, tuple):
+                out.append(c[0])
+            elif isinstance(c, str):
+                out.append(escape(c, False))
+            else:
+                out.append(f"<{c.tag}{''.join(f' {k}="{escape(v)}"' for k, v in c.attrs.items())}>")
+                if c.tag not in _VOID:
+                    todo.append((f"</{c.tag}>",))
+                    todo += c.children[::-1]
+        return "".join(out)
 
 
 class _Tree(HTMLParser):

@@ -73,6 +73,10 @@ def _json_types(node) -> list[str]:
     return [_type_name(t) for t in out]
 
 
+#: What may stand in a head; anything else begins the body.
+_HEAD = frozenset("html head title base link meta script style noscript template".split())
+
+
 class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -88,8 +92,8 @@ class _Reader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in reversed(attrs)}
         f = self.facts
-        if tag == "body":
-            self.in_head = False
+        if tag not in _HEAD:
+            self.in_head = False  # both the end of the head and the start of the body may be left out
         if tag in _BLOCKS:
             self.text.append(" ")
         if tag == "html" and f.lang is None:
@@ -196,6 +200,8 @@ class _Reader(HTMLParser):
             return
         for caught in self.catching.values():
             caught.append(data)
+        if self.in_head and "title" not in self.catching and data.strip():
+            self.in_head = False
         if "title" not in self.catching and not self.in_head:
             self.text.append(data)
 

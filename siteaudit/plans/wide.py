@@ -8,10 +8,10 @@ values and NULL hashes are left out before they could meet in one group.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siteaudit.functions import expressions as X
 from siteaudit.sources.crawl import Crawl
@@ -31,8 +31,9 @@ def _links(crawl: Crawl) -> DataFrame:
         F.count_if(F.col("norm").isin(*X.GENERIC_ANCHORS)).alias("anchor_generic"),
         F.count_distinct("norm").alias("distinct_anchors"),
     )
-    counted = links.where("norm <> ''").groupBy(F.col("to_url_id").alias("id"), "norm").agg(F.count("*").alias("n"), F.min("anchor_text").alias("anchor"))
-    top = counted.groupBy("id").agg(F.min(F.struct(-F.col("n"), "norm", "anchor")).alias("t")).select("id", F.col("t.anchor").alias("top_anchor"))
+    # blank anchors are a group like others: a page linked mostly by images has no top anchor
+    counted = links.groupBy(F.col("to_url_id").alias("id"), "norm").agg(F.count("*").alias("n"), F.min("anchor_text").alias("anchor"))
+    top = counted.groupBy("id").agg(F.min(F.struct(-F.col("n"), "anchor")).alias("t")).select("id", F.col("t.anchor").alias("top_anchor"))
     return summed.join(top, "id", "left")
 
 
@@ -76,16 +77,41 @@ def _extractions(crawl: Crawl) -> DataFrame:
 
 def _metrics(crawl: Crawl) -> DataFrame:
     entry = F.struct(F.concat_ws("|", "source", "metric").alias("key"), F.struct("value", "text").alias("value"))
-    return crawl.external_metrics.groupBy(F.col("url_id").alias("id")).agg(F.map_from_entries(F.collect_list(entry)).alias("metrics"), F.max(F.when(F.col("source") == "gsc", 1)).alias("has_gsc"))
+    # of repeated rows of one metric the greater counts: a map takes a key once only
+    once = crawl.external_metrics.groupBy("url_id", "source", "metric").agg(F.max(F.struct("value", "text")).alias("m")).select("url_id", "source", "metric", "m.value", "m.text")
+    return once.groupBy(F.col("url_id").alias("id")).agg(F.map_from_entries(F.collect_list(entry)).alias("metrics"), F.max(F.when(F.col("source") == "gsc", 1)).alias("has_gsc"))
 
 
-def near_fingerprints(prints: DataFrame, threshold: int = X.NEAR) -> DataFrame:
+#: (blocks, how many of them agree for up to seven bits): one of 8, two of 9, three of 10.
+NEAR_KEYS = ((8, 1), (9, 2), (10, 3))
+
+
+def near_keys(fp: Column, blocks: int, agree: int) -> Column:
+    """One key for each choice of ``agree`` of so many bit blocks: the choice and the blocks' bits."""
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    parts = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(ends, ends[1:], strict=False)]
+    keys = []
+    for t, chosen in enumerate(combinations(range(blocks), agree)):
+        key = F.lit(t).cast("long")
+        for c in chosen:
+            key = F.shiftleft(key, 8).bitwiseOR(parts[c])
+        keys.append(key)
+    return F.array(*keys)
+
+
+def near_fingerprints(prints: DataFrame, threshold: int = X.NEAR, keys: tuple[int, int] | None = None) -> DataFrame:
     """(a, c) both ways, equal ones included: distinct values of ``simhash`` at most ``threshold``
-    bits apart. With eight bands and up to seven bits one band always agrees, so the equi-join on
-    bands loses nothing."""
-    if not 0 <= threshold < X.BANDS:
-        raise ValueError("bands guarantee distances below their number only")
-    own = prints.where("simhash IS NOT NULL").select("simhash").distinct().select("simhash", F.explode(X.bands(F.col("simhash"))).alias("b"))
+    bits apart. Of ``blocks`` bit blocks at most ``threshold`` differ, so the equi-join on the blocks that
+    must agree loses nothing. More blocks give more and longer keys: the more fingerprints there are,
+    the longer, so that few meet by chance (n squared over 32, 455 or 5,000)."""
+    own = prints.where("simhash IS NOT NULL").select("simhash").distinct()
+    if keys is None:
+        n = own.count()
+        keys = NEAR_KEYS[0 if n < 50_000 else 1 if n < 1_000_000 else 2]
+    blocks, agree = keys
+    if not 0 <= threshold <= blocks - agree:
+        raise ValueError("so few blocks guarantee no such distance")
+    own = own.select("simhash", F.explode(near_keys(F.col("simhash"), blocks, agree)).alias("b"))
     left, right = own.select(F.col("simhash").alias("a"), "b"), own.select(F.col("simhash").alias("c"), "b")
     near = left.join(right, "b").where((F.col("a") <= F.col("c")) & (X.hamming(F.col("a"), F.col("c")) <= threshold)).select("a", "c").distinct()
     return near.union(near.where("a <> c").select("c", "a"))
@@ -159,7 +185,3 @@ def wide_view(crawl: Crawl) -> DataFrame:
     seed = crawl.crawl_meta.where("id = 1").agg(F.max("seed_url").alias("seed_url"))  # one row
     return pv.join(F.broadcast(seed), F.lit(True), "left").drop("hidden", "twin", "slash_twin_url", "www_twin_host", *[f"n_{v}" for v in ("title", "meta_description", "h1", "h2", "content_hash")])
 
-
-def first_per_host(df: DataFrame, n: int) -> DataFrame:
-    order = Window.partitionBy("host").orderBy("depth", "id")
-    return df.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n).drop("nth")

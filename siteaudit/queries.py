@@ -182,7 +182,7 @@ ORACLES: dict[str, str] = {f"report_{r.id}": oracle.members(r) for r in all_repo
     "claim_next": oracle.with_crawl("SELECT id, host, CAST(depth AS int) AS depth FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY depth, id) AS nth FROM urls WHERE state = 0) q WHERE nth <= 2 ORDER BY depth, id LIMIT 50"),
     "link_counts": oracle.with_crawl(
         f"SELECT l.id, l.inlinks, l.distinct_anchors, t.top_anchor FROM (SELECT to_url_id AS id, count(DISTINCT from_url_id) AS inlinks, count(DISTINCT trim(lower(coalesce(anchor_text, '')))) AS distinct_anchors FROM links GROUP BY 1) l LEFT JOIN"
-        f" (SELECT id, anchor AS top_anchor FROM (SELECT id, norm, min(anchor_text) AS anchor, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, norm) AS nth FROM ({_ANCHORS}) a WHERE norm <> '' GROUP BY id, norm) x WHERE nth = 1) t ON t.id = l.id"
+        f" (SELECT id, anchor AS top_anchor FROM (SELECT id, norm, min(anchor_text) AS anchor, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, min(anchor_text) NULLS FIRST) AS nth FROM ({_ANCHORS}) a GROUP BY id, norm) x WHERE nth = 1) t ON t.id = l.id"
     ),
     "link_graph_nodes": oracle.with_view("SELECT id, CAST(depth AS int) AS depth, inlinks FROM pv WHERE is_internal = 1 AND page_row AND status IS NOT NULL ORDER BY inlinks DESC, depth, id LIMIT 100"),
     "site_tree": oracle.with_view(f"SELECT concat('/', array_to_string(list_slice(parts, 1, n), '/')) AS prefix, count(*) AS page_count, CAST(sum(issue) AS bigint) AS issue_count FROM (SELECT *, unnest(range(0, len(parts) + 1)) AS n FROM ({_TREE}) t) x GROUP BY 1"),

@@ -74,3 +74,28 @@ def test_html_facts():
     assert f.social["og:title"] == "O" and f.analytics == ["Google Analytics 4"] and "hidden" not in f.text and "Text&more x" in f.text
     empty = parse(None)
     assert empty.title is None and empty.word_count == 0 and len(empty.content_hash) == 32
+
+
+def test_text_without_body_or_head():
+    from siteaudit.functions.html_facts import parse
+
+    for page in ("<title>a</title><p>hello world", "hello world", "<html><title>a</title>hello world", "<head><title>a</title></head>hello world", "<meta name=x content=y><div>hello world</div>", "<!doctype html><script>x</script>hello <b>world</b>"):
+        f = parse(page)
+        assert (f.text, f.word_count) == ("hello world", 2), page
+    assert parse("<title>a</title>").text == "" and parse("<title>a</title><p>hello").title == "a"
+
+
+def test_selectors_on_deep_pages():
+    from siteaudit.config import ExtractionRule
+    from siteaudit.functions.extraction import extract
+
+    deep = "<div class=a>" * 20_000 + "<i id=x>deep<b>er</b></i>"
+    assert extract(deep, [ExtractionRule("t", "#x"), ExtractionRule("h", "#x", "html"), ExtractionRule("p", "//i/text()", engine="xpath")]) == [("t", "deeper", 0), ("h", '<i id="x">deep<b>er</b></i>', 0), ("p", "deep", 0)]
+    assert len(extract("<div>" * 3000, [ExtractionRule("h", "body > p")])) == 0
+
+
+def test_metric_text_and_filter_names():
+    from siteaudit.plans.catalogue import COLUMNS, report, reports
+
+    assert report("responseCodes").filter("transportError").name == "No response" and COLUMNS["nearDuplicates"].header == "Near Dupes" and COLUMNS["skipReason"].header == "Why Not Crawled"
+    assert sum(len(r.filters) for r in reports()) == 163 and all(c in COLUMNS for r in reports() for c in r.columns)
