@@ -11,9 +11,11 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siteaudit.functions import expressions as X
 from siteaudit.sources.crawl import Crawl
+from siteaudit.sources.tables import numbered
 
 _STATUS = "CASE WHEN page_id % 23 = 0 THEN 0 WHEN page_id % 19 = 0 THEN 500 WHEN page_id % 13 = 0 THEN 404 WHEN page_id % 11 = 0 THEN 301 ELSE 200 END"
 _SKIPPED = "CASE id % 25 WHEN 0 THEN 'blocked by robots.txt' WHEN 5 THEN 'excluded by URL filters' WHEN 10 THEN 'beyond max depth' WHEN 15 THEN 'URL cap reached' ELSE 'redirect chain too long' END"
@@ -26,7 +28,8 @@ STEPS: list[tuple[str, str]] = [
         replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&amp;', '&'), '&quot;', '"') AS h1,
         regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, {bytes(html)} AS content_length, html FROM pages"""),
     ("dl0", "{links}"),
-    ("dd", "SELECT 1000000 + row_number() OVER (ORDER BY to_url) AS id, to_url AS url FROM (SELECT DISTINCT to_url FROM dl0 WHERE to_url NOT IN (SELECT url FROM dp)) x"),
+    ("dd", "SELECT 1000000 + row_number() OVER (ORDER BY to_url) AS id, to_url AS url FROM (SELECT DISTINCT to_url FROM dl0 l WHERE NOT EXISTS (SELECT 1 FROM dp WHERE dp.url = l.to_url)) x"),
+    ("prints", "{prints}"),
     ("urls", f"""SELECT id, url, host, path, page_id % 6 AS depth, CASE WHEN host LIKE '%.example.com' THEN 1 ELSE 0 END AS is_internal, CAST(page_id AS double) AS discovered_at, 2 AS state,
         CASE WHEN page_id % 37 = 0 THEN 2 ELSE 0 END AS redirect_hops, 0 AS check_only, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS in_sitemap, CAST(NULL AS string) AS skip_reason FROM dp
         UNION ALL SELECT id, url, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), 2,
@@ -49,7 +52,7 @@ STEPS: list[tuple[str, str]] = [
         CASE WHEN page_id % 3 = 0 THEN title WHEN page_id % 3 = 1 THEN 'Other' END AS og_title, CASE WHEN page_id % 2 = 0 THEN 'd' END AS og_description, CASE WHEN page_id % 4 = 1 THEN '/og.png' WHEN page_id % 4 = 2 THEN ' ' END AS og_image, CASE WHEN page_id % 5 = 1 THEN 'article' END AS og_type,
         CASE WHEN page_id % 3 = 2 THEN 'summary' END AS twitter_card, CASE WHEN page_id % 22 = 3 THEN '/amp' END AS amphtml, CASE WHEN page_id % 15 BETWEEN 2 AND 4 THEN '/prev' END AS rel_prev, CASE WHEN page_id % 15 BETWEEN 1 AND 3 THEN '/next' END AS rel_next,
         CASE WHEN page_id % 8 <> 0 THEN 'Matomo' END AS analytics, length(title) * 9 AS title_pixels, CASE WHEN page_id % 5 = 0 THEN NULL ELSE page_id * 7 % 1400 END AS meta_description_pixels,
-        CASE WHEN page_id % 50 <> 49 THEN (page_id - page_id % 5) * 2654435761 + page_id % 5 END AS simhash FROM dp"""),
+        CASE WHEN page_id % 50 <> 49 THEN simhash END AS simhash FROM dp LEFT JOIN (SELECT id AS print_id, simhash FROM prints) x ON print_id = id"""),
     ("links", """SELECT l.from_url_id, t.id AS to_url_id, CASE l.position % 4 WHEN 0 THEN 'Click here' WHEN 1 THEN '' WHEN 2 THEN l.href ELSE 'Plain words' END AS anchor_text, CAST(NULL AS string) AS rel, 1 AS is_internal, l.position
         FROM dl0 l JOIN urls t ON t.url = l.to_url"""),
     ("images", "SELECT id AS url_id, 2000000 + page_id % 40 AS src_url_id, CASE page_id % 12 WHEN 0 THEN NULL WHEN 4 THEN '' ELSE repeat('alt ', CAST(page_id % 40 AS int)) END AS alt, CASE WHEN page_id % 8 = 0 THEN NULL ELSE 100 + page_id % 50 END AS width, 80 AS height FROM dp WHERE page_id % 4 = 0"),
@@ -70,12 +73,24 @@ _LINKS = {
     "duckdb": "SELECT id AS from_url_id, i - 1 AS position, l[i] AS href, concat(origin, l[i]) AS to_url FROM (SELECT id, origin, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT id, origin, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS l FROM dp) a) b",
 }
 
+#: What of a page is no text.
+_MARKUP = "(?s)<script.*?</script>|<style.*?</style>|<[^>]*>"
+_PRINTS = {
+    "spark": "",
+    "duckdb": """SELECT t.id, CASE WHEN f.p >= 9223372036854775808 THEN (f.p - 18446744073709551616)::bigint ELSE f.p::bigint END AS simhash FROM dp t LEFT JOIN (
+        SELECT id, sum(CASE WHEN vote > 0 THEN 1::hugeint << bit::int ELSE 0 END) AS p FROM (
+            SELECT id, bit, sum(CASE WHEN (h >> bit) & 1 = 1 THEN 1 ELSE -1 END) AS vote FROM (
+                SELECT id, ('0x' || substr(unnest(list_transform(range(1, len(ws) - 1), lambda i: sha256(concat(ws[i], ' ', ws[i + 1], ' ', ws[i + 2])))), 1, 16))::ubigint AS h FROM (
+                    SELECT id, list_filter(regexp_split_to_array(lower(regexp_replace(html, '""" + _MARKUP + """', ' ', 'g')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM dp) w WHERE len(ws) >= 3) s,
+                (SELECT unnest(range(64))::ubigint AS bit) b GROUP BY id, bit) v GROUP BY id) f ON f.id = t.id""",
+}
+
 
 def statement(sql: str, dialect: str) -> str:
     sha, size = ("sha2(\\1, 256)", "octet_length(\\1)") if dialect == "spark" else ("sha256(\\1)", "strlen(\\1)")
     sql = re.sub(r"\{sha256\((.*?)\)\}", sha, sql)
     sql = re.sub(r"\{bytes\((.*?)\)\}", size, sql)
-    sql = sql.replace("{links}", _LINKS[dialect]).replace("{{", "{").replace("}}", "}")
+    sql = sql.replace("{links}", _LINKS[dialect]).replace("{prints}", _PRINTS[dialect]).replace("{{", "{").replace("}}", "}")
     return sql if dialect == "spark" else re.sub(r"\bAS string\b", "AS varchar", sql)
 
 
@@ -88,12 +103,19 @@ def derive(spark: SparkSession, pages: DataFrame, keep=lambda name, df: df) -> C
     """The crawl's tables as DataFrames. ``keep(name, df)`` may write a step that later ones read."""
     frames: dict[str, DataFrame] = {"pages": pages}
     for name, sql in STEPS:
+        if name == "dd":
+            new = frames["dl0"].select(F.col("to_url").alias("url")).distinct().join(frames["dp"].select("url"), "url", "left_anti")
+            frames[name] = keep(name, numbered(new, "url", "discovered", 1_000_001).select("id", "url"))
+            continue
+        if name == "prints":
+            frames[name] = keep(name, X.simhashes(frames["dp"].select("id", F.regexp_replace("html", _MARKUP, " ").alias("text")), "id", "text"))
+            continue
         text = statement(sql, "spark")
         used = {n: f for n, f in frames.items() if re.search(rf"\b(FROM|JOIN) {n}\b", text)}
         body = re.sub(r"\b(FROM|JOIN) (\w+)\b", lambda m, used=used: f"{m[1]} {{{m[2]}}} {m[2]}" if m[2] in used else m[0], text.replace("{", "{{").replace("}", "}}"))
         body = re.sub(r"(\{\w+\}) \w+ (l|t) (JOIN|ON)\b", r"\1 \2 \3", body)
         frames[name] = spark.sql(body, **used)
-        if name in ("dl0", "dd", "urls"):
+        if name in ("dl0", "urls"):
             frames[name] = keep(name, frames[name])
     tables = {n: f for n, f in frames.items() if n in {"crawl_meta", "urls", "responses", "page_facts", "links", "images", "hreflang", "structured_data", "extractions", "resources", "external_metrics"}}
     bands = tables["page_facts"].where("simhash IS NOT NULL").selectExpr("url_id", "simhash")

@@ -6,11 +6,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="siteaudit-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -21,3 +26,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/siteaudit-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, by: str, name: str, start: int = 1, column: str = "id") -> DataFrame:
+    """The rows with numbers from ``start`` in order of ``by``, without gathering them in one task: range
+    partitions are written, counted, and each is numbered from the sum of those before it."""
+    parts = written(df.repartitionByRange(by).sortWithinPartitions(by).withColumn("__part", F.spark_partition_id()), name)
+    bases, n = [], start
+    for r in parts.groupBy("__part").count().orderBy("__part").collect():
+        bases.append((r["__part"], n))
+        n += r["count"]
+    base = F.broadcast(df.sparkSession.createDataFrame(bases, "__part int, __base long"))
+    return parts.join(base, "__part").withColumn(column, F.col("__base") - 1 + F.row_number().over(Window.partitionBy("__part").orderBy(by))).drop("__part", "__base")
