@@ -29,8 +29,9 @@ def _string(m: re.Match) -> str | None:
 
 
 def info(data: bytes) -> dict[str, str | None]:
-    """title, meta_description and lang, from the first entries of each kind."""
-    names = {b"Title": "title", b"Subject": "meta_description", b"Lang": "lang"}
+    """title, meta_description and lang, from the first entries of each kind. The field of the language
+    holds the creator: it has no column of its own."""
+    names = {b"Title": "title", b"Subject": "meta_description", b"Creator": "lang"}
     out: dict[str, str | None] = dict.fromkeys(names.values())
     for m in _PAIR.finditer(data):
         if (key := names.get(m[1])) and out[key] is None:

@@ -15,7 +15,6 @@ from siteaudit.sources.crawl import Crawl
 
 #: Urls that one request may ask for.
 BATCH = {"pagespeed": 1, "gsc": 25_000, "ga4": 25_000, "ahrefs": 1, "majestic": 100, "moz": 50}
-WINDOW_DAYS = 28
 SHAPE = "url string, source string, metric string, value double, text string"
 Row = tuple[str, str, str, float | None, str | None]
 
@@ -76,7 +75,8 @@ def majestic(body: dict) -> list[Row]:
 
 
 def moz(urls: list[str], body: dict) -> list[Row]:
-    return [x for u, d in zip(urls, body.get("results") or [], strict=False) for x in _keep(u, "moz", [(m, number(d, k)) for m, k in (("Page authority", "page_authority"), ("Domain authority", "domain_authority"), ("Spam score", "spam_score"), ("Linking domains", "root_domains_to_page"))])]
+    """Results name their page; those that do not stand in the order asked for."""
+    return [x for u, d in zip(urls, body.get("results") or [], strict=False) for u in [d.get("page") or u] for x in _keep(u, "moz", [(m, number(d, k)) for m, k in (("Page authority", "page_authority"), ("Domain authority", "domain_authority"), ("Spam score", "spam_score"), ("Linking domains", "root_domains_to_page"))])]
 
 
 def urls_to_enrich(crawl: Crawl, limit: int) -> DataFrame:
