@@ -1,10 +1,8 @@
-"""DuckDB SQL that answers the same questions over the derived crawl, written on its own."""
+"""The wide view over the derived crawl as DuckDB SQL, with joins and sums of its own. The filters of the
+reports are in ``second``."""
 
 from __future__ import annotations
 
-import re
-
-from siteaudit.plans.catalogue import Report, compile_sql, reports
 from siteaudit.sources.derived import ctes
 
 _GENERIC = "'click here', 'here', 'read more', 'more', 'link', 'this', 'learn more', 'find out more', 'continue', 'details', 'go', 'download', 'click'"
@@ -63,19 +61,3 @@ def with_view(select: str) -> str:
 
 def with_crawl(select: str) -> str:
     return f"WITH {ctes('duckdb')}\n{select}"
-
-
-def _metric(key: str, part: str) -> str:
-    return f"m_{part}['{key}']"
-
-
-def predicate(sql: str) -> str:
-    return re.sub(r"\bmetrics IS (NOT )?NULL", lambda m: "metric_count > 0" if m[1] else "metric_count = 0", compile_sql(sql, _metric))
-
-
-def members(r: Report) -> str:
-    return with_view("\nUNION ALL ".join(f"SELECT '{f.id}' AS filter_id, id FROM pv WHERE ({predicate(r.base)}) AND ({predicate(f.predicate)})" for f in r.filters))
-
-
-def counts() -> str:
-    return with_view("\nUNION ALL ".join(f"SELECT '{r.id}.{f.id}' AS key, count(*) AS n FROM pv WHERE ({predicate(r.base)}) AND ({predicate(f.predicate)})" for r in reports() for f in r.filters))

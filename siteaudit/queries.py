@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siteaudit.functions import expressions as X
 from siteaudit.operators import compare, frontier, reports, shape, summary
-from siteaudit.plans import oracle
+from siteaudit.plans import oracle, second
 from siteaudit.plans.catalogue import reports as all_reports
 from siteaudit.plans.wide import wide_view
 from siteaudit.sources.crawl import Crawl
@@ -167,8 +167,8 @@ def _label(status: str) -> str:
     )
 
 
-ORACLES: dict[str, str] = {f"report_{r.id}": oracle.members(r) for r in all_reports()} | {
-    "counts_all": oracle.counts(),
+ORACLES: dict[str, str] = {f"report_{r.id}": second.members(r.id) for r in all_reports()} | {
+    "counts_all": second.counts(),
     "indexability": oracle.with_view("SELECT indexability, count(*) AS n FROM pv GROUP BY indexability"),
     "status_class": oracle.with_crawl("SELECT CAST(status // 100 AS int) AS class, count(*) AS n FROM responses WHERE status > 0 GROUP BY 1"),
     "crawl_summary": oracle.with_view(
