@@ -35,6 +35,10 @@ def _members(report) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: reports.members(crawl_and_view(spark, sf_dir)[1], report)
 
 
+def _table(report) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: reports.table(crawl_and_view(spark, sf_dir)[1], report)
+
+
 def counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.counts(crawl_and_view(spark, sf_dir)[1])
 
@@ -147,7 +151,7 @@ def reports_by_id(report_id: str):
 
 _OWN = (counts_all, indexability, status_class, crawl_summary, queue_state, claim_next, link_counts, link_graph_nodes, site_tree, redirect_chain, visible_urls, duplicate_values, titles_table, metric_lookup, near_duplicates, document_simhash, compare_changes, compare_added, compare_all_changes, compare_removed, crawl_rate)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"report_{r.id}": _members(r) for r in all_reports()} | {f.__name__: f for f in _OWN}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"report_{r.id}": _members(r) for r in all_reports()} | {f"report_table_{r.id}": _table(r) for r in all_reports()} | {f.__name__: f for f in _OWN}
 
 _ANCHORS = "SELECT to_url_id AS id, trim(lower(coalesce(anchor_text, ''))) AS norm, anchor_text FROM links"
 _TREE = "SELECT id, path, CASE WHEN status = 0 OR status >= 400 OR non_indexable THEN 1 ELSE 0 END AS issue, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM pv WHERE is_internal = 1 AND page_row AND status IS NOT NULL"
@@ -167,7 +171,7 @@ def _label(status: str) -> str:
     )
 
 
-ORACLES: dict[str, str] = {f"report_{r.id}": second.members(r.id) for r in all_reports()} | {
+ORACLES: dict[str, str] = {f"report_{r.id}": second.members(r.id) for r in all_reports()} | {f"report_table_{r.id}": second.table(r.id, r.columns) for r in all_reports()} | {
     "counts_all": second.counts(),
     "indexability": oracle.with_view("SELECT indexability, count(*) AS n FROM pv GROUP BY indexability"),
     "status_class": oracle.with_crawl("SELECT CAST(status // 100 AS int) AS class, count(*) AS n FROM responses WHERE status > 0 GROUP BY 1"),
