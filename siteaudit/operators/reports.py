@@ -93,10 +93,26 @@ def search_filters(text: str) -> list[tuple[str, str]]:
     return [(r.id, f.id) for r in reports() for f in r.filters if t in f.name.lower() or t in r.name.lower()] if t else []
 
 
-def page(pv: DataFrame, report: Report, number: int, size: int = 200, **how) -> DataFrame:
-    """One page of a report's ids with their ordinals, by keyset from a numbered order."""
-    df = ids(pv, report, **how)
-    return df.offset(number * size).limit(size)
+def page(pv: DataFrame, report: Report, filter_id: str | None = None, sort: str | None = None, ascending: bool = True, after: tuple | None = None, size: int = 200) -> DataFrame:
+    """The next ``size`` rows (value, id) of a report in its order, behind the row ``after`` = (value, id)
+    that the page before ended with. What lies before is filtered out at the scan and never sorted."""
+    df = select(pv, report, filter_id)
+    c = column(sort) if sort and sort in report.columns else None
+    value = _expression(c) if c else F.lit(None).cast("string")
+    df = df.select(value.alias("value"), "id")
+    v = F.col("value")
+    if after is not None:
+        last, last_id = after
+        if c is None:
+            df = df.where(F.col("id") > last_id if ascending else F.col("id") < last_id)
+        elif last is None:  # NULLs stand last, by id
+            df = df.where(v.isNull() & (F.col("id") > last_id))
+        else:
+            beyond = v > F.lit(last) if ascending else v < F.lit(last)
+            df = df.where(v.isNull() | beyond | ((v == F.lit(last)) & (F.col("id") > last_id)))
+    if c is None:
+        return df.orderBy(F.col("id").asc() if ascending else F.col("id").desc()).limit(size)
+    return df.orderBy(v.asc_nulls_last() if ascending else v.desc_nulls_last(), "id").limit(size)
 
 
 def newer(pv: DataFrame, report: Report, last_id: int) -> DataFrame:

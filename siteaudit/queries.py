@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siteaudit.functions import expressions as X
-from siteaudit.operators import compare, frontier, reports, shape, summary
+from siteaudit.operators import compare, frontier, inspector, reports, shape, summary
 from siteaudit.plans import oracle, second
+from siteaudit.plans.catalogue import PAGE, SEVERITIES, condition
 from siteaudit.plans.catalogue import reports as all_reports
-from siteaudit.plans.wide import wide_view
+from siteaudit.plans.custom import FIELDS, Condition, compile_condition
+from siteaudit.plans.wide import near_pages, wide_view
 from siteaudit.sources.crawl import Crawl
 from siteaudit.sources.derived import derive
 from siteaudit.sources.tables import shared_folder, written
@@ -88,17 +91,16 @@ def duplicate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl_and_view(spark, sf_dir)[1].select("id", *[F.col(f"dup_{v}") for v in ("title", "meta_description", "h1", "h2", "content_hash")])
 
 
-def titles_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.table(crawl_and_view(spark, sf_dir)[1], reports_by_id("titles"), "duplicate", "title", limit=50).select("id", "address", "title", "titleLength", "indexability")
-
-
 def metric_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pv = crawl_and_view(spark, sf_dir)[1].where("metrics IS NOT NULL")
     return pv.select("id", F.expr("try_element_at(metrics, 'gsc|Clicks').value").alias("clicks"), F.expr("try_element_at(metrics, 'pagespeed|CWV Assessment').text").alias("cwv"))
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl_and_view(spark, sf_dir)[1].where("near_count > 0").select("id", "near_count", "near_duplicate")
+    """From the crawl's fingerprints, not from the written view."""
+    crawl = crawl_and_view(spark, sf_dir)[0]
+    base = crawl.urls.join(crawl.responses.select(F.col("url_id").alias("id"), "status"), "id", "left").join(crawl.page_facts.select(F.col("url_id").alias("id"), "simhash", "content_hash"), "id", "left")
+    return near_pages(base).where("near_count > 0")
 
 
 def document_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,19 +116,13 @@ def _second(crawl: Crawl) -> Crawl:
     return Crawl.of(crawl.spark, **{**crawl.tables, "urls": urls.withColumn("url_hash", F.col("url").cast("binary")), "page_facts": facts, "responses": responses})
 
 
-def compare_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crawl = crawl_and_view(spark, sf_dir)[0]
-    now = Crawl.of(spark, **{**crawl.tables, "urls": crawl.urls.withColumn("url_hash", F.col("url").cast("binary"))})
-    return compare.changes(now, _second(crawl)).where("field IN ('Status', 'Title', 'H1')")
-
-
 def compare_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     crawl = crawl_and_view(spark, sf_dir)[0]
     now = Crawl.of(spark, **{**crawl.tables, "urls": crawl.urls.withColumn("url_hash", F.col("url").cast("binary"))})
     return compare.added(now, _second(crawl))
 
 
-def compare_all_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def compare_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The changes of all six fields."""
     crawl = crawl_and_view(spark, sf_dir)[0]
     now = Crawl.of(spark, **{**crawl.tables, "urls": crawl.urls.withColumn("url_hash", F.col("url").cast("binary"))})
@@ -145,11 +141,98 @@ def crawl_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.unix_timestamp("w.start").alias("hour"), "event_type", "n")
 
 
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings that occur with their place in the list."""
+    found = reports.findings(reports.counts(crawl_and_view(spark, sf_dir)[1]))
+    order = Window.orderBy(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.desc("n"), "report", "filter")
+    return found.withColumn("place", F.row_number().over(order))  # a few rows
+
+
+def band_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.band_totals(reports.counts(crawl_and_view(spark, sf_dir)[1]))
+
+
+def link_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawl, pv = crawl_and_view(spark, sf_dir)
+    return shape.graph_edges(crawl, shape.graph_nodes(pv, 100))
+
+
+def compare_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawl = crawl_and_view(spark, sf_dir)[0]
+    now = Crawl.of(spark, **{**crawl.tables, "urls": crawl.urls.withColumn("url_hash", F.col("url").cast("binary"))})
+    return compare.compare(now, _second(crawl))["totals"]
+
+
+#: The url that the inspector's queries look at.
+INSPECTED = 11
+
+
+def inspector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawl = crawl_and_view(spark, sf_dir)[0]
+    sides = [f(crawl, INSPECTED)[0].withColumn("side", F.lit(n)) for n, f in (("in", inspector.inlinks), ("out", inspector.outlinks))]
+    return sides[0].unionByName(sides[1])
+
+
+def inspector_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspector.images(crawl_and_view(spark, sf_dir)[0], 5)[0]
+
+
+def inspector_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspector.headers(crawl_and_view(spark, sf_dir)[0], INSPECTED)
+
+
+def inspector_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawl, pv = crawl_and_view(spark, sf_dir)
+    return inspector.detail(pv, crawl, INSPECTED)
+
+
+def rows_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows asked for in an order of one's own, one of which does not exist."""
+    wanted = spark.createDataFrame([(0, 9), (1, 99_999_999), (2, 3), (3, 1_000_001)], "ordinal int, id long")
+    return reports.rows(crawl_and_view(spark, sf_dir)[1], wanted, ["address", "depth", "inlinks"])
+
+
+def report_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of a sorted report, each page from where the one before ended."""
+    pv, after = crawl_and_view(spark, sf_dir)[1], None
+    for _ in range(2):
+        last = reports.page(pv, reports_by_id("internal"), None, "title", False, after, 20).collect()[-1]
+        after = (last.value, last.id)
+    return reports.page(pv, reports_by_id("internal"), None, "title", False, after, 20)
+
+
+#: Field, comparison and value of conditions of every kind.
+CONDITIONS = [Condition(f, c, v) for f, (_, numeric) in FIELDS.items() for c, v in (
+    (("greaterThan", "10"), ("lessThan", "100.5"), ("equals", "200"), ("notEquals", "2"), ("isEmpty", ""), ("isNotEmpty", "")) if numeric
+    else (("contains", "TH"), ("notContains", "e"), ("startsWith", "h"), ("endsWith", "e"), ("equals", "Matomo"), ("notEquals", "en"), ("isEmpty", ""), ("isNotEmpty", "")))]
+
+
+def custom_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(condition, id) of every comparison on every field it is for, in one scan."""
+    pages = crawl_and_view(spark, sf_dir)[1].where(condition(PAGE))
+    held = [F.when(F.coalesce(compile_condition(c), F.lit(False)), F.lit(f"{c.field} {c.comparison}")) for c in CONDITIONS]
+    return pages.select(F.explode(F.array_compact(F.array(*held))).alias("condition"), "id")
+
+
+ADMIT = frontier.Rules("site", max_depth=3, url_cap=400, exclude=("[?]utm_",), check_external_links=False)
+
+
+def frontier_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl's pages as the queue, the targets of their links as what was found."""
+    crawl = crawl_and_view(spark, sf_dir)[0]
+    hashed = crawl.urls.withColumn("url_hash", F.sha2("url", 256).cast("binary"))
+    known = hashed.where("id <= 1000000")
+    parent = known.select(F.col("id").alias("from_url_id"), F.col("depth").alias("parent_depth"), F.col("redirect_hops").alias("parent_hops"))
+    found = crawl.links.select("from_url_id", F.col("to_url_id").alias("id"), "position").join(parent, "from_url_id").join(hashed.select("id", "url", "url_hash", "host", "path", "is_internal"), "id")
+    found = found.select("url", "url_hash", "host", "path", "is_internal", F.lit("link").alias("kind"), (F.col("position") % 7 == 0).alias("nofollow"), "parent_depth", "parent_hops", (F.col("from_url_id") * 4096 + F.col("position")).alias("order"))
+    return frontier.admit(known, frontier.follow(found, ADMIT), ADMIT, 1.0).select("url", "id", "depth", "state", "check_only", "redirect_hops", "skip_reason")
+
+
 def reports_by_id(report_id: str):
     return next(r for r in all_reports() if r.id == report_id)
 
 
-_OWN = (counts_all, indexability, status_class, crawl_summary, queue_state, claim_next, link_counts, link_graph_nodes, site_tree, redirect_chain, visible_urls, duplicate_values, titles_table, metric_lookup, near_duplicates, document_simhash, compare_changes, compare_added, compare_all_changes, compare_removed, crawl_rate)
+_OWN = (counts_all, indexability, status_class, crawl_summary, queue_state, claim_next, link_counts, link_graph_nodes, site_tree, redirect_chain, visible_urls, duplicate_values, metric_lookup, near_duplicates, document_simhash, compare_changes, compare_added, compare_removed, compare_totals, crawl_rate, findings, band_totals, link_graph_edges, inspector_links, inspector_images, inspector_headers, inspector_detail, rows_by_id, report_page, custom_conditions, frontier_admit)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"report_{r.id}": _members(r) for r in all_reports()} | {f"report_table_{r.id}": _table(r) for r in all_reports()} | {f.__name__: f for f in _OWN}
 
@@ -195,19 +278,11 @@ ORACLES: dict[str, str] = {f"report_{r.id}": second.members(r.id) for r in all_r
         " UNION ALL SELECT c.start_id, c.step + 1, u.id, r.redirect_target_id, list_append(c.seen, u.id), list_contains(c.seen, u.id) FROM c JOIN urls u ON u.id = c.nxt LEFT JOIN responses r ON r.url_id = u.id WHERE NOT c.is_loop AND c.step < 19)\nSELECT start_id"),
     "visible_urls": oracle.with_view("SELECT id, url FROM pv WHERE visible"),
     "duplicate_values": oracle.with_view("SELECT id, dup_title, dup_meta_description, dup_h1, dup_h2, dup_content_hash FROM pv"),
-    "titles_table": oracle.with_view("SELECT id, url AS address, title, CAST(title_length AS varchar) AS \"titleLength\", indexability FROM pv WHERE html_page AND dup_title ORDER BY title NULLS LAST, id LIMIT 50"),
     "metric_lookup": oracle.with_crawl("SELECT url_id AS id, max(CASE WHEN metric = 'Clicks' THEN value END) AS clicks, max(CASE WHEN metric = 'CWV Assessment' THEN text END) AS cwv FROM external_metrics GROUP BY 1"),
     "near_duplicates": oracle.with_view("SELECT id, near_count, near_duplicate FROM pv WHERE near_count > 0"),
     "document_simhash": f"WITH {_SHINGLES} SELECT d.doc_id, CASE WHEN f.p IS NULL THEN NULL WHEN f.p = 0 THEN '0' ELSE lower(printf('%x', f.p::ubigint)) END AS simhash FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id",
-    "compare_changes": oracle.with_crawl(
-        "SELECT * FROM (" + " UNION ALL ".join(
-            f"SELECT u.url, '{n}' AS field, {old} AS before, {new} AS after FROM urls u LEFT JOIN responses r ON r.url_id = u.id LEFT JOIN page_facts f ON f.url_id = u.id WHERE u.id % 9 <> 4 AND r.status IS NOT NULL AND ({old}) IS DISTINCT FROM ({new})"
-            for n, old, new in (
-                ("Status", "CAST(CASE WHEN u.id % 8 = 1 THEN 200 ELSE r.status END AS varchar)", "CAST(r.status AS varchar)"),
-                ("Title", "CASE WHEN f.url_id IS NOT NULL AND u.id % 10 = 3 THEN 'Changed' ELSE f.title END", "f.title"),
-                ("H1", "CASE WHEN u.id % 12 <> 5 THEN f.h1 END", "f.h1"))) + ") x"),
     "compare_added": oracle.with_crawl("SELECT u.url FROM urls u JOIN responses r ON r.url_id = u.id WHERE u.id % 9 = 4"),
-    "compare_all_changes": oracle.with_crawl(
+    "compare_changes": oracle.with_crawl(
         "SELECT * FROM (" + " UNION ALL ".join(
             f"SELECT u.url, '{n}' AS field, {old} AS before, {new} AS after FROM urls u LEFT JOIN responses r ON r.url_id = u.id LEFT JOIN page_facts f ON f.url_id = u.id LEFT JOIN urls c ON c.id = f.canonical_id WHERE u.id % 9 <> 4 AND r.status IS NOT NULL AND ({old}) IS DISTINCT FROM ({new})"
             for n, old, new in (
@@ -217,6 +292,24 @@ ORACLES: dict[str, str] = {f"report_{r.id}": second.members(r.id) for r in all_r
                 ("H1", "CASE WHEN u.id % 12 <> 5 THEN f.h1 END", "f.h1"),
                 ("Indexability", _label(f"({_OLD_STATUS})"), _label("r.status")),
                 ("Canonical", "CASE WHEN c.id % 9 <> 4 THEN c.url END", "c.url"))) + ") x"),
+    "compare_totals": oracle.with_crawl(
+        "SELECT 'added' AS kind, count(*) AS n FROM urls u JOIN responses r ON r.url_id = u.id WHERE u.id % 9 = 4 UNION ALL SELECT 'removed', 0 UNION ALL SELECT 'changes', sum((o.status IS DISTINCT FROM o.was)::int + (o.title IS DISTINCT FROM o.old_title)::int + (o.h1 IS DISTINCT FROM o.old_h1)::int + (o.label IS DISTINCT FROM o.old_label)::int + (o.c_id IS NOT NULL AND o.c_id % 9 = 4)::int)::bigint FROM ("
+        f"SELECT r.status, {_OLD_STATUS} AS was, f.title, CASE WHEN f.url_id IS NOT NULL AND u.id % 10 = 3 THEN 'Changed' ELSE f.title END AS old_title, f.h1, CASE WHEN u.id % 12 <> 5 THEN f.h1 END AS old_h1, {_label('r.status')} AS label, {_label(f'({_OLD_STATUS})')} AS old_label, c.id AS c_id"
+        " FROM urls u JOIN responses r ON r.url_id = u.id LEFT JOIN page_facts f ON f.url_id = u.id LEFT JOIN urls c ON c.id = f.canonical_id WHERE u.id % 9 <> 4 AND r.status IS NOT NULL) o"),
+    "findings": second.findings(), "band_totals": second.bands(), "custom_conditions": second.conditions(CONDITIONS),
+    "link_graph_edges": oracle.with_view("SELECT DISTINCT l.from_url_id AS source, l.to_url_id AS target FROM links l WHERE l.from_url_id <> l.to_url_id AND l.from_url_id IN (SELECT id FROM top) AND l.to_url_id IN (SELECT id FROM top)").replace("\nSELECT DISTINCT l.from", ", top AS (SELECT id FROM pv WHERE is_internal = 1 AND page_row AND status IS NOT NULL ORDER BY inlinks DESC, depth, id LIMIT 100)\nSELECT DISTINCT l.from"),
+    "inspector_links": oracle.with_crawl(" UNION ALL ".join(f"SELECT u.id, u.url, l.anchor_text, l.rel, r.status, l.position, '{n}' AS side FROM links l JOIN urls u ON u.id = l.{other} LEFT JOIN responses r ON r.url_id = u.id WHERE l.{own} = {INSPECTED}" for n, own, other in (("in", "to_url_id", "from_url_id"), ("out", "from_url_id", "to_url_id")))),
+    "inspector_images": oracle.with_crawl("SELECT u.id, u.url, i.alt, r.status, r.content_length FROM images i JOIN urls u ON u.id = i.src_url_id LEFT JOIN responses r ON r.url_id = u.id WHERE i.url_id = 5"),
+    "inspector_headers": oracle.with_crawl(f"SELECT k AS name, json_extract_string(headers_json, concat('$.\"', k, '\"')) AS value FROM (SELECT headers_json, unnest(json_keys(headers_json)) AS k FROM responses WHERE url_id = {INSPECTED}) x"),
+    "inspector_detail": second.detail(INSPECTED),
+    "rows_by_id": second.with_rows(f"SELECT w.ordinal, p.id, {second.TEXTS['address']} AS address, {second.TEXTS['depth']} AS depth, {second.TEXTS['inlinks']} AS inlinks FROM (VALUES (0, 9), (2, 3), (3, 1000001)) w(ordinal, i) JOIN rows_ p ON p.id = w.i"),
+    "report_page": second.with_rows(f"SELECT p.title AS value, p.id FROM rows_ p WHERE {second.SECOND['internal'][0]} ORDER BY p.title DESC NULLS LAST, p.id LIMIT 20 OFFSET 40"),
+    "frontier_admit": oracle.with_crawl("""SELECT url, CAST(top + place AS bigint) AS id, CAST(depth AS int) AS depth, CASE WHEN why IS NULL THEN 0 ELSE 3 END AS state, check_only, 0 AS redirect_hops, why AS skip_reason FROM (
+        SELECT *, CASE WHEN reason IS NULL AND live + taken > 400 THEN 'URL cap reached' ELSE reason END AS why FROM (
+            SELECT *, count(*) FILTER (WHERE reason IS NULL) OVER (ORDER BY o) AS live, row_number() OVER (ORDER BY o) AS place, (SELECT count(*) FROM urls WHERE id <= 1000000 AND state <> 3) AS taken, (SELECT max(id) FROM urls WHERE id <= 1000000) AS top FROM (
+                SELECT url, depth, o, CASE WHEN is_internal = 1 THEN 0 ELSE 1 END AS check_only, CASE WHEN is_internal = 0 THEN 'external' WHEN nofollow THEN 'not followed' WHEN depth > 3 THEN 'beyond max depth' END AS reason, NOT (is_internal = 1 AND NOT nofollow AND regexp_matches(url, '[?]utm_')) AS kept FROM (
+                    SELECT u.url, u.is_internal, l.position % 7 = 0 AS nofollow, q.depth + 1 AS depth, l.from_url_id * 4096 + l.position AS o, row_number() OVER (PARTITION BY u.url ORDER BY l.from_url_id * 4096 + l.position) AS nth
+                    FROM links l JOIN urls q ON q.id = l.from_url_id AND q.id <= 1000000 JOIN urls u ON u.id = l.to_url_id WHERE u.url NOT IN (SELECT url FROM urls WHERE id <= 1000000)) a WHERE nth = 1) b WHERE kept) c) d"""),
     "compare_removed": oracle.with_crawl("SELECT u.url FROM urls u JOIN responses r ON r.url_id = u.id WHERE u.id % 9 = 4"),
     "crawl_rate": "SELECT CAST(epoch(date_trunc('hour', ts)) AS bigint) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -121,11 +121,11 @@ def test_compare_queries_return_all(spark):
     db.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
     # a url with two ids meets itself crosswise in the operator, which the SQL, by id, does not: left out here
     twice = {r.url for r in spark.read.parquet(f"{SF}/pages.parquet").groupBy(F.regexp_replace("url", "#.*$", "").alias("url")).count().where("count > 1").collect()}
-    for name in ("compare_all_changes", "compare_removed"):
+    for name in ("compare_changes", "compare_removed"):
         once = lambda rows: Counter(tuple(r) for r in rows if r[0] not in twice)
         got = once(QUERIES[name](spark, SF).collect())
         assert got and got == once(db.execute(ORACLES[name]).fetchall()), name
-    assert {"Status", "Title", "H1", "Indexability"} <= {r.field for r in QUERIES["compare_all_changes"](spark, SF).collect()}
+    assert {"Status", "Title", "H1", "Indexability"} <= {r.field for r in QUERIES["compare_changes"](spark, SF).collect()}
 
 
 def test_frontier(spark):
