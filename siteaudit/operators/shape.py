@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siteaudit.functions import expressions as X
-from siteaudit.plans.wide import near_fingerprints
 from siteaudit.sources.crawl import Crawl
 from siteaudit.sources.tables import written
 
@@ -72,8 +70,3 @@ def redirect_chains(crawl: Crawl, starts: DataFrame | None = None, max_steps: in
         now = ahead.where("NOT is_loop")
     return out
 
-
-def near_duplicate_pairs(docs: DataFrame, key: str, text: str, threshold: int = X.NEAR) -> DataFrame:
-    """(a, c, distance): distinct fingerprints of the texts at most ``threshold`` bits apart."""
-    prints = X.simhashes(docs, key, text)
-    return near_fingerprints(prints, threshold).where("a < c").select("a", "c", X.hamming(F.col("a"), F.col("c")).alias("distance"))

@@ -129,18 +129,53 @@ def near_pages(base: DataFrame, threshold: int = X.NEAR) -> DataFrame:
     return pages.join(around, "simhash").select("id", (F.col("n") - 1).alias("near_count"), differs.alias("near_duplicate"))
 
 
-def _duplicates(base: DataFrame, value: str) -> DataFrame:
-    """Values that internal pages with status 200 have, and how many have each."""
-    some = F.length(value) > 0 if value == "content_hash" else ~X.blank(F.col(value))
-    return base.where((F.col("is_internal") == 1) & (F.col("status") == 200) & some).groupBy(value).agg(F.count("*").alias(f"n_{value}"))
+VALUES = ("title", "meta_description", "h1", "h2", "content_hash")
+
+
+def _value(name: str) -> Column:
+    """What pages can have in common, as text; NULL if it is blank."""
+    c = F.hex(name) if name == "content_hash" else F.col(name)
+    return F.when(F.length(F.trim(c)) > 0, c)
+
+
+def _shared(base: DataFrame) -> DataFrame:
+    """One row an id: how many internal pages with status 200 have each of its values, how many pages its
+    content, and whether its twin urls and host exist. All of it is one join of narrow rows (kind, key),
+    so that the wide row is not moved for any of it."""
+    url, host, inside = F.col("url"), F.col("host"), F.col("is_internal") == 1
+    fine = inside & (F.col("status") == 200)
+    same = F.hex("content_hash")
+    held = [(v, F.when(fine, _value(v))) for v in VALUES] + [("same", same), ("https", url), ("slash", F.when(inside, url)), ("www", F.when(inside, host))]
+    asked = [(v, _value(v)) for v in VALUES] + [
+        ("same", same),
+        ("https", F.when(url.ilike("http://%"), F.concat(F.lit("https://"), F.expr("substr(url, 8)")))),
+        ("slash", F.when(url.endswith("/"), F.expr("substr(url, 1, length(url) - 1)")).otherwise(F.concat(url, F.lit("/")))),
+        ("www", F.when(host.startswith("www."), F.expr("substr(host, 5)")).otherwise(F.concat(F.lit("www."), host))),
+    ]
+
+    def each(pairs: list[tuple[str, Column]]) -> Column:
+        return F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in pairs]), lambda e: e["key"].isNotNull()))
+
+    counted = base.select(each(held).alias("e")).groupBy("e.kind", "e.key").agg(F.count("*").alias("n"))
+    met = base.select("id", each(asked).alias("e")).select("id", "e.kind", "e.key").join(counted, ["kind", "key"])
+    return met.groupBy("id").agg(*[F.max(F.when(F.col("kind") == k, F.col("n"))).alias(f"n_{k}") for k, _ in asked])
+
+
+def _targets(base: DataFrame) -> DataFrame:
+    """One row an id: url and status of its canonical, url and onward target of its redirect."""
+    ends = base.select(F.col("id").alias("target"), F.col("url").alias("t_url"), F.col("status").alias("t_status"), F.col("redirect_target_id").alias("t_next"))
+    kinds = ("canonical_id", "redirect_target_id")
+    asked = base.select("id", F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("target")) for k in kinds]), lambda e: e["target"].isNotNull())).alias("e")).select("id", "e.kind", "e.target")
+    one = lambda kind, what: F.max(F.when(F.col("kind") == kind, F.col(what)))
+    return asked.join(ends, "target").groupBy("id").agg(one("canonical_id", "t_url").alias("canonical_url"), one("canonical_id", "t_status").alias("canonical_status"), one("redirect_target_id", "t_url").alias("redirect_url"), one("redirect_target_id", "t_next").alias("redirect_back_id"))
 
 
 COUNTS = ("inlinks", "anchor_empty", "anchor_generic", "distinct_anchors", "img_refs", "img_noalt", "img_longalt", "img_nodims", "res_pages", "res_css", "res_js", "hl_count", "hl_noreturn", "hl_non200", "hl_xdefault", "sd_rows", "sd_kinds", "sd_jsonld", "sd_microdata", "sd_rdfa", "ext_count", "has_gsc", "near_count")
 
 
 def wide_view(crawl: Crawl) -> DataFrame:
-    """The view of a crawl. What duplicates, near pages and the view itself start from is written
-    once, so that the two large joins run once."""
+    """The view of a crawl. What duplicates, near pages and the view itself start from is written once.
+    Everything that joins it has one row an id, so that the wide row is moved once."""
     urls, responses, facts = crawl.urls, crawl.responses, crawl.page_facts
     base = urls.join(responses.withColumnRenamed("url_id", "id").drop("body_gz"), "id", "left").join(facts.withColumnRenamed("url_id", "id"), "id", "left")
     base = written(base, "base")
@@ -148,32 +183,14 @@ def wide_view(crawl: Crawl) -> DataFrame:
     used = crawl.images.select(F.col("src_url_id").alias("id")).union(crawl.resources.select(F.col("src_url_id").alias("id"))).distinct()
     linked = crawl.links.select(F.col("to_url_id").alias("id")).distinct()
     hidden = used.join(linked, "id", "left_anti").withColumn("hidden", F.lit(True))
-    name = lambda new, on: urls.select(F.col("id").alias(on), F.col("url").alias(new))
-    sides = [
-        (_links(crawl), "id"), (_images(crawl), "id"), (_resources(crawl), "id"), (_hreflang(crawl), "id"), (_structured(crawl), "id"), (_extractions(crawl), "id"), (_metrics(crawl), "id"), (hidden, "id"),
-        (name("canonical_url", "canonical_id"), "canonical_id"), (name("redirect_url", "redirect_target_id"), "redirect_target_id"),
-        (responses.select(F.col("url_id").alias("canonical_id"), F.col("status").alias("canonical_status")), "canonical_id"),
-        (responses.where("redirect_target_id IS NOT NULL").select(F.col("url_id").alias("redirect_target_id"), F.col("redirect_target_id").alias("redirect_back_id")), "redirect_target_id"),
-        *[(_duplicates(base, v), v) for v in ("title", "meta_description", "h1", "h2", "content_hash")],
-        (facts.where("content_hash IS NOT NULL").groupBy("content_hash").agg((F.count("*") - 1).alias("same_content")), "content_hash"),
-    ]
-    pv = reduce(lambda df, s: df.join(s[0], s[1], "left"), sides, base)
-
-    # twins: urls that differ in scheme, slash or www only
-    known = urls.select(F.col("url").alias("twin")).distinct()
-    inner = urls.where("is_internal = 1").select(F.col("url").alias("slash_twin_url")).distinct().withColumn("slash_twin", F.lit(True))
-    hosts = urls.where("is_internal = 1").select(F.col("host").alias("www_twin_host")).distinct().withColumn("www_twin", F.lit(True))
-    url, host = F.col("url"), F.col("host")
-    pv = pv.join(near_pages(base), "id", "left")
-    pv = pv.withColumn("twin", F.when(url.ilike("http://%"), F.concat(F.lit("https://"), F.expr("substr(url, 8)")))).join(known.withColumn("https_twin", F.lit(True)), "twin", "left")
-    pv = pv.withColumn("slash_twin_url", F.when(url.endswith("/"), F.expr("substr(url, 1, length(url) - 1)")).otherwise(F.concat(url, F.lit("/")))).join(inner, "slash_twin_url", "left")
-    pv = pv.withColumn("www_twin_host", F.when(host.startswith("www."), F.expr("substr(host, 5)")).otherwise(F.concat(F.lit("www."), host))).join(hosts, "www_twin_host", "left")
+    sides = [_links(crawl), _images(crawl), _resources(crawl), _hreflang(crawl), _structured(crawl), _extractions(crawl), _metrics(crawl), hidden, _targets(base), _shared(base), near_pages(base)]
+    pv = reduce(lambda df, side: df.join(side, "id", "left"), sides, base)
 
     eligible = F.when((F.col("is_internal") == 1) & (F.col("status") == 200), 1).otherwise(0)
-    pv = pv.withColumns({c: F.coalesce(c, F.lit(0)) for c in COUNTS} | {c: F.coalesce(c, F.lit(False)) for c in ("https_twin", "slash_twin", "www_twin", "near_duplicate")})
-    pv = pv.withColumns({f"dup_{v}": F.coalesce(F.col(f"n_{v}") - eligible > 0, F.lit(False)) for v in ("title", "meta_description", "h1", "h2", "content_hash")})
+    pv = pv.withColumns({c: F.coalesce(c, F.lit(0)) for c in COUNTS} | {"near_duplicate": F.coalesce("near_duplicate", F.lit(False))} | {f"{k}_twin": F.col(f"n_{k}").isNotNull() for k in ("https", "slash", "www")})
+    pv = pv.withColumns({f"dup_{v}": F.coalesce(F.col(f"n_{v}") - eligible > 0, F.lit(False)) for v in VALUES})
     pv = pv.withColumns({
-        "same_content": F.coalesce("same_content", F.lit(0)),
+        "same_content": F.coalesce(F.col("n_same") - 1, F.lit(0)),
         "visible": F.col("hidden").isNull(),
         "is_html": X.is_html(F.col("content_type")),
         "indexability": X.indexability(F.col("status"), F.col("meta_robots"), F.col("x_robots_tag"), F.col("canonical_id"), F.col("id")),
@@ -183,5 +200,4 @@ def wide_view(crawl: Crawl) -> DataFrame:
     pv = pv.withColumns({"page_row": (F.col("check_only") == 0) & F.col("visible"), "non_indexable": X.non_indexable(F.col("indexability"))})
     pv = pv.withColumn("html_page", F.coalesce((F.col("is_internal") == 1) & (F.col("status") == 200) & F.col("is_html") & F.col("page_row"), F.lit(False)))
     seed = crawl.crawl_meta.where("id = 1").agg(F.max("seed_url").alias("seed_url"))  # one row
-    return pv.join(F.broadcast(seed), F.lit(True), "left").drop("hidden", "twin", "slash_twin_url", "www_twin_host", *[f"n_{v}" for v in ("title", "meta_description", "h1", "h2", "content_hash")])
-
+    return pv.join(F.broadcast(seed), F.lit(True), "left").drop("hidden", *[f"n_{k}" for k in (*VALUES, "same", "https", "slash", "www")])

@@ -180,3 +180,60 @@ def test_simhash_bands_keep_near_pairs(spark):
     got = {(r.a, r.c) for r in near_fingerprints(spark.createDataFrame([(p,) for p in prints], "simhash long")).collect()}
     want = {(a, c) for a in prints for c in prints if ((a ^ c) & ((1 << 64) - 1)).bit_count() <= 7}
     assert got == want
+
+
+def test_the_wide_row_is_moved_once(spark, crawl_pv):
+    """With broadcasts off, of all exchanges one carries the whole row; the others carry keys and sums."""
+    import re
+
+    from siteaudit.plans.wide import wide_view
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = wide_view(crawl_pv[0])._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    moved = re.findall(r"\n\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    assert len(moved) > 20 and sum("headers_json" in m for m in moved) == 1
+
+
+def test_near_keys_lose_no_pair(spark):
+    """All three kinds of keys find what a comparison of all pairs finds."""
+    import random
+
+    from siteaudit.plans.wide import NEAR_KEYS, near_fingerprints
+
+    random.seed(3)
+    base = [random.getrandbits(64) for _ in range(30)]
+    values = sorted({b ^ sum(1 << i for i in random.sample(range(64), random.randint(0, 9))) for b in base for _ in range(6)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    want = {(a, c) for a, x in zip(signed, values, strict=True) for c, y in zip(signed, values, strict=True) if (x ^ y).bit_count() <= 7}
+    prints = spark.createDataFrame([(v,) for v in signed], "simhash long")
+    for keys in NEAR_KEYS:
+        assert {(r.a, r.c) for r in near_fingerprints(prints, keys=keys).collect()} == want
+
+
+def test_pages_of_a_report_follow_each_other(crawl_pv):
+    _, pv = crawl_pv
+    r = report("internal")
+    for sort, ascending in ((None, True), (None, False), ("title", True), ("title", False), ("status", True), ("wordCount", False)):
+        whole = [x.id for x in reports.ids(pv, r, None, sort, ascending).collect()]
+        got, after = [], None
+        while page := reports.page(pv, r, None, sort, ascending, after, 37).collect():
+            got += [x.id for x in page]
+            after = (page[-1].value, page[-1].id)
+        assert got == whole
+
+
+def test_blank_anchors_and_repeated_metrics(spark):
+    from siteaudit.plans.wide import wide_view
+
+    urls = spark.createDataFrame([(i, f"https://e/{i}", "e", f"/{i}", 1) for i in (1, 2)], "id long, url string, host string, path string, is_internal int")
+    links = spark.createDataFrame([(1, 2, ""), (1, 2, None), (1, 2, "Home")], "from_url_id long, to_url_id long, anchor_text string")
+    metrics = spark.createDataFrame([(1, "gsc", "Clicks", 5.0, None), (1, "gsc", "Clicks", 3.0, None), (2, "gsc", "Position", 0.25, None), (2, "moz", "Domain authority", 12_345_678.0, None)], "url_id long, source string, metric string, value double, text string")
+    pv = wide_view(Crawl.of(spark, urls=urls, links=links, external_metrics=metrics))
+    shown = {r.id: r for r in reports.project(pv, ["topAnchor", "gsc_Clicks", "gsc_Position", "moz_Domain_authority"]).collect()}
+    assert not shown[2].topAnchor and shown[1].gsc_Clicks == "5.0" and shown[2].gsc_Position == "0.25" and shown[2].moz_Domain_authority == "12345678.0"
