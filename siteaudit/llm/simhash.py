@@ -120,25 +120,30 @@ def _roots(parent: np.ndarray) -> np.ndarray:
     return parent
 
 
-def linked(values: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (query, value) that keep the components of all pairs within the radius: of the values
-    that one query reaches, those that are known to hang together are named once."""
-    tree = BKTree(values)
-    parent = np.arange(len(values))
-    for lo in range(0, len(queries), _TOGETHER):
-        own = queries[lo : lo + _TOGETHER]
-        q, v = tree.within(own, radius)
-        pairs = np.unique(q * len(values) + parent[v])
-        q, v = pairs // len(values), pairs % len(values)
-        other = own[q] != tree.values[v]
-        yield own[q][other], tree.values[v][other]
-        # what one query reaches hangs together from now on
-        joint = np.flatnonzero(q[1:] == q[:-1])
-        while len(joint):
-            a, b = parent[v[joint]], parent[v[joint + 1]]
-            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-            parent = _roots(parent)
-            joint = joint[parent[v[joint]] != parent[v[joint + 1]]]
+class Linker:
+    """Links that keep the components of all pairs within the radius: of the values that one query
+    reaches, those that are known to hang together are named once."""
+
+    def __init__(self, values: np.ndarray, radius: int = RADIUS) -> None:
+        self.tree, self.radius, self.parent = BKTree(values), radius, np.arange(len(values))
+
+    def links(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, value) pairs, some hundred queries at a time."""
+        values = self.tree.values
+        for lo in range(0, len(queries), _TOGETHER):
+            own = queries[lo : lo + _TOGETHER]
+            q, v = self.tree.within(own, self.radius)
+            pairs = np.unique(q * len(values) + self.parent[v])
+            q, v = pairs // len(values), pairs % len(values)
+            other = own[q] != values[v]
+            yield own[q][other], values[v][other]
+            # what one query reaches hangs together from now on
+            joint = np.flatnonzero(q[1:] == q[:-1])
+            while len(joint):
+                a, b = self.parent[v[joint]], self.parent[v[joint + 1]]
+                np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+                self.parent = _roots(self.parent)
+                joint = joint[self.parent[v[joint]] != self.parent[v[joint + 1]]]
 
 
 def with_fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -170,9 +175,12 @@ def shards(fp: Column, count: int, tree: int = TREE) -> Column:
     return F.array(*[F.lit(t << 32).cast("long").bitwiseOR(k) for t, k in enumerate(keys)])
 
 
-def in_trees(members: DataFrame, queries: DataFrame, run: Callable[[list[np.ndarray], list[np.ndarray]], Iterator[tuple[np.ndarray, np.ndarray]]], tree: int = TREE) -> DataFrame:
-    """(u, v) that ``run`` gives for each tree's members (whole columns) and its queries (columns, a
-    batch at a time). Both tables have the columns shard, key and others; members of one
+Search = Callable[[list[np.ndarray]], Iterator[tuple[np.ndarray, np.ndarray]]]
+
+
+def in_trees(members: DataFrame, queries: DataFrame, start: Callable[[list[np.ndarray]], Search], tree: int = TREE) -> DataFrame:
+    """(u, v) of each tree: ``start`` takes its members (whole columns) and gives the search, which takes
+    its queries (columns, a batch at a time). Both tables have the columns shard, key and others; members of one
     shard are dealt to trees of about ``tree`` by their key, and queries go to each of its trees."""
     names = [c for c in members.columns if c != "shard"]
     parts = members.groupBy("shard").agg(F.ceil(F.count("*") / tree).cast("long").alias("parts"))
@@ -191,8 +199,8 @@ def in_trees(members: DataFrame, queries: DataFrame, run: Callable[[list[np.ndar
             if m:
                 held.append([c[:m] for c in columns[3:]])
             if m < len(asks) and held:
-                ready = ready or [np.concatenate(c) for c in zip(*held, strict=True)]
-                for u, v in run(ready, [c[m:] for c in columns[3:]]):
+                ready = ready or start([np.concatenate(c) for c in zip(*held, strict=True)])
+                for u, v in ready([c[m:] for c in columns[3:]]):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for b in batches:
@@ -212,12 +220,17 @@ def links(fps: DataFrame, radius: int = RADIUS, tree: int = TREE, count: int | N
     if radius > 3:
         raise ValueError("the shards cover a radius of three bits at most")
 
-    def run(members: list[np.ndarray], asked: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for u, v in linked(members[0].view(np.uint64), asked[0].view(np.uint64), radius):
-            yield u.view(np.int64), v.view(np.int64)
+    def start(members: list[np.ndarray]) -> Search:
+        shard = Linker(members[0].view(np.uint64), radius)
+
+        def search(asked: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for u, v in shard.links(asked[0].view(np.uint64)):
+                yield u.view(np.int64), v.view(np.int64)
+
+        return search
 
     rows = fps.select(F.explode(shards(F.col("fp"), fps.count() if count is None else count, tree)).alias("shard"), F.col("fp").alias("key"))
-    found = in_trees(rows, rows, run, tree)
+    found = in_trees(rows, rows, start, tree)
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 

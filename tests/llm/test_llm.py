@@ -412,7 +412,7 @@ def test_trees_lose_no_link(monkeypatch):
     parent = {v: v for v in values.tolist()}
     up = lambda x: x if parent[x] == x else up(parent[x])
     monkeypatch.setattr(simhash, "_TOGETHER", 7)
-    for us, vs in simhash.linked(values, values):
+    for us, vs in simhash.Linker(values).links(values):
         for u, v in zip(us.tolist(), vs.tolist(), strict=True):
             parent[up(u)] = up(v)
     assert _groups({v: up(v) for v in values.tolist()}) == _groups(_closed(values.tolist()))
