@@ -40,7 +40,7 @@ SAMPLE = 8192
 SLICE = 8192
 SHORTLIST = 320
 #: Rows and queries that meet in one task.
-CHUNK, BLOCK = 65_536, 8_192
+CHUNK, BLOCK = 16_384, 16_384
 ROUNDS = 8
 
 
