@@ -48,9 +48,9 @@ GRAM = 16
 #: Windows that share a minimizer stand this close at most.
 SPREAD = LENGTH - GRAM + 1
 GROUP_BYTES = 8 << 20
-SHARD_BYTES = 1 << 17
+SHARD_BYTES = 1 << 16
 #: Buckets of segments for each document group: what a bucket's merge holds is this much less.
-BUCKETS_A_GROUP = 4
+BUCKETS_A_GROUP = 16
 #: Occurrences of one minimizer that are merged in one place.
 HOT = 1 << 14
 #: Symbols of one refinement, and end symbols after each text.
@@ -418,7 +418,7 @@ def substring_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool
         columns = [pa.array(out[0], pa.int64()), *(pa.array(c, pa.int64()) for c in out[1:4]), pa.array(out[4], pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if carry:
-            columns += [pa.array(out[5], pa.string()), batch.column("row").take(pa.array(order_in, pa.int64()))]
+            columns += [pa.array(out[5], pa.string()), _nullable(batch.column("row").combine_chunks().take(pa.array(order_in, pa.int64())))]
             names += ["text", "row"]
         return pa.table(columns, names=names)
 
@@ -434,6 +434,11 @@ def substring_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool
     return rows.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_with_mail(remove), shape)
 
 
+def _nullable(rows: pa.StructArray) -> pa.StructArray:
+    """Spark takes back no fields that may not be null."""
+    return pa.StructArray.from_arrays(rows.flatten(), fields=[pa.field(f.name, f.type) for f in rows.type])
+
+
 def _whole_characters(text: bytes, gone: np.ndarray) -> str:
     """What is left of a text. A character of which a part goes, goes: halves never meet."""
     if not gone.any():
