@@ -28,8 +28,9 @@ from siteaudit.llm.common import bound_batches, materialize
 BUCKETS = 10_000
 SHARE = 0.5
 SEED = 42
-#: So many labelled ids are broadcast at most (about 130 MB); more are joined by shuffling.
-MAX_BROADCAST = 4_000_000
+#: So many labelled ids are broadcast at most (about 100 MB, with 100 bytes each as the check tool
+#: measures them); more are joined by shuffling.
+MAX_BROADCAST = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import mmap
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -112,9 +113,13 @@ def publish(spark: SparkSession, data: bytes) -> str:
     path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/{name}")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        out = fs.create(path, True)
+        # under another name first: a write that breaks off leaves no file of this name
+        part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+        out = fs.create(part, True)
         out.write(bytearray(data))
         out.close()
+        if not fs.rename(part, path):  # another driver was first: its file has the same content
+            fs.delete(part, False)
     spark.sparkContext.addFile(path.toString())
     return name
 
