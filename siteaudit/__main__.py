@@ -122,7 +122,7 @@ def main(args: list[str]) -> int:
         if found := plan.problems():
             print("; ".join(found), file=sys.stderr)
             return 2
-        print(f"{plan.cron()} {sys.executable} -m siteaudit crawl {got.url} --replace")
+        print(plan.line(sys.executable))
         return 0
     spark = SparkSession.builder.appName("siteaudit").getOrCreate()
     if got.do == "crawl":

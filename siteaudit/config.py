@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import shlex
 from dataclasses import asdict, dataclass, field, fields, replace
 
 from siteaudit.functions.urls import host_and_path, normalise
@@ -125,6 +126,10 @@ class Schedule:
             raise ValueError("; ".join(found))
         return f"{self.minute} {self.hour} * * {'*' if self.weekday is None else self.weekday}"
 
+    def line(self, program: str) -> str:
+        """The whole cron line, the url quoted for the shell."""
+        return f"{self.cron()} {shlex.quote(program)} -m siteaudit crawl {shlex.quote(self.url)} --replace"
+
     def summary(self) -> str:
         days = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
         return f"{'Every day' if self.weekday is None else 'Every ' + days[self.weekday]} at {self.hour:02d}:{self.minute:02d}"

@@ -50,6 +50,15 @@ def non_indexable(label: Column) -> Column:
     return ~label.isin(INDEXABLE, NOT_CRAWLED)
 
 
+def status_ink(status: Column) -> Column:
+    """How a status is shown: errors as critical, redirects as a warning."""
+    return F.when((status == 0) | (status >= 400), "critical").when(status.between(300, 399), "warning")
+
+
+def indexability_ink(label: Column) -> Column:
+    return F.when(label != INDEXABLE, "critical")
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

@@ -24,6 +24,8 @@ from pyspark.sql.types import BinaryType
 from siteaudit.config import CrawlConfig
 from siteaudit.functions import expressions as X
 from siteaudit.functions import pdf, robots
+from siteaudit.functions.html_facts import Facts
+from siteaudit.functions.html_facts import parse as parse_html
 from siteaudit.functions.urls import host_and_path, normalise, url_hash
 from siteaudit.operators import extractions, frontier
 from siteaudit.schema import DONE, SCHEMAS, SKIPPED
@@ -33,6 +35,7 @@ from siteaudit.sources.pages import parse_pages
 from siteaudit.sources.tables import written
 
 Ask = Callable[[str, str], dict]
+Render = Callable[[str], dict | None]
 ROBOTS_HOPS = 3
 #: Tables to which each round adds.
 ADDED = ("responses", "page_facts", "links", "images", "hreflang", "structured_data", "extractions", "resources", "simhash_bands")
@@ -156,7 +159,36 @@ class Folder:
         return Crawl.of(self.spark, **found)
 
 
-def one_round(folder: Folder, n: int, urls: DataFrame, config: CrawlConfig, policy: robots.Policy, ask: Ask, limit: int, keep_bodies: bool) -> tuple[int, int]:
+RENDERED = "url_id long, dom string, render_ms int, js_errors string, rendered_words int, static_words int, perf_ttfb_ms int, perf_fcp_ms int, perf_lcp_ms int, perf_dcl_ms int, perf_load_ms int, perf_resources int, scripts map<string,string>"
+MAX_ERRORS = 50
+
+
+def rendered(pages: DataFrame, render: Render, parse: Callable[[str | None], Facts] = parse_html) -> DataFrame:
+    """What a browser makes of (url_id, url, html). ``render(url)`` runs on the executors and gives html,
+    elapsed_ms, errors, metrics (ttfb_ms, fcp_ms, lcp_ms, dcl_ms, load_ms, resources) and the results of
+    the scripts; a page that it does not render keeps what was fetched."""
+    names = [c.split(" ")[0] for c in RENDERED.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for i, url, html in zip(part["url_id"], part["url"], part["html"], strict=True):
+                try:
+                    got = render(url)
+                except Exception:  # noqa: BLE001  a page that breaks the browser is still a page
+                    continue
+                if not got or got.get("html") is None:
+                    continue
+                errors = "\n".join(got.get("errors", [])[:MAX_ERRORS]) or None
+                metrics = got.get("metrics", {})
+                perf = [metrics.get(k) for k in ("ttfb_ms", "fcp_ms", "lcp_ms", "dcl_ms", "load_ms", "resources")]
+                rows.append((i, got["html"], got.get("elapsed_ms"), errors, parse(got["html"]).word_count, parse(html).word_count, *perf, got.get("scripts") or {}))
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    return pages.select("url_id", "url", "html").mapInPandas(run, RENDERED)
+
+
+def one_round(folder: Folder, n: int, urls: DataFrame, config: CrawlConfig, policy: robots.Policy, ask: Ask, limit: int, keep_bodies: bool, render: Render | None = None, parse: Callable[[str | None], Facts] = parse_html) -> tuple[int, int]:
     """Fetch the next urls of the queue and write what follows; how many were fetched and discovered.
     (-1, 0) if the queue is empty."""
     rules, now, agent = config.rules(), time.time(), config.headers()["User-Agent"]
@@ -170,8 +202,13 @@ def one_round(folder: Folder, n: int, urls: DataFrame, config: CrawlConfig, poli
     asked = claimed.join(blocked, "id", "left_anti")
     answers = http.fetch(asked, config.headers(), config.timeout, delay, ask, config.max_per_host)
     answers = written(answers.join(asked.select("url", F.col("id").alias("url_id"), "depth", "redirect_hops", "check_only"), "url"), "answers")
-    pages = answers.where("check_only = 0 AND html IS NOT NULL")
-    parsed = written(parse_pages(pages).join(pages.select("url", "url_id", "depth", "redirect_hops"), "url"), "parsed")
+    pages, shown = answers.where("check_only = 0 AND html IS NOT NULL"), None
+    if render is not None and config.render_javascript:
+        shown = written(rendered(pages, render, parse), "rendered")
+        dom = F.coalesce("dom", "html")
+        pages = written(pages.join(shown.select("url_id", "dom"), "url_id", "left").withColumn("html", dom).drop("dom"), "pages")
+        answers = written(answers.drop("html").join(pages.select("url_id", "html"), "url_id", "left").join(shown.drop("dom", "scripts").withColumn("rendered", F.lit(1)), "url_id", "left"), "answers")
+    parsed = written(parse_pages(pages, parse).join(pages.select("url", "url_id", "depth", "redirect_hops"), "url"), "parsed")
     place = F.col("url_id") * (1 << 20)
     refs = parsed.select("url_id", "depth", "redirect_hops", F.posexplode("refs").alias("nth", "r")).select("url_id", "depth", "redirect_hops", (place + F.col("nth") + 1).alias("order"), "r.*")
     moved = answers.where("location IS NOT NULL").select("url_id", "depth", "redirect_hops", place.alias("order"), "location")
@@ -205,6 +242,9 @@ def one_round(folder: Folder, n: int, urls: DataFrame, config: CrawlConfig, poli
         "extractions": extractions.from_pages(pages, config.extractions).unionByName(extractions.from_headers(Crawl.of(folder.spark, responses=responses, page_facts=facts), config.header_extractions)),
         "simhash_bands": facts.where("simhash IS NOT NULL").select("url_id", F.explode(X.bands(F.col("simhash"))).alias("b")).select("url_id", "b.band", "b.value"),
     }
+    if shown is not None:
+        said = shown.select("url_id", F.explode(F.array_sort(F.map_entries("scripts"))).alias("e")).select("url_id", F.col("e.key").alias("name"), F.col("e.value").alias("value"), F.lit(0).alias("position"))
+        tables["extractions"] = tables["extractions"].unionByName(said)
     for name, df in tables.items():
         folder.write(name, n, df)
     folder.write("urls", n, queue)
@@ -224,10 +264,11 @@ def _split(moved: DataFrame) -> DataFrame:
     return moved.mapInPandas(run, "url_id long, depth int, redirect_hops int, order long, url string, url_hash binary, host string, path string")
 
 
-def crawl(spark: SparkSession, config: CrawlConfig, path: str, ask: Ask | None = None, round_size: int = 10_000, max_rounds: int | None = None, on_progress: Callable[[Progress], None] | None = None, stop: Callable[[], bool] | None = None) -> Crawl:
+def crawl(spark: SparkSession, config: CrawlConfig, path: str, ask: Ask | None = None, round_size: int = 10_000, max_rounds: int | None = None, on_progress: Callable[[Progress], None] | None = None, stop: Callable[[], bool] | None = None, render: Render | None = None, parse: Callable[[str | None], Facts] = parse_html) -> Crawl:
     """Crawl until the queue is empty, ``max_rounds`` are done or ``stop`` says so (between rounds, as a
     pause); called again with the same folder it goes on. ``ask(url, method)`` gives an answer as
-    ``http.request`` does; it runs on the executors, and on the driver for robots and sitemaps."""
+    ``http.request`` does; it runs on the executors, and on the driver for robots and sitemaps. ``render``
+    is a browser (see ``rendered``), ``parse`` another reader of html."""
     config = config.clamped()
     folder, one = Folder(spark, path), ask or _asker(config)
     policy, _ = site_rules(config, one)
@@ -243,7 +284,7 @@ def crawl(spark: SparkSession, config: CrawlConfig, path: str, ask: Ask | None =
     rounds = 0
     while (max_rounds is None or rounds < max_rounds) and not (stop and stop()):
         urls = frontier.reset_in_flight(folder.queue())
-        got, new = one_round(folder, n + 1, urls, config, policy, one, round_size, config.retain_bodies and crawled < config.retain_body_url_limit)
+        got, new = one_round(folder, n + 1, urls, config, policy, one, round_size, config.retain_bodies and crawled < config.retain_body_url_limit, render, parse)
         if got < 0:
             break
         n, rounds, crawled, discovered = n + 1, rounds + 1, crawled + got, discovered + new

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,6 +30,20 @@ def site_tree(pv: DataFrame) -> DataFrame:
         depth.alias("level"), "page_count", "issue_count", F.col("page.id").alias("url_id"), F.col("page.status").alias("status"))
 
 
+def natural_order(label: Column) -> Column:
+    """A key that sorts names as people do: without regard to case, and numbers in them by their value.
+    Runs of digits get their length before them, so that longer numbers follow shorter ones."""
+    low = F.lower(label)
+    pieces = F.regexp_extract_all(low, F.lit(r"(\d+|\D+)"), F.lit(1))
+    digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(F.length(digits(p)).cast("string"), 4, "0"), digits(p))).otherwise(F.concat(F.lit("1"), p)))
+
+
+def children(tree: DataFrame, prefix: str) -> DataFrame:
+    """The nodes right below a prefix, in natural order of their labels."""
+    return tree.where(F.col("parent") == prefix).orderBy(natural_order(F.col("label")), "label")
+
+
 def graph_nodes(pv: DataFrame, limit: int = TOP_PAGES) -> DataFrame:
     """The pages with most inlinks; ties to the smaller depth, then id."""
     return pv.where("is_internal = 1 AND page_row AND status IS NOT NULL").orderBy(F.desc("inlinks"), "depth", "id").limit(limit).select("id", "url", "depth", "inlinks", "status", "indexability")

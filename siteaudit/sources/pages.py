@@ -6,7 +6,7 @@ of the normalised url, never by a driver-side map."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siteaudit.functions import expressions as X
-from siteaudit.functions.html_facts import parse
+from siteaudit.functions.html_facts import Facts, parse
 from siteaudit.functions.serp import width
 from siteaudit.functions.urls import host_and_path, normalise, url_hash
 from siteaudit.sources.crawl import Crawl
@@ -35,11 +35,11 @@ def _ref(kind: str, href: str, base: str, position: int, text=None, rel=None, w=
     return {"kind": kind, "hash": url_hash(url), "url": url, "host": host, "path": path, "text": text, "rel": rel, "position": position, "width": w, "height": h}
 
 
-def read_page(url: str, html: str | None) -> dict | None:
+def read_page(url: str, html: str | None, reader: Callable[[str | None], Facts] = parse) -> dict | None:
     at = normalise(url)
     if at is None:
         return None
-    f = parse(html)
+    f = reader(html)
     base = normalise(f.base, at) or at if f.base else at
     refs = [_ref("link", x["href"], base, x["position"], x["anchor_text"], x["rel"]) for x in f.links]
     refs += [_ref("image", x["src"], base, i, x["alt"], None, x["width"], x["height"]) for i, x in enumerate(f.images)]
@@ -56,14 +56,14 @@ def read_page(url: str, html: str | None) -> dict | None:
     }
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """Parsed rows of (url, html); a url that is none gives no row."""
+def parse_pages(pages: DataFrame, reader: Callable[[str | None], Facts] = parse) -> DataFrame:
+    """Parsed rows of (url, html) by any ``reader`` of html; a url that is none gives no row."""
     names = pages.sparkSession.createDataFrame([], PARSED).columns
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for lo in range(0, len(part), 200):
-                rows = [r for u, h in zip(part["url"][lo : lo + 200], part["html"][lo : lo + 200], strict=True) if (r := read_page(u, h))]
+                rows = [r for u, h in zip(part["url"][lo : lo + 200], part["html"][lo : lo + 200], strict=True) if (r := read_page(u, h, reader))]
                 yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return pages.select("url", "html").mapInPandas(run, PARSED)

@@ -140,3 +140,39 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["schedule", "x", "--hour", "30"]) == 2
     with pytest.raises(SystemExit):
         cli.arguments().parse_args(["crawl", "https://site.test/", "--css", "nothing"])
+
+
+def test_rendering_and_another_reader(spark, tmp_path):
+    from siteaudit.functions import html_facts
+
+    def render(url):
+        if url.endswith("/b"):
+            raise RuntimeError("broken")
+        return {"html": f"<title>Shown</title><p>many more words than there were {url}</p>", "elapsed_ms": 7, "errors": ["e1", "e2"], "metrics": {"ttfb_ms": 3, "resources": 2}, "scripts": {"z": "1", "a": "2"}}
+
+    def reader(html):
+        facts = html_facts.parse(html)
+        facts.title = (facts.title or "") + "!"
+        return facts
+
+    config = CrawlConfig("https://site.test/a", render_javascript=True, discover_sitemaps=False, seed_list=("https://site.test/b",))
+    got = rounds.crawl(spark, config, str(tmp_path / "r"), ask, max_rounds=1, render=render, parse=reader)
+    ids = {r.url.removeprefix("https://site.test"): r.id for r in got.urls.collect()}
+    status, facts = {r.url_id: r for r in got.responses.collect()}, {r.url_id: r for r in got.page_facts.collect()}
+    a, b = status[ids["/a"]], status[ids["/b"]]
+    assert (a.rendered, a.render_ms, a.js_errors, a.perf_ttfb_ms, a.perf_resources, a.static_words, a.rendered_words) == (1, 7, "e1\ne2", 3, 2, 2, 7)
+    assert (b.rendered, b.render_ms, b.static_words) == (0, None, None) and facts[ids["/a"]].title == "Shown!" and facts[ids["/b"]].title == "B!"
+    assert [(r.name, r.value) for r in got.extractions.orderBy("name").collect()] == [("a", "2"), ("z", "1")]
+
+
+def test_natural_order_ink_and_cron_line(spark):
+    from siteaudit.config import Schedule
+    from siteaudit.functions import expressions as X
+    from siteaudit.operators import shape
+
+    names = ["b", "A10", "a9", "a2b", "a02", "Z", "10", "9", "a"]
+    tree = spark.createDataFrame([(n, "/") for n in names] + [("x", "/y")], "label string, parent string")
+    assert [r.label for r in shape.children(tree, "/").collect()] == ["9", "10", "a", "a02", "a2b", "a9", "A10", "b", "Z"]
+    inks = spark.createDataFrame([(0,), (200,), (301,), (404,), (None,)], "s int").select(X.status_ink(F.col("s")).alias("i")).collect()
+    assert [r.i for r in inks] == ["critical", None, "warning", "critical", None]
+    assert Schedule("https://e.com/?a=1&b='2'", 3).line("/usr/bin/python3") == "0 3 * * * /usr/bin/python3 -m siteaudit crawl 'https://e.com/?a=1&b='\"'\"'2'\"'\"'' --replace"
