@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siteaudit.llm import bench_join, bwt_dedup, langid, near_copies, packing
-from siteaudit.llm.common import materialize, table
+from siteaudit.llm.common import discard, materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, a Jaccard similarity of 0.8 or more) the
-    document with the smallest doc_id stays."""
+    """Of each group of near-duplicates (fingerprints of five-word shingles, a Jaccard similarity of 0.8 or
+    more) the document with the smallest doc_id stays."""
     return near_copies.drop_near_copies(docs)
 
 
@@ -40,14 +40,14 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("benchmark_leaks", benchmark_leaks), ("packed", packed)]
 
-#: SQL can express neither the language model nor the packing; tests hold run() against a plain version.
+#: SQL can express neither the language model nor the packing: tests/llm/test_plain.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table. A stage's table is deleted when the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
