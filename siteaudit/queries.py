@@ -15,6 +15,7 @@ from siteaudit.plans.catalogue import PAGE, SEVERITIES, condition
 from siteaudit.plans.catalogue import reports as all_reports
 from siteaudit.plans.custom import FIELDS, Condition, compile_condition
 from siteaudit.plans.wide import near_pages, wide_view
+from siteaudit.sources import providers
 from siteaudit.sources.crawl import Crawl
 from siteaudit.sources.derived import derive
 from siteaudit.sources.tables import shared_folder, written
@@ -152,6 +153,19 @@ def band_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.band_totals(reports.counts(crawl_and_view(spark, sf_dir)[1]))
 
 
+def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawl, pv = crawl_and_view(spark, sf_dir)
+    return summary.overview(pv, crawl, reports.counts(pv))
+
+
+def small_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the sidebar: urls, listed in sitemaps, with metrics, and what an enrichment would ask for."""
+    crawl = crawl_and_view(spark, sf_dir)[0]
+    asked = providers.urls_to_enrich(crawl, 40).agg(F.count("*").alias("to_enrich"), F.sum("id").alias("ids"))
+    urls = crawl.urls.agg(F.count("*").alias("urls"), F.sum(F.col("in_sitemap").cast("bigint")).alias("listed"))
+    return urls.join(asked, F.lit(True)).join(crawl.external_metrics.agg(F.count("*").alias("metrics"), F.count_distinct("url_id").alias("enriched")), F.lit(True))
+
+
 def link_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     crawl, pv = crawl_and_view(spark, sf_dir)
     return shape.graph_edges(crawl, shape.graph_nodes(pv, 100))
@@ -232,7 +246,7 @@ def reports_by_id(report_id: str):
     return next(r for r in all_reports() if r.id == report_id)
 
 
-_OWN = (counts_all, indexability, status_class, crawl_summary, queue_state, claim_next, link_counts, link_graph_nodes, site_tree, redirect_chain, visible_urls, duplicate_values, metric_lookup, near_duplicates, document_simhash, compare_changes, compare_added, compare_removed, compare_totals, crawl_rate, findings, band_totals, link_graph_edges, inspector_links, inspector_images, inspector_headers, inspector_detail, rows_by_id, report_page, custom_conditions, frontier_admit)
+_OWN = (counts_all, indexability, status_class, crawl_summary, queue_state, claim_next, link_counts, link_graph_nodes, site_tree, redirect_chain, visible_urls, duplicate_values, metric_lookup, near_duplicates, document_simhash, compare_changes, compare_added, compare_removed, compare_totals, crawl_rate, findings, band_totals, overview, small_counts, link_graph_edges, inspector_links, inspector_images, inspector_headers, inspector_detail, rows_by_id, report_page, custom_conditions, frontier_admit)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"report_{r.id}": _members(r) for r in all_reports()} | {f"report_table_{r.id}": _table(r) for r in all_reports()} | {f.__name__: f for f in _OWN}
 
@@ -296,6 +310,8 @@ ORACLES: dict[str, str] = {f"report_{r.id}": second.members(r.id) for r in all_r
         "SELECT 'added' AS kind, count(*) AS n FROM urls u JOIN responses r ON r.url_id = u.id WHERE u.id % 9 = 4 UNION ALL SELECT 'removed', 0 UNION ALL SELECT 'changes', sum((o.status IS DISTINCT FROM o.was)::int + (o.title IS DISTINCT FROM o.old_title)::int + (o.h1 IS DISTINCT FROM o.old_h1)::int + (o.label IS DISTINCT FROM o.old_label)::int + (o.c_id IS NOT NULL AND o.c_id % 9 = 4)::int)::bigint FROM ("
         f"SELECT r.status, {_OLD_STATUS} AS was, f.title, CASE WHEN f.url_id IS NOT NULL AND u.id % 10 = 3 THEN 'Changed' ELSE f.title END AS old_title, f.h1, CASE WHEN u.id % 12 <> 5 THEN f.h1 END AS old_h1, {_label('r.status')} AS label, {_label(f'({_OLD_STATUS})')} AS old_label, c.id AS c_id"
         " FROM urls u JOIN responses r ON r.url_id = u.id LEFT JOIN page_facts f ON f.url_id = u.id LEFT JOIN urls c ON c.id = f.canonical_id WHERE u.id % 9 <> 4 AND r.status IS NOT NULL) o"),
+    "overview": second.overview(),
+    "small_counts": oracle.with_crawl("SELECT (SELECT count(*) FROM urls) AS urls, (SELECT sum(in_sitemap)::bigint FROM urls) AS listed, count(*) AS to_enrich, sum(id)::bigint AS ids, (SELECT count(*) FROM external_metrics) AS metrics, (SELECT count(DISTINCT url_id) FROM external_metrics) AS enriched FROM (SELECT u.id FROM urls u JOIN responses r ON r.url_id = u.id WHERE u.is_internal = 1 AND u.check_only = 0 AND r.status = 200 AND starts_with(lower(r.content_type), 'text/html') ORDER BY u.id LIMIT 40) x"),
     "findings": second.findings(), "band_totals": second.bands(), "custom_conditions": second.conditions(CONDITIONS),
     "link_graph_edges": oracle.with_view("SELECT DISTINCT l.from_url_id AS source, l.to_url_id AS target FROM links l WHERE l.from_url_id <> l.to_url_id AND l.from_url_id IN (SELECT id FROM top) AND l.to_url_id IN (SELECT id FROM top)").replace("\nSELECT DISTINCT l.from", ", top AS (SELECT id FROM pv WHERE is_internal = 1 AND page_row AND status IS NOT NULL ORDER BY inlinks DESC, depth, id LIMIT 100)\nSELECT DISTINCT l.from"),
     "inspector_links": oracle.with_crawl(" UNION ALL ".join(f"SELECT u.id, u.url, l.anchor_text, l.rel, r.status, l.position, '{n}' AS side FROM links l JOIN urls u ON u.id = l.{other} LEFT JOIN responses r ON r.url_id = u.id WHERE l.{own} = {INSPECTED}" for n, own, other in (("in", "to_url_id", "from_url_id"), ("out", "from_url_id", "to_url_id")))),

@@ -1,6 +1,8 @@
+import pytest
+
 from siteaudit.plans.wide import wide_view
 from siteaudit.sources.pages import ingest
-from siteaudit.streaming.ingest import append_parsed, parsed_so_far, smoothed
+from siteaudit.streaming.ingest import append_parsed, compact, parsed_so_far, rates, smoothed
 from tests.conftest import SF
 
 
@@ -23,3 +25,18 @@ def test_stream(spark, tmp_path):
     append_parsed(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.title for r in parsed_so_far(spark, str(tmp_path / "out")).collect()) == ["a", "b"]
     assert smoothed([]) is None and smoothed([10.0, 0.0]) == 7.0
+    compact(spark, str(tmp_path / "out"), str(tmp_path / "one"), 1)
+    assert sorted(r.title for r in spark.read.parquet(str(tmp_path / "one")).collect()) == ["a", "b"]
+
+
+def test_rates_of_a_stream(spark, tmp_path):
+    """Two batches: the state of the first goes on in the second."""
+    ticks = [("c", 0, 0), ("c", 10, 100), ("d", 0, 5), ("c", 10, 100)], [("c", 20, 100), ("c", 5, 1), ("d", 2, 9), ("c", 30, 130)]
+    got = []
+    for n, part in enumerate(ticks):
+        spark.createDataFrame(part, "crawl string, s int, crawled long").selectExpr("crawl", "timestamp_seconds(s) AS at", "crawled").coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+        stream = spark.readStream.schema("crawl string, at timestamp, crawled long").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        query = rates(stream).writeStream.foreachBatch(lambda df, n: got.extend(tuple(r) for r in df.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    rates_of = {c: [r for k, _, r in sorted(got, key=lambda g: g[1]) if k == c] for c in "cd"}
+    assert rates_of["c"] == pytest.approx([10.0, smoothed([10.0, 0.0]), smoothed([10.0, 0.0, 3.0])]) and rates_of["d"] == [2.0]
