@@ -242,11 +242,47 @@ def frontier_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.admit(known, frontier.follow(found, ADMIT), ADMIT, 1.0).select("url", "id", "depth", "state", "check_only", "redirect_hops", "skip_reason")
 
 
+HOSTS = frontier.Rules("www.example.com", crawl_subdomains=True, include=("/(en|de)/", "/i[0-9]"), exclude=("utm_", "[?]id=7"))
+
+
+def admission_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which urls are internal to a site with its subdomains, and which pass the filters."""
+    urls = crawl_and_view(spark, sf_dir)[0].urls
+    return urls.select("id", frontier.is_internal(F.col("host"), HOSTS).alias("inside"), frontier.passes_filters(F.col("url"), HOSTS).alias("fits"))
+
+
+def sitemap_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl's pages as the queue, and a sitemap that lists some of them and some new urls."""
+    urls = crawl_and_view(spark, sf_dir)[0].urls.withColumn("url_hash", F.sha2("url", 256).cast("binary")).withColumn("in_sitemap", F.lit(0))
+    queue = frontier.seed_sitemap(urls.where("id <= 1000000"), urls.where("id % 3 = 0 AND check_only = 0"), HOSTS, 1.0)
+    return queue.select("url", "depth", "is_internal", "state", "in_sitemap", "skip_reason")
+
+
+def queue_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some urls claimed, some skipped with a reason, and what was under way put back."""
+    urls = crawl_and_view(spark, sf_dir)[0].urls
+    claimed = frontier.mark(urls, urls.where("state = 0 AND id % 4 = 0"), 1)
+    skipped = frontier.mark(claimed, urls.where("state = 0 AND id % 4 = 1"), 3, F.lit(frontier.BLOCKED))
+    return frontier.reset_in_flight(skipped.withColumn("state", F.when(F.col("id") % 8 == 0, F.col("state")).otherwise(F.when(F.col("state") == 1, 2).otherwise(F.col("state"))))).select("id", "state", "skip_reason")
+
+
+def metrics_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New numbers for some urls, one that is not known among them."""
+    crawl = crawl_and_view(spark, sf_dir)[0]
+    new = crawl.urls.where("id % 6 = 1 AND id <= 1000000").select("url", F.lit("gsc").alias("source"), F.lit("Clicks").alias("metric"), (F.col("id") * 1.5).alias("value"), F.lit(None).cast("string").alias("text"))
+    unknown = spark.createDataFrame([("https://nowhere", "gsc", "Clicks", 1.0, None), (None, "gsc", None, None, "an error")], providers.SHAPE)
+    return providers.upsert_metrics(crawl, new.unionByName(unknown))
+
+
+def fingerprint_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl_and_view(spark, sf_dir)[0].simhash_bands
+
+
 def reports_by_id(report_id: str):
     return next(r for r in all_reports() if r.id == report_id)
 
 
-_OWN = (counts_all, indexability, status_class, crawl_summary, queue_state, claim_next, link_counts, link_graph_nodes, site_tree, redirect_chain, visible_urls, duplicate_values, metric_lookup, near_duplicates, document_simhash, compare_changes, compare_added, compare_removed, compare_totals, crawl_rate, findings, band_totals, overview, small_counts, link_graph_edges, inspector_links, inspector_images, inspector_headers, inspector_detail, rows_by_id, report_page, custom_conditions, frontier_admit)
+_OWN = (counts_all, indexability, status_class, crawl_summary, queue_state, claim_next, link_counts, link_graph_nodes, site_tree, redirect_chain, visible_urls, duplicate_values, metric_lookup, near_duplicates, document_simhash, compare_changes, compare_added, compare_removed, compare_totals, crawl_rate, findings, band_totals, overview, small_counts, link_graph_edges, inspector_links, inspector_images, inspector_headers, inspector_detail, rows_by_id, report_page, custom_conditions, frontier_admit, admission_rules, sitemap_seed, queue_marks, metrics_upsert, fingerprint_bands)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"report_{r.id}": _members(r) for r in all_reports()} | {f"report_table_{r.id}": _table(r) for r in all_reports()} | {f.__name__: f for f in _OWN}
 
@@ -268,6 +304,10 @@ def _label(status: str) -> str:
     )
 
 
+_INSIDE = "(lower(host) IN ('www.example.com', 'example.com') OR ends_with(lower(host), '.example.com'))"
+_FITS = "(regexp_matches(url, '/(en|de)/|/i[0-9]') AND NOT regexp_matches(url, 'utm_|[?]id=7'))"
+
+
 ORACLES: dict[str, str] = {f"report_{r.id}": second.members(r.id) for r in all_reports()} | {f"report_table_{r.id}": second.table(r.id, r.columns) for r in all_reports()} | {
     "counts_all": second.counts(),
     "indexability": oracle.with_view("SELECT indexability, count(*) AS n FROM pv GROUP BY indexability"),
@@ -320,6 +360,13 @@ ORACLES: dict[str, str] = {f"report_{r.id}": second.members(r.id) for r in all_r
     "inspector_detail": second.detail(INSPECTED),
     "rows_by_id": second.with_rows(f"SELECT w.ordinal, p.id, {second.TEXTS['address']} AS address, {second.TEXTS['depth']} AS depth, {second.TEXTS['inlinks']} AS inlinks FROM (VALUES (0, 9), (2, 3), (3, 1000001)) w(ordinal, i) JOIN rows_ p ON p.id = w.i"),
     "report_page": second.with_rows(f"SELECT p.title AS value, p.id FROM rows_ p WHERE {second.SECOND['internal'][0]} ORDER BY p.title DESC NULLS LAST, p.id LIMIT 20 OFFSET 40"),
+    "admission_rules": oracle.with_crawl(f"SELECT id, {_INSIDE} AS inside, {_FITS} AS fits FROM urls"),
+    "sitemap_seed": oracle.with_crawl(
+        "SELECT url, CAST(depth AS int) AS depth, is_internal, state, CASE WHEN id % 3 = 0 AND check_only = 0 THEN 1 ELSE 0 END AS in_sitemap, skip_reason FROM urls WHERE id <= 1000000"
+        f" UNION ALL SELECT url, 0, {_INSIDE}::int, CASE WHEN {_INSIDE} AND {_FITS} THEN 0 ELSE 3 END, 1, NULL FROM urls WHERE id > 1000000 AND id % 3 = 0 AND check_only = 0"),
+    "queue_marks": oracle.with_crawl("SELECT id, CASE WHEN state <> 0 THEN state WHEN id % 8 = 0 THEN 0 WHEN id % 4 = 0 THEN 2 WHEN id % 4 = 1 THEN 3 ELSE 0 END AS state, CASE WHEN state = 0 AND id % 4 = 1 THEN 'blocked by robots.txt' ELSE skip_reason END AS skip_reason FROM urls"),
+    "metrics_upsert": oracle.with_crawl("SELECT m.* FROM external_metrics m WHERE NOT (m.source = 'gsc' AND m.metric = 'Clicks' AND m.url_id % 6 = 1) UNION ALL SELECT id, 'gsc', 'Clicks', id * 1.5::double, NULL FROM urls WHERE id % 6 = 1 AND id <= 1000000"),
+    "fingerprint_bands": oracle.with_crawl("SELECT url_id, CAST(b AS int) AS band, CAST((simhash >> (8 * b)) & 255 AS int) AS value FROM page_facts, range(8) t(b) WHERE simhash IS NOT NULL"),
     "frontier_admit": oracle.with_crawl("""SELECT url, CAST(top + place AS bigint) AS id, CAST(depth AS int) AS depth, CASE WHEN why IS NULL THEN 0 ELSE 3 END AS state, check_only, 0 AS redirect_hops, why AS skip_reason FROM (
         SELECT *, CASE WHEN reason IS NULL AND live + taken > 400 THEN 'URL cap reached' ELSE reason END AS why FROM (
             SELECT *, count(*) FILTER (WHERE reason IS NULL) OVER (ORDER BY o) AS live, row_number() OVER (ORDER BY o) AS place, (SELECT count(*) FROM urls WHERE id <= 1000000 AND state <> 3) AS taken, (SELECT max(id) FROM urls WHERE id <= 1000000) AS top FROM (
