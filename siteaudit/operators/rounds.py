@@ -68,8 +68,8 @@ def site_rules(config: CrawlConfig, ask: Ask) -> tuple[robots.Policy, str]:
 
 
 def _queue_rows(spark: SparkSession, urls: list[str], **more: Column) -> DataFrame:
-    rows = [(u, bytearray(url_hash(u)), *host_and_path(u)) for u in dict.fromkeys(urls)]
-    return spark.createDataFrame(rows, "url string, url_hash binary, host string, path string").withColumns(more)
+    rows = [(u, bytearray(url_hash(u)), *host_and_path(u), n) for n, u in enumerate(dict.fromkeys(urls))]
+    return spark.createDataFrame(rows, "url string, url_hash binary, host string, path string, order long").withColumns(more)
 
 
 def seeded(spark: SparkSession, config: CrawlConfig, listed: list[str], now: float) -> DataFrame:
@@ -78,8 +78,7 @@ def seeded(spark: SparkSession, config: CrawlConfig, listed: list[str], now: flo
     seeds = [u for u in map(normalise, (config.seed_url, *config.seed_list)) if u]
     empty = spark.createDataFrame([], SCHEMAS["urls"])
     found = _queue_rows(spark, seeds, kind=F.lit("seed"), nofollow=F.lit(False), is_internal=frontier.is_internal(F.col("host"), rules).cast("int"), parent_depth=F.lit(0), parent_hops=F.lit(0))
-    order = F.array_position(F.array(*map(F.lit, dict.fromkeys(seeds))), F.col("url"))
-    urls = frontier.admit(empty, frontier.follow(found, rules).withColumn("order", order), rules, now)
+    urls = frontier.admit(empty, frontier.follow(found, rules), rules, now)
     if listed := [u for u in map(normalise, listed) if u]:
         urls = frontier.seed_sitemap(written(urls, "seeds"), _queue_rows(spark, listed), rules, now)
     return urls

@@ -21,7 +21,7 @@ from siteaudit.sources.crawl import Crawl
 from siteaudit.sources.tables import written
 
 _REFS = "array<struct<kind:string,hash:binary,url:string,host:string,path:string,text:string,rel:string,position:int,width:int,height:int>>"
-PARSED = f"""url string, url_hash binary, host string, path string, title string, title_count int, meta_description string, meta_description_count int, h1 string, h1_count int, h2 string, h2_count int,
+PARSED = f"""given string, url string, url_hash binary, host string, path string, title string, title_count int, meta_description string, meta_description_count int, h1 string, h1_count int, h2 string, h2_count int,
 canonical_count int, meta_robots string, lang string, amphtml string, rel_prev string, rel_next string, og_title string, og_description string, og_image string, og_type string, twitter_card string, twitter_title string, twitter_image string,
 analytics string, word_count int, text_length int, content_hash binary, visible_text string, title_length int, meta_description_length int, title_pixels int, meta_description_pixels int, content_length long,
 structured array<struct<format:string,type:string>>, refs {_REFS}"""
@@ -50,7 +50,7 @@ def read_page(url: str, html: str | None, reader: Callable[[str | None], Facts]
     names = {"og:title": "og_title", "og:description": "og_description", "og:image": "og_image", "og:type": "og_type", "twitter:card": "twitter_card", "twitter:title": "twitter_title", "twitter:image": "twitter_image"}
     same = ("title", "title_count", "meta_description", "meta_description_count", "h1", "h1_count", "h2", "h2_count", "canonical_count", "meta_robots", "lang", "amphtml", "rel_prev", "rel_next", "word_count", "text_length", "content_hash")
     return {
-        "url": at, "url_hash": url_hash(at), "host": host, "path": path, **{k: getattr(f, k) for k in same}, **{v: f.social.get(k) for k, v in names.items()}, "analytics": ", ".join(f.analytics) or None, "visible_text": f.text,
+        "given": url, "url": at, "url_hash": url_hash(at), "host": host, "path": path, **{k: getattr(f, k) for k in same}, **{v: f.social.get(k) for k, v in names.items()}, "analytics": ", ".join(f.analytics) or None, "visible_text": f.text,
         "title_length": None if f.title is None else len(f.title), "meta_description_length": None if f.meta_description is None else len(f.meta_description), "title_pixels": width(f.title, 20), "meta_description_pixels": width(f.meta_description, 14),
         "content_length": len((html or "").encode("utf-8", "surrogatepass")), "structured": f.structured_data, "refs": [r for r in refs if r],
     }
@@ -99,10 +99,9 @@ def ingest(spark: SparkSession, pages: DataFrame, seed_url: str) -> Crawl:
     page = parsed.join(ids, "url_hash")
     canonical = of("canonical").select(F.col("from_id").alias("id"), F.col("to_id").alias("canonical_id"))
     facts = page.join(canonical, "id", "left").join(X.simhashes(page, "id", "visible_text"), "id", "left").withColumnRenamed("id", "url_id")
-    answers = page.select(F.col("id").alias("url_id"), "content_length", "url")
-    if extra:
-        normal = F.udf(normalise, "string")
-        answers = answers.join(pages.select(normal("url").alias("url"), *extra).dropDuplicates(["url"]), "url", "left")
+    answers = page.select(F.col("id").alias("url_id"), "content_length", "given")
+    if extra:  # parsing has said which page a url was written for
+        answers = answers.join(pages.select(F.col("url").alias("given"), *extra).dropDuplicates(["given"]), "given", "left")
     answers = answers.withColumns({"status": F.coalesce("status", F.lit(200)) if "status" in extra else F.lit(200), "content_type": F.coalesce("content_type", F.lit("text/html")) if "content_type" in extra else F.lit("text/html")})
     facts = written(facts, "facts")
     return Crawl.of(
