@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteaudit.llm import bench_join, bwt_dedup, extraction, langid, packing, resampling, sharding, simhash, url_filter, vector_search
+from siteaudit.llm import bench_join, bwt_dedup, byte_bpe, extraction, langid, packing, prefix_trie, resampling, sharding, simhash, url_filter, vector_search, whitening
 from siteaudit.llm.common import table
 
 
@@ -53,7 +53,22 @@ def op10_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_louds_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_column_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_crf_language, op2_bounded_ring, op3_digest_array, op4_prefix_join, op5_sum_of_squares, op6_merged_bwt, op7_additive_quantisation, op8_simhash_bktree, op9_importance_resampling, op10_block_rules)
-}
+    for f in (
+        op1_crf_language, op2_bounded_ring, op3_digest_array, op4_prefix_join, op5_sum_of_squares, op6_merged_bwt, op7_additive_quantisation, op8_simhash_bktree, op9_importance_resampling, op10_block_rules,
+        op11_louds_trie, op12_column_whitening, op13_byte_bpe,
+    )
+}
