@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 from html import escape
-from html.parser import HTMLParser
 
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+from siteaudit.functions.markup import END, START, TEXT, VOID, Open, events
+
 _PART = re.compile(r"(?P<tag>[A-Za-z][\w-]*|\*)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w:-]+)(?:(?P<op>[~^$*|]?=)[\"']?(?P<val>[^\"'\]]*)[\"']?)?\]|:(?P<pseudo>first-child|last-child|nth-child\((?P<n>\d+)\))")
 
 
@@ -45,44 +45,27 @@ class Node:
                 out.append(escape(c, False))
             else:
                 out.append(f"<{c.tag}{''.join(f' {k}="{escape(v)}"' for k, v in c.attrs.items())}>")
-                if c.tag not in _VOID:
+                if c.tag not in VOID:
                     todo.append((f"</{c.tag}>",))
                     todo += c.children[::-1]
         return "".join(out)
 
 
-class _Tree(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "td", "th", "tr", "option", "dt", "dd") and self.at.tag == tag:
-            self.at = self.at.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in _VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        at = self.at
-        while at is not None and at.tag != tag:
-            at = at.parent
-        if at is not None and at.parent is not None:
-            self.at = at.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
 def tree(page: str) -> Node:
-    t = _Tree()
-    t.feed(page)
-    t.close()
-    return t.root
+    """The page's elements, with those that the standard implies."""
+    root = at = Node("", {}, None)
+    opened = Open()
+    for kind, what, attrs, closed in events(page):
+        gone, begun = (opened.end(what), []) if kind == END else opened.start(what, closed) if kind == START else opened.text(what)
+        for _ in range(gone):
+            at = at.parent
+        for n, (tag, stays) in enumerate(begun, 1):
+            node = Node(tag, attrs if n == len(begun) and tag == what and kind == START else {}, at)
+            at.children.append(node)
+            at = node if stays else at
+        if kind == TEXT and at is not root:
+            at.children.append(what)
+    return root
 
 
 def _compound(text: str):

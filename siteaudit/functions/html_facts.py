@@ -5,18 +5,19 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter, deque
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
 import regex
 
+from siteaudit.functions.markup import END, START, events
+
 #: What gives an analytics tool away, in lower case.
 ANALYTICS = (
     ("Google Tag Manager", ("googletagmanager.com/gtm.js", "gtm.start")), ("Google Analytics 4", ("googletagmanager.com/gtag/js", "gtag('config'")), ("Universal Analytics", ("google-analytics.com/analytics.js", "ga('create'")),
     ("Meta Pixel", ("connect.facebook.net", "fbq('init'")), ("Hotjar", ("static.hotjar.com", "hjsitesettings")), ("Plausible", ("plausible.io/js",)), ("Matomo", ("matomo.js", "piwik.js")), ("Segment", ("cdn.segment.com",)), ("PostHog", ("posthog.com/static/array.js", "posthog.init")),
 )
 _HIDDEN = {"script", "style", "noscript"}
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 
 
@@ -61,9 +62,9 @@ def _type_name(value: str) -> str:
 
 def _json_types(node) -> list[str]:
     """Every @type of a JSON-LD value, nested ones included."""
-    out, todo = [], [node]
+    out, todo = [], deque([node])
     while todo:
-        at = todo.pop(0)
+        at = todo.popleft()
         if isinstance(at, dict):
             t = at.get("@type")
             out += [x for x in (t if isinstance(t, list) else [t]) if isinstance(x, str) and x.strip()]
@@ -77,20 +78,28 @@ def _json_types(node) -> list[str]:
 _HEAD = frozenset("html head title base link meta script style noscript template".split())
 
 
-class _Reader(HTMLParser):
+class _Reader:
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.facts, self.text, self.catching = Facts(), [], {}
-        self.hidden, self.in_head, self.body_seen = [], True, False
+        self.hidden, self.in_head = Counter(), True
         self.script: list[str] | None = None
         self.json, self.scripts, self.seen = False, [], set()
         self.positions = -1
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+    def read(self, page: str) -> None:
+        for kind, what, attrs, _ in events(page):
+            if kind == START:
+                self.started(what, attrs)
+            elif kind == END:
+                self.ended(what)
+            else:
+                self.said(what)
+        for tag in list(self.catching):
+            self._close(tag)
+        if self.script is not None:
+            self.ended("script")
 
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in reversed(attrs)}
+    def started(self, tag, a):
         f = self.facts
         if tag not in _HEAD:
             self.in_head = False  # both the end of the head and the start of the body may be left out
@@ -98,7 +107,7 @@ class _Reader(HTMLParser):
             self.text.append(" ")
         if tag == "html" and f.lang is None:
             f.lang = _clean(a.get("lang"))
-        elif tag == "title" and not self.hidden and self.in_head:
+        elif tag == "title" and not self.hidden.total() and self.in_head:
             f.title_count += 1
             self.catching["title"] = []
         elif tag in ("h1", "h2"):
@@ -127,7 +136,7 @@ class _Reader(HTMLParser):
         self._typed("microdata", [a["itemtype"]] if a.get("itemtype") else [])
         self._typed("rdfa", a.get("typeof", "").split())
         if tag in _HIDDEN:
-            self.hidden.append(tag)
+            self.hidden[tag] += 1
             if tag == "script":
                 self.script, self.json = [], a.get("type", "").strip().lower() == "application/ld+json"
 
@@ -175,28 +184,28 @@ class _Reader(HTMLParser):
         elif getattr(self.facts, f"{tag}_count") == 1:
             setattr(self.facts, tag, value)
 
-    def handle_endtag(self, tag):
+    def ended(self, tag):
         if tag in _BLOCKS:
             self.text.append(" ")
         if tag == "head":
             self.in_head = False
-        if tag in _HIDDEN and tag in self.hidden:
-            self.hidden.remove(tag)
+        if self.hidden[tag]:
+            self.hidden[tag] -= 1
             if tag == "script" and self.script is not None:
                 body = "".join(self.script)
                 if self.json:
                     try:
                         self._typed("json-ld", _json_types(json.loads(body)))
-                    except ValueError:
+                    except (ValueError, RecursionError):
                         pass
                 self.scripts.append(body)
                 self.script = None
         self._close(tag)
 
-    def handle_data(self, data):
+    def said(self, data):
         if self.script is not None:
             self.script.append(data)
-        if self.hidden:
+        if self.hidden.total():
             return
         for caught in self.catching.values():
             caught.append(data)
@@ -208,10 +217,7 @@ class _Reader(HTMLParser):
 
 def parse(html: str | None) -> Facts:
     reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
-    for tag in list(reader.catching):
-        reader._close(tag)
+    reader.read(html or "")
     f = reader.facts
     f.social = {k: v[1] for k, v in f.social.items()}
     f.text = " ".join("".join(reader.text).split())

@@ -69,6 +69,31 @@ def parse_pages(pages: DataFrame, reader: Callable[[str | None], Facts] = parse)
     return pages.select("url", "html").mapInPandas(run, PARSED)
 
 
+#: What ``page_facts`` gives of each page beside its key.
+FACTS = "title string, title_count int, meta_description string, h1 string, h1_count int, h2 string, h2_count int, canonical string, meta_robots string, lang string, links int, images int, hreflang int, resources int, structured int, analytics string, word_count int, text_length int, content_hash string"
+
+
+def page_facts(pages: DataFrame, key: str = "page_id", reader: Callable[[str | None], Facts] = parse) -> DataFrame:
+    """Facts of every row's html by themselves, whatever its url: ``key`` and the columns of ``FACTS``. Null html is
+    an empty page."""
+    schema = f"__key {pages.schema[key].dataType.simpleString()}, {FACTS}"
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+    counted = ("links", "images", "hreflang", "resources")
+
+    def row(own, html: str | None) -> list:
+        f = reader(html)
+        more = {"__key": own, "structured": len(f.structured_data), "analytics": ", ".join(f.analytics) or None, "content_hash": f.content_hash.hex(), **{c: len(getattr(f, c)) for c in counted}}
+        return [more[n] if n in more else getattr(f, n) for n in names]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for lo in range(0, len(part), 200):
+                own = part.iloc[lo : lo + 200]
+                yield pd.DataFrame([row(k, h) for k, h in zip(own["__key"], own["html"], strict=True)], columns=names, dtype=object)
+
+    return pages.select(F.col(key).alias("__key"), "html").mapInPandas(run, schema).withColumnRenamed("__key", key)
+
+
 def ingest(spark: SparkSession, pages: DataFrame, seed_url: str) -> Crawl:
     """A crawl snapshot of fetched pages (url, html, and, where known, status, content_type and
     headers_json). The first row of a url counts. Ids go by order of the urls."""
