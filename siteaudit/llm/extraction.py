@@ -26,7 +26,6 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import html as html_lib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,6 +34,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siteaudit.functions.markup import references
 from siteaudit.llm.common import bound_batches
 
 SHORT = 70
@@ -64,7 +64,6 @@ _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 _NAMED = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[\"'>]")
 _SPACE = re.compile(r"\s+")
-_EDGE = re.compile(r"^\W+|\W+$")
 _SENTENCE = re.compile(r"[.!?…:;][\"'»”)\]]*$")
 
 
@@ -183,7 +182,7 @@ def read(page: str) -> Page:
 
     for tag, ending, attrs in tokens(page):
         if not tag.startswith("<") or len(tag) == 1:
-            text = html_lib.unescape(tag)
+            text = references(tag)
             parts.append(text)
             if links:
                 linked += len(_SPACE.sub(" ", text).strip())
@@ -238,9 +237,19 @@ def read(page: str) -> Page:
     return out
 
 
+def bare(word: str) -> str:
+    """A word without the punctuation around it."""
+    a, b = 0, len(word)
+    while a < b and not (word[a].isalnum() or word[a] == "_"):
+        a += 1
+    while b > a and not (word[b - 1].isalnum() or word[b - 1] == "_"):
+        b -= 1
+    return word[a:b]
+
+
 def stop_density(text: str) -> float:
     ws = text.lower().split()
-    return sum(_EDGE.sub("", w) in STOP_WORDS for w in ws) / max(1, len(ws))
+    return sum(w in STOP_WORDS or bare(w) in STOP_WORDS for w in ws) / max(1, len(ws))
 
 
 def measured(text: str, linked: int) -> str:
@@ -322,14 +331,16 @@ def judge(page: Page) -> None:
 def main_text(page: Page) -> list[Block]:
     """The good blocks, without those around articles that hold as much."""
 
-    def inside(r: int, kind: str) -> bool:
-        while r and page.kinds[r] != kind:
-            r = page.around[r]
-        return r > 0
+    def inside(kind: str) -> list[bool]:
+        """Of each region whether it is, or lies in, one of this kind. The one around it comes before it."""
+        out = [False]
+        for r in range(1, len(page.kinds)):
+            out.append(page.kinds[r] == kind or out[page.around[r]])
+        return out
 
     good = [b for b in page.blocks if b.label == "good"]
     for kind in ("article", "main"):
-        own = {r: inside(r, kind) for r in {b.region for b in good}}
+        own = inside(kind)
         within = [b for b in good if own[b.region]]
         if within and 2 * sum(len(b.text) for b in within) >= sum(len(b.text) for b in good):
             return within

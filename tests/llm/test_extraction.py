@@ -86,6 +86,15 @@ def test_a_megabyte_takes_no_long(text):
     assert perf_counter() - began < 3  # a second at most on an idle machine
 
 
+def test_long_runs_and_nested_regions_take_no_long():
+    share = "<div class='share'>"
+    for html in ("<article><p>" + f"a{'-' * 500_000}b it was for all of them " * 2, "<p>" + "-" * 1_000_000 + " and so on and on it goes, as they say of all of it, for all the time that is left", f"{share * 25_000}<p>{PROSE[0]}", f"{(share + '<p>' + PROSE[0]) * 4_000}", "<p>&#" + "9" * 1_000_000):
+        began = perf_counter()
+        X.extract(html)
+        assert perf_counter() - began < 3
+    assert X.stop_density("--the-- \"of\" a-b _it_") == 0.5 and X.bare("--") == ""
+
+
 def test_odd_rows(spark):
     rows = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p>" + LINE, "x"), (4, "u", "<article><p>a\n\tb", "x"), (4, "u", "<article><p>a\n\tb", "x"), (5, "u", "<article><p>" + "w " * 400_000, "x")], "page_id long, url string, html string, text string")
     got = sorted(((r.page_id or 0, r.text[:5], r.n_chars) for r in X.extract_pages(rows).collect()))
