@@ -67,20 +67,26 @@ def site_rules(config: CrawlConfig, ask: Ask) -> tuple[robots.Policy, str]:
     return robots.DISALLOW_ALL, "unreachable"
 
 
-def _queue_rows(spark: SparkSession, urls: list[str], **more: Column) -> DataFrame:
-    rows = [(u, bytearray(url_hash(u)), *host_and_path(u), n) for n, u in enumerate(dict.fromkeys(urls))]
-    return spark.createDataFrame(rows, "url string, url_hash binary, host string, path string, order long").withColumns(more)
+def _queue_rows(listed: DataFrame) -> DataFrame:
+    """url, url_hash, host, path and order of (url, order); what is no url is left out."""
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            known = [(u, url_hash(u), *host_and_path(u), n) for u, n in zip(map(normalise, part["url"]), part["order"], strict=True) if u]
+            yield pd.DataFrame(known, columns=["url", "url_hash", "host", "path", "order"])
+
+    return listed.select("url", "order").mapInPandas(run, "url string, url_hash binary, host string, path string, order long")
 
-def seeded(spark: SparkSession, config: CrawlConfig, listed: list[str], now: float) -> DataFrame:
-    """The queue before the first round: the seed and the seed list at depth 0, then what sitemaps list."""
+
+def seeded(spark: SparkSession, config: CrawlConfig, listed: DataFrame | None, now: float) -> DataFrame:
+    """The queue before the first round: the seed and the seed list at depth 0, then what sitemaps list
+    (url, ordinal)."""
     rules = config.rules()
-    seeds = [u for u in map(normalise, (config.seed_url, *config.seed_list)) if u]
-    empty = spark.createDataFrame([], SCHEMAS["urls"])
-    found = _queue_rows(spark, seeds, kind=F.lit("seed"), nofollow=F.lit(False), is_internal=frontier.is_internal(F.col("host"), rules).cast("int"), parent_depth=F.lit(0), parent_hops=F.lit(0))
-    urls = frontier.admit(empty, frontier.follow(found, rules), rules, now)
-    if listed := [u for u in map(normalise, listed) if u]:
-        urls = frontier.seed_sitemap(written(urls, "seeds"), _queue_rows(spark, listed), rules, now)
+    seeds = _queue_rows(spark.createDataFrame([(u, n) for n, u in enumerate((config.seed_url, *config.seed_list))], "url string, order long"))
+    found = seeds.withColumns({"kind": F.lit("seed"), "nofollow": F.lit(False), "is_internal": frontier.is_internal(F.col("host"), rules).cast("int"), "parent_depth": F.lit(0), "parent_hops": F.lit(0)})
+    urls = frontier.admit(spark.createDataFrame([], SCHEMAS["urls"]), frontier.follow(found, rules), rules, now)
+    if listed is not None:
+        urls = frontier.seed_sitemap(written(urls, "seeds"), _queue_rows(listed.withColumnRenamed("ordinal", "order")), rules, now)
     return urls
 
 
@@ -266,7 +272,7 @@ def _split(moved: DataFrame) -> DataFrame:
 def crawl(spark: SparkSession, config: CrawlConfig, path: str, ask: Ask | None = None, round_size: int = 10_000, max_rounds: int | None = None, on_progress: Callable[[Progress], None] | None = None, stop: Callable[[], bool] | None = None, render: Render | None = None, parse: Callable[[str | None], Facts] = parse_html) -> Crawl:
     """Crawl until the queue is empty, ``max_rounds`` are done or ``stop`` says so (between rounds, as a
     pause); called again with the same folder it goes on. ``ask(url, method)`` gives an answer as
-    ``http.request`` does; it runs on the executors, and on the driver for robots and sitemaps. ``render``
+    ``http.request`` does; it runs on the executors, and on the driver for robots. ``render``
     is a browser (see ``rendered``), ``parse`` another reader of html."""
     config = config.clamped()
     folder, one = Folder(spark, path), ask or _asker(config)
@@ -274,8 +280,8 @@ def crawl(spark: SparkSession, config: CrawlConfig, path: str, ask: Ask | None =
     n = folder.last()
     if not n:
         listed = list(config.sitemap_urls) + (policy.sitemaps if config.discover_sitemaps else [])
-        fetched = lambda u: _body(one(u, "GET"))
-        found = sitemaps.collect(listed, fetched, config.max_sitemaps)[0] if listed else []
+        starting = spark.createDataFrame([(u, i) for i, u in enumerate(listed)], "url string, ordinal long")
+        found = sitemaps.expand(starting, sitemaps.asked(one), config.max_sitemaps)[0] if listed else None
         n = 1
         folder.write("urls", n, seeded(spark, config, found, time.time()))
         folder.commit(n, 0, folder.spark.read.parquet(f"{path}/urls/round={n}").count(), config)
@@ -297,12 +303,6 @@ def _asker(config: CrawlConfig) -> Ask:
     return lambda url, method: http.request(url, method, headers, timeout)
 
 
-def _body(got: dict) -> bytes | None:
-    if got["status"] != 200:
-        return None
-    return got.get("body") or b""
-
-
 def host_of(config: CrawlConfig) -> str:
     """The name of a crawl's folder where none is given."""
     return urlsplit(normalise(config.seed_url) or "").hostname or "crawl"

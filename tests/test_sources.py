@@ -9,13 +9,6 @@ def test_sitemap():
     assert s.urls == ["https://a/1", "n", "https://a/2?x&y", "https://a/3&z"] and not s.sitemaps
 
 
-def test_sitemap_collection():
-    index = b"<sitemapindex><sitemap><loc>b</loc></sitemap><sitemap><loc>gone</loc></sitemap><sitemap><loc>a</loc></sitemap></sitemapindex>"
-    web = {"a": index, "b": b"<urlset><url><loc>u</loc></url><url><loc>u</loc></url></urlset>"}
-    assert sitemaps.collect(["a"], web.get) == (["u"], ["gone"])
-    assert sitemaps.collect(["a"], web.get, 1) == ([], [])
-
-
 def test_csv(spark, tmp_path):
     df = spark.createDataFrame([("a,b", 'q"q'), (None, ""), ("x\ny", "z")], "h1 string, h2 string").coalesce(1)
     sinks.write_csv(str(tmp_path / "x.csv"), df)
