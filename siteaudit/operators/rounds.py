@@ -2,9 +2,13 @@
 
 A round is a few DataFrame steps over the queue; its tables are written to the crawl's folder, and
 a last small table commits it. A crawl that was broken off goes on after its last committed round:
-what the lost round had claimed is still in the queue there, and its tables are written anew. The
-queue is written whole each round, so a round should hold many urls (``round_size``); pages and
-references are only added.
+what the lost round had claimed is still in the queue there, and its tables are written anew.
+
+The queue is kept as a base and the rows that each round changed or added; reading merges them. So a
+round writes in proportion to itself. Once the changes since a base are more rows than the base, the
+next commit names a new one; bases and changes that two newer bases have replaced are deleted. A base
+counts from the commit that names it, so a crash while it is written costs nothing. Pages and references
+are only added.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -32,7 +36,7 @@ from siteaudit.schema import DONE, SCHEMAS, SKIPPED
 from siteaudit.sources import http, sitemaps
 from siteaudit.sources.crawl import Crawl, conform
 from siteaudit.sources.pages import parse_pages
-from siteaudit.sources.tables import written
+from siteaudit.sources.tables import discard, remove, written
 
 Ask = Callable[[str, str], dict]
 Render = Callable[[str], dict | None]
@@ -41,6 +45,11 @@ ROBOTS_HOPS = 3
 ADDED = ("responses", "page_facts", "links", "images", "hreflang", "structured_data", "extractions", "resources", "simhash_bands")
 
 
+#: A whole round: what was fetched and found, rows of the queue that changed, urls still queued, and the base
+#: under its changes.
+COMMIT = "round int, crawled long, discovered long, changed long, queued long, base int, at double, config_json string"
+
+
 @dataclass(frozen=True)
 class Progress:
     round: int
@@ -109,31 +118,72 @@ def _zipped(html: pd.Series) -> pd.Series:
 
 @dataclass
 class Folder:
-    """A crawl's folder: the queue of each round, what each round added, and which rounds are whole."""
+    """A crawl's folder: the queue as base and changes, what each round added, and which rounds are whole."""
 
     spark: SparkSession
     path: str
 
-    def last(self) -> int:
+    def commits(self) -> DataFrame:
+        return self.spark.read.schema(COMMIT).parquet(f"{self.path}/commits")
+
+    def newest(self) -> Row | None:
+        """The last whole round's commit."""
         try:
-            return self.spark.read.parquet(f"{self.path}/commits").agg(F.max("round")).first()[0] or 0
+            return self.commits().orderBy(F.desc("round"), F.desc("at")).first()
         except AnalysisException:
-            return 0
+            return None
+
+    def last(self) -> int:
+        newest = self.newest()
+        return newest["round"] if newest else 0
 
     def counts(self) -> tuple[int, int]:
         """Urls crawled and discovered in all whole rounds."""
-        row = self.spark.read.parquet(f"{self.path}/commits").where(F.col("round") <= self.last()).agg(F.sum("crawled"), F.sum("discovered")).first()
+        row = self.commits().agg(F.sum("crawled"), F.sum("discovered")).first()
         return row[0] or 0, row[1] or 0
 
     def write(self, name: str, n: int, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/round={n}")
 
-    def commit(self, n: int, crawled: int, discovered: int, config: CrawlConfig) -> None:
-        row = self.spark.createDataFrame([(n, crawled, discovered, time.time(), config.to_json())], "round int, crawled long, discovered long, at double, config_json string")
+    def commit(self, n: int, crawled: int, discovered: int, changed: int, queued: int, base: int, config: CrawlConfig) -> None:
+        row = self.spark.createDataFrame([(n, crawled, discovered, changed, queued, base, time.time(), config.to_json())], COMMIT)
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
-    def queue(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS["urls"]).parquet(f"{self.path}/urls/round={self.last()}")
+    def start(self, urls: DataFrame, config: CrawlConfig) -> None:
+        """The first round: the queue that a crawl begins with."""
+        self.write("base", 1, urls)
+        whole = self.spark.read.schema(SCHEMAS["urls"]).parquet(f"{self.path}/base/round=1")
+        n, queued = whole.agg(F.count("*"), F.count_if(F.col("state") == 0)).first()
+        self.commit(1, 0, n, 0, queued, 1, config)
+
+    def queue(self, at: Row | None = None) -> DataFrame:
+        """The queue after a commit (the last one): the base that it names, under the changes since."""
+        at = at or self.newest()
+        read = self.spark.read.schema(SCHEMAS["urls"])
+        base = read.parquet(f"{self.path}/base/round={at['base']}")
+        if at["round"] == at["base"]:
+            return base
+        rounds = [f"{self.path}/urls/round={n}" for n in range(at["base"] + 1, at["round"] + 1)]
+        changes = self.spark.read.schema(SCHEMAS["urls"]).option("basePath", f"{self.path}/urls").parquet(*rounds)
+        newest = changes.groupBy("id").agg(F.max_by(F.struct(*changes.columns), "round").alias("r")).select("r.*").drop("round")
+        return base.join(changes.select("id"), "id", "left_anti").select(*base.columns).unionByName(newest.select(*base.columns))
+
+    def finish(self, n: int, crawled: int, discovered: int, changed: int, queued: int, config: CrawlConfig) -> None:
+        """Commit round ``n`` after its tables are written, on a new base if the changes have outgrown the old one."""
+        before = self.newest()
+        since = self.commits().where(F.col("round") > before["base"]).agg(F.sum("changed")).first()[0] or 0
+        rows = self.commits().where(F.col("round") <= before["base"]).agg(F.sum("discovered")).first()[0] or 0
+        base = before["base"]
+        if since + changed > rows:
+            self.write("base", n, self.queue(Row(round=n, base=base)))
+            base = n
+        self.commit(n, crawled, discovered, changed, queued, base, config)
+        if base == n:
+            bases = [r[0] for r in self.commits().select("base").distinct().orderBy(F.desc("base")).limit(3).collect()]
+            if len(bases) == 3:
+                remove(self.spark, f"{self.path}/base/round={bases[2]}")
+                for old in range(bases[2] + 1, bases[1] + 1):
+                    remove(self.spark, f"{self.path}/urls/round={old}")
 
     def crawl(self) -> Crawl:
         """The snapshot after the last whole round. A url that was fetched again has its last answer, and
@@ -152,15 +202,14 @@ class Folder:
             for name in set(found) - {"urls", "responses", "page_facts"}:
                 key = "from_url_id" if name == "links" else "url_id"
                 found[name] = found[name].join(newest.withColumnRenamed("url_id", key), key).where("round = __newest")
-        said = self.spark.read.parquet(f"{self.path}/commits").orderBy(F.desc("round")).select("config_json", "at").first()
-        first = self.spark.read.parquet(f"{self.path}/commits").agg(F.min("at")).first()[0]
-        config = CrawlConfig.from_json(said[0])
-        done = found["urls"].where("state = 0").isEmpty()
+        said = self.newest()
+        first = self.commits().agg(F.min("at")).first()[0]
+        config = CrawlConfig.from_json(said["config_json"])
         try:
             found["external_metrics"] = self.spark.read.parquet(f"{self.path}/external_metrics.parquet")
         except AnalysisException:
             pass
-        found["crawl_meta"] = self.spark.createDataFrame([(1, normalise(config.seed_url), first, said[1] if done else None, said[0])], "id int, seed_url string, started_at double, finished_at double, config_json string")
+        found["crawl_meta"] = self.spark.createDataFrame([(1, normalise(config.seed_url), first, said["at"] if not said["queued"] else None, said["config_json"])], "id int, seed_url string, started_at double, finished_at double, config_json string")
         return Crawl.of(self.spark, **found)
 
 
@@ -200,8 +249,10 @@ def one_round(folder: Folder, n: int, urls: DataFrame, config: CrawlConfig, poli
     delay = policy.delay(agent) or 0
     # with a delay one task asks for one url after the other; a round then takes about ten minutes at most
     limit = max(1, min(limit, int(600 / delay))) if delay else limit
-    claimed = written(frontier.claim(urls, limit, limit), "claimed")
+    claimed = written(frontier.claim(urls, limit, host_share(limit, config)), "claimed")
+    queued = folder.newest()["queued"] - claimed.count()
     if claimed.isEmpty():
+        discard(claimed)
         return -1, 0
     blocked = written(extractions.keep_out(claimed, policy, agent), "blocked") if config.respect_robots else claimed.select("id").limit(0)
     asked = claimed.join(blocked, "id", "left_anti")
@@ -222,11 +273,12 @@ def one_round(folder: Folder, n: int, urls: DataFrame, config: CrawlConfig, poli
     found = found.unionByName(parts.select("url_hash", "url", "host", "path", F.lit("redirect").alias("kind"), F.lit(False).alias("nofollow"), F.col("depth").alias("parent_depth"), F.col("redirect_hops").alias("parent_hops"), "order"))
     found = found.withColumn("is_internal", frontier.is_internal(F.col("host"), rules).cast("int"))
     fresh = written(frontier.admit(urls, frontier.follow(found, rules), rules, now), "fresh")
-    marked = frontier.mark(urls, asked, DONE)
+    marked = frontier.mark(claimed, asked, DONE)
     marked = frontier.mark(marked, blocked, SKIPPED, F.lit(frontier.BLOCKED))
-    queue = written(marked.unionByName(fresh), "queue")
+    changes = written(marked.unionByName(fresh), "changes")
 
-    ids = queue.select(F.col("url_hash").alias("hash"), F.col("id").alias("to_id"), F.col("is_internal").alias("inside"))
+    known = ["url_hash", "id", "is_internal"]
+    ids = urls.select(*known).unionByName(fresh.select(*known)).select(F.col("url_hash").alias("hash"), F.col("id").alias("to_id"), F.col("is_internal").alias("inside"))
     edges = written(refs.join(ids, "hash").select("url_id", "to_id", "kind", "text", "rel", "position", "width", "height", "inside"), "edges")
     of = lambda kind: edges.where(F.col("kind") == kind)
     target = parts.join(ids, parts.url_hash == ids.hash).select("url_id", F.col("to_id").alias("redirect_target_id"))
@@ -252,12 +304,20 @@ def one_round(folder: Folder, n: int, urls: DataFrame, config: CrawlConfig, poli
         tables["extractions"] = tables["extractions"].unionByName(said)
     for name, df in tables.items():
         folder.write(name, n, df)
-    folder.write("urls", n, queue)
-    crawled, discovered = answers.count(), fresh.count()
-    folder.commit(n, crawled, discovered, config)
+    folder.write("urls", n, changes)
+    crawled = answers.count()
+    discovered, more = fresh.agg(F.count("*"), F.count_if(F.col("state") == 0)).first()
+    folder.finish(n, crawled, discovered, changes.count(), queued + more, config)
+    discard(claimed, blocked, answers, pages, parsed, fresh, changes, edges, facts, *([shown] if shown is not None else []))
     return crawled, discovered
 
 
+def host_share(limit: int, config: CrawlConfig) -> int:
+    """How many urls of a host a round may hold: as a host may have ``max_per_host`` of the ``workers``
+    requests under way, so it has that share of a round."""
+    return max(config.max_per_host, -(-limit * config.max_per_host // config.workers))
+
+
 def _split(moved: DataFrame) -> DataFrame:
     """Redirect targets with the parts of their urls."""
 
@@ -283,8 +343,7 @@ def crawl(spark: SparkSession, config: CrawlConfig, path: str, ask: Ask | None =
         starting = spark.createDataFrame([(u, i) for i, u in enumerate(listed)], "url string, ordinal long")
         found = sitemaps.expand(starting, sitemaps.asked(one), config.max_sitemaps)[0] if listed else None
         n = 1
-        folder.write("urls", n, seeded(spark, config, found, time.time()))
-        folder.commit(n, 0, folder.spark.read.parquet(f"{path}/urls/round={n}").count(), config)
+        folder.start(seeded(spark, config, found, time.time()), config)
     crawled, discovered = folder.counts()
     rounds = 0
     while (max_rounds is None or rounds < max_rounds) and not (stop and stop()):
@@ -294,7 +353,7 @@ def crawl(spark: SparkSession, config: CrawlConfig, path: str, ask: Ask | None =
             break
         n, rounds, crawled, discovered = n + 1, rounds + 1, crawled + got, discovered + new
         if on_progress:
-            on_progress(Progress(n, crawled, folder.queue().where("state = 0").count(), discovered))
+            on_progress(Progress(n, crawled, folder.newest()["queued"], discovered))
     return folder.crawl()
 
 

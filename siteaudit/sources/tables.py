@@ -25,7 +25,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it back, so that its lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/siteaudit-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read again."""
+    for t in tables:
+        if path := getattr(t, "_written", None):
+            remove(t.sparkSession, path)
 
 
 def numbered(df: DataFrame, by: str, name: str, start: int = 1, column: str = "id") -> DataFrame:

@@ -176,3 +176,37 @@ def test_natural_order_ink_and_cron_line(spark):
     inks = spark.createDataFrame([(0,), (200,), (301,), (404,), (None,)], "s int").select(X.status_ink(F.col("s")).alias("i")).collect()
     assert [r.i for r in inks] == ["critical", None, "warning", "critical", None]
     assert Schedule("https://e.com/?a=1&b='2'", 3).line("/usr/bin/python3") == "0 3 * * * /usr/bin/python3 -m siteaudit crawl 'https://e.com/?a=1&b='\"'\"'2'\"'\"'' --replace"
+
+
+def test_queue_is_a_base_and_changes(spark, tmp_path):
+    """Rounds write what they change; a base counts once a commit names it, and old ones go."""
+    from pyspark.sql import Row
+
+    folder = rounds.Folder(spark, str(tmp_path))
+    shape = "id long, url string, url_hash binary, host string, path string, depth int, is_internal int, discovered_at double, state int, redirect_hops int, check_only int, in_sitemap int, skip_reason string"
+    rows = {i: 0 for i in range(40)}
+
+    def table(ids):
+        made = [Row(id=i, url=f"u{i}", url_hash=None, host="h", path="/", depth=0, is_internal=1, discovered_at=0.0, state=rows[i], redirect_hops=0, check_only=0, in_sitemap=0, skip_reason=None) for i in ids]
+        return rounds.conform(spark.createDataFrame(made, shape), "urls")
+
+    folder.start(table(rows), CONFIG)
+    sizes, bases = [], set()
+    for n in range(2, 9):
+        changed = [(n * 7 + k) % 40 for k in range(10)]
+        fresh = [100 + n]
+        rows |= {i: n for i in changed} | {i: 0 for i in fresh}
+        folder.write("urls", n, table(changed + fresh))
+        # a base that no commit names, as of a round that broke off
+        folder.write("base", n, table([0]))
+        assert {r.id: r.state for r in folder.queue().collect()} != rows
+        folder.finish(n, 10, 1, 11, 30, CONFIG)
+        bases.add(folder.newest()["base"])
+        sizes.append(spark.read.parquet(f"{tmp_path}/urls/round={n}").count())
+        assert {r.id: r.state for r in folder.queue().collect()} == rows
+    assert set(sizes) == {11} and len(bases) in (2, 3) and folder.newest()["queued"] == 30
+
+
+def test_a_host_has_its_share_of_a_round():
+    assert rounds.host_share(10_000, CrawlConfig("https://e.com/")) == 4000 and rounds.host_share(1, CrawlConfig("https://e.com/")) == 2
+    assert rounds.host_share(100, CrawlConfig("https://e.com/", workers=4, max_per_host=4).clamped()) == 100
