@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from siteaudit.operators import body_index, ordinal
 from siteaudit.sources import pages as page_source
+from siteaudit.sources import sitemaps
+from siteaudit.sources.tables import new_folder, written
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +25,46 @@ def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select("page_id", "title", "title_count", "h1", "h1_count", "h2_count", "lang", "links", "images", "canonical", "word_count")
 
 
+def page_at_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """50 rows of the longest pages, from the hundredth on, without what lies before them."""
+    facts = page_source.page_facts(_pages(spark, sf_dir)).select("page_id", "title", "word_count")
+    order = [F.col("word_count").desc(), F.col("page_id")]
+    return ordinal.build(facts, order, new_folder(spark, "ordinals")).page(100, 50)
+
+
+#: Literals and a pattern; the last has no trigram that every hit must have.
+NEEDLES = (("track(7)", False), ("class=\"AD\"", False), (r"<!-- ad \d+5 -->", True), ("sh|zz", True))
+
+
+def body_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose html has a needle, and how many times."""
+    index = body_index.build(_pages(spark, sf_dir), new_folder(spark, "bodies"), "page_id", "html")
+    found = [index.search(n, is_regex).select(F.lit(n).alias("needle"), F.col("id").alias("page_id"), "matches") for n, is_regex in NEEDLES]
+    return reduce(DataFrame.unionByName, found)
+
+
+def sitemap_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' urls in sitemaps of a hundred pages, listed by seven indexes, listed by one; all followed
+    from that one."""
+    at = "https://sitemaps.test/"
+    pages = _pages(spark, sf_dir).where("url IS NOT NULL").selectExpr("page_id", "page_id DIV 100 AS num", "url")
+    loc = lambda tag: lambda x: F.concat(F.lit(f"<{tag}><loc>"), F.replace(F.replace(x["loc"], F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(f"</loc></{tag}>"))
+
+    def documents(rows: DataFrame, outer: str, tag: str) -> DataFrame:
+        """One document for each ``url`` of (url, place, loc)."""
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "loc"))), loc(tag))
+        return rows.groupBy("url").agg(F.encode(F.concat(F.lit(f"<{outer}>"), F.array_join(listed, ""), F.lit(f"</{outer}>")), "utf-8").alias("body"))
+
+    parts = pages.select("num").distinct().selectExpr(f"concat('{at}i', num % 7, '.xml') AS url", "num AS place", f"concat('{at}', num, '.xml') AS loc")
+    top = parts.selectExpr(f"'{at}top.xml' AS url", "place % 7 AS place", "url AS loc").distinct()
+    web = written(
+        documents(pages.selectExpr(f"concat('{at}', num, '.xml') AS url", "page_id AS place", "url AS loc"), "urlset", "url")
+        .unionByName(documents(parts, "sitemapindex", "sitemap")).unionByName(documents(top, "sitemapindex", "sitemap")), "sitemaps",
+    )
+    start = spark.createDataFrame([(f"{at}top.xml", 0)], "url string, ordinal long")
+    return sitemaps.expand(start, lambda todo: todo.join(web, "url", "left"), None)[0].select("url", "sitemap")
+
+
 #: Space as the reader takes it, and references that these pages use.
 _DECODED = "replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&amp;', '&')"
 _CLEAN = "nullif(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '')"
@@ -36,5 +82,15 @@ _PAGE_FACTS = f"""SELECT page_id, {_element('title')} AS title, CAST(len(regexp_
 CAST(len(regexp_extract_all(html, '<h2[ >]')) AS int) AS h2_count, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang, CAST(len(regexp_extract_all(html, '<a\\s[^>]*href="[^"]+"')) AS int) AS links, CAST(len(regexp_extract_all(html, '<img\\s[^>]*src="[^"]+"')) AS int) AS images,
 nullif(regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1), '') AS canonical, CAST(len(regexp_extract_all({_WORDS}, '\\S+')) AS int) AS word_count FROM pages"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (page_facts,)}
-ORACLES: dict[str, str] = {"page_facts": _PAGE_FACTS}
+def _hits(needle: str, is_regex: bool) -> str:
+    regex = needle if is_regex else re.escape(needle)
+    return f"SELECT '{needle}' AS needle, page_id, CAST(len(regexp_extract_all(html, '(?is){regex}')) AS int) AS matches FROM pages"
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (page_facts, page_at_ordinal, body_search, sitemap_expansion)}
+ORACLES: dict[str, str] = {
+    "page_facts": _PAGE_FACTS,
+    "page_at_ordinal": f"SELECT row_number() OVER (ORDER BY word_count DESC, page_id) - 1 AS ordinal, page_id, title, word_count FROM ({_PAGE_FACTS}) f ORDER BY ordinal LIMIT 50 OFFSET 100",
+    "body_search": f"SELECT * FROM ({' UNION ALL '.join(_hits(*n) for n in NEEDLES)}) h WHERE matches > 0",
+    "sitemap_expansion": "SELECT url, concat('https://sitemaps.test/', arg_min(num, (num % 7) * 1000000000 + num), '.xml') AS sitemap FROM (SELECT trim(url) AS url, page_id // 100 AS num FROM pages WHERE url IS NOT NULL) p GROUP BY url",
+}

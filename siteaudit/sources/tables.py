@@ -21,9 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A place of its own in the shared folder."""
+    return f"{shared_folder(spark)}/siteaudit-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it back, so that its lineage ends there."""
-    path = f"{shared_folder(df.sparkSession)}/siteaudit-{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
