@@ -8,9 +8,9 @@ that switch between languages: spans of labelled documents, joined at random, so
 transitions say how often text switches. Labels come from forward-backward marginals; a text's
 language is the one with the largest share of its words' marginals, and its score is that share.
 
-The model is fitted on at most ``DOCS`` labelled documents of each language (those of smallest
-hash) and at most ``SPANS`` spans of each, taken evenly over the whole text. Every text is read
-whole when it is labelled.
+The model is fitted on at most ``DOCS`` labelled documents of each language, those of smallest hash among the
+documents of at most ``TAUGHT`` characters, and on the whole of each. Every text of any length is read whole
+when it is labelled.
 
 Text that is null or has no letter is ``und`` with score 0, as is every text if there is nothing
 to learn from. Rows with null lang or null doc_id teach nothing. Ties go to the first language in
@@ -27,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siteaudit.llm.common import bound_batches, tidy
 
 UNKNOWN = "und"
 DOCS = 300
-SPANS = 30
+TAUGHT = 1_000_000
 SPAN = 10
 LEXICON = 300
 BUCKETS = 1 << 16
@@ -196,34 +197,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = DOCS) -> Model:
-    """Fit on the rows that are not held out, ``per_lang`` documents of each language at most."""
+def fit(docs: DataFrame, per_lang: int = DOCS, longest: int = TAUGHT) -> Model:
+    """Fit on the rows that are not held out: ``per_lang`` documents of each language at most, whole, of those
+    with no more than ``longest`` characters."""
     bound_batches(docs.sparkSession)
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).where(F.length("text") <= longest)
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32))
     share = F.lit(0).cast("long")
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, min(1 << 32, int((1 << 32) * 1.3 * per_lang / n) + 1)).otherwise(share)
+    # a language's rows by hash; copies of one row share it, and are cut off here as well
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    chosen = rows.select("lang", "text", at.alias("h"), share.alias("share")).where("h < share").withColumn("nth", nth).where(F.col("nth") <= per_lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, langs, hashes = [], [], []
-            for lang, text, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ws = words(text or "")
-                step = max(SPAN, len(ws) // SPANS)
-                out.append([" ".join(ws[i : i + SPAN]) for i in range(0, len(ws), step)][:SPANS])
-                langs.append(lang)
-                hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(hashes, pa.int64()), pa.array(out, pa.list_(pa.string()))], ["lang", "h", "spans"])
-
-    chosen = rows.where(at < share).select("lang", "text", at.alias("h")).mapInArrow(run, "lang string, h long, spans array<string>")
-    taken: Counter = Counter()
+            out = []
+            for t in b.column(1):
+                ws = words(t.as_py())
+                out.append([" ".join(ws[i : i + SPAN]) for i in range(0, len(ws), SPAN)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.string()))], ["lang", "nth", "spans"])
+
     spans = []
-    for r in chosen.orderBy("h", "lang", "spans").limit(2 * per_lang * max(1, len(counts))).collect():
-        if taken[r.lang] < per_lang:
-            taken[r.lang] += 1
-            spans += [(r.lang, s.split(" ")) for s in r.spans]
+    for r in chosen.select("lang", "text", "nth").mapInArrow(run, "lang string, nth int, spans array<string>").orderBy("lang", "nth").collect():
+        spans += [(r.lang, s.split(" ")) for s in r.spans]
     return train(spans)
 
 
