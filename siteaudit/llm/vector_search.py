@@ -11,8 +11,10 @@ and the best of all slices remain. Slices have one size, so recall does not fall
 Every row is indexed and keeps a random number that deals it to a chunk of about ``CHUNK`` rows;
 queries are dealt to blocks of about ``BLOCK``. Each block meets each chunk in one task, which keeps
 its best over the chunk's slices, so neither queries nor rows pass the driver (the sample alone
-does) and the plan has one size. The search is exhaustive over the codes: its work is queries times
-rows.
+does) and the plan has one size. Vectors of floats are shuffled as floats. A row is sent once for each
+block and a query once for each chunk, so both are as large as a task's memory allows; where that
+would be fewer tasks than cores, chunks are smaller, down to a slice. The search is exhaustive over the
+codes: its work is queries times rows.
 
 Vectors that are null, zero, of another length than the first book's, or hold null or non-finite
 components take no part, neither as query nor as candidate. Repeated ids are rows of their own; a
@@ -39,8 +41,8 @@ SAMPLE = 8192
 #: Rows that compete for one shortlist; of so many, each query reranks ``SHORTLIST``.
 SLICE = 8192
 SHORTLIST = 320
-#: Rows and queries that meet in one task.
-CHUNK, BLOCK = 16_384, 16_384
+#: Rows and queries that meet in one task, at most: about 70 MB of either.
+CHUNK, BLOCK = 131_072, 65_536
 ROUNDS = 8
 
 
@@ -140,15 +142,16 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """vec_id and embedding (doubles) of the rows that take part."""
-    vec = F.col("embedding").cast("array<double>")
+    """vec_id and embedding (doubles, or floats as they are) of the rows that take part."""
+    floats = rows.schema["embedding"].dataType.simpleString() == "array<float>"
+    vec = F.col("embedding") if floats else F.col("embedding").cast("array<double>")
     fine = F.size(vec) > 0
     fine &= ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vec, lambda x: x != 0)
     return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("embedding"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
@@ -162,6 +165,12 @@ def bounded_sample(rows: DataFrame, n: int, total: int) -> np.ndarray:
     return np.stack([v for v in found if len(v) == len(found[0])]) if found else np.empty((0, 0))
 
 
+def dealt(rows: int, queries: int, cells: int, chunk: int = CHUNK, block: int = BLOCK) -> tuple[int, int]:
+    """Into how many chunks and blocks to deal rows and queries, so that about ``cells`` tasks have work."""
+    blocks = max(1, -(-queries // block))
+    return max(1, -(-rows // chunk), min(-(-rows // SLICE), -(-cells // blocks))), blocks
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = SHORTLIST, sample: int = SAMPLE, measure: str = "ip", chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found for each query row. The score is the inner
     product, or with ``measure`` l2 the squared distance, negative."""
@@ -182,9 +191,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = SH
 
     # the random numbers are written, so that a task that runs again deals alike
     spread = F.xxhash64("vec_id", F.monotonically_increasing_id())
-    indexed = materialize(rows.select("vec_id", "embedding", spread.alias("spread")).mapInArrow(index, "vec_id long, embedding array<double>, spread long, codes binary, norm float"), "codes")
+    indexed = materialize(rows.select("vec_id", "embedding", spread.alias("spread")).mapInArrow(index, f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, spread long, codes binary, norm float"), "codes")
     asked = materialize(queries.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding", spread.alias("spread")), "queries")
-    chunks, blocks = (max(1, -(-t.count() // n)) for t, n in ((indexed, chunk), (asked, block)))
+    chunks, blocks = dealt(indexed.count(), asked.count(), 4 * spark.sparkContext.defaultParallelism, chunk, block)
     shape = "row long, query_id long, vec_id long, score double"
 
     def meet(own: pa.Table, held: pa.Table) -> pa.Table:
@@ -195,16 +204,16 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = SH
         row, qid, q = own.column("row").to_numpy(), own.column("vec_id").to_numpy(), matrix(own.column("embedding").combine_chunks())
         # a slice takes every so manieth row, so that slices are alike in size and kind
         slices = max(1, -(-held.num_rows // SLICE))
-        found = []
+        at, ids, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         for i in range(slices):
             part = held.take(pa.array(np.arange(i, held.num_rows, slices))).combine_chunks()
             codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(part.num_rows, -1)
-            found.append(best_of(q, qid, matrix(part.column("embedding").combine_chunks()), part.column("vec_id").to_numpy(), codes, part.column("norm").to_numpy(), books.value, k, shortlist, measure))
-        at, ids, scores = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.lexsort((ids, -scores, at))
-        at, ids, scores = at[order], ids[order], scores[order]
-        best = np.arange(len(at)) - np.searchsorted(at, at) < k
-        at, ids, scores = at[best], ids[best], scores[best]
+            found = best_of(q, qid, matrix(part.column("embedding").combine_chunks()), part.column("vec_id").to_numpy(), codes, part.column("norm").to_numpy(), books.value, k, shortlist, measure)
+            at, ids, scores = (np.concatenate(c) for c in zip((at, ids, scores), found, strict=True))
+            order = np.lexsort((ids, -scores, at))
+            at, ids, scores = at[order], ids[order], scores[order]
+            best = np.arange(len(at)) - np.searchsorted(at, at) < k
+            at, ids, scores = at[best], ids[best], scores[best]
         return pa.table([pa.array(row[at]), pa.array(qid[at]), pa.array(ids), pa.array(scores)], names=names)
 
     def cells(table: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:

@@ -44,3 +44,18 @@ def test_the_plan_does_not_grow_with_the_queries(spark, unlike):
     rows, _ = unlike
     plans = [V.search(rows.limit(300), rows.limit(n), k=3, block=b)._jdf.queryExecution().optimizedPlan().toString() for n, b in ((5, 50), (200, 10))]
     assert abs(len(plans[0].splitlines()) - len(plans[1].splitlines())) <= 1
+
+
+def test_what_is_shuffled_a_row(spark, unlike):
+    """Vectors go to each block once and to each chunk once: at ten times the rows they are sent so many times more."""
+    assert V.dealt(51_282, 2565, 24) == (7, 1) and V.dealt(100, 5, 24) == (1, 1) and V.dealt(0, 0, 24) == (1, 1)
+    for rows in (10**7, 10**8, 10**9):
+        chunks, blocks = V.dealt(rows, rows // 20, 4000)
+        copies = (blocks * rows + chunks * rows // 20) / rows
+        assert copies < 1.3 * rows / 20 / 65_536 + 0.05 * rows / 131_072 + 40
+    floats = unlike[0].withColumn("embedding", F.col("embedding").cast("array<float>"))
+    assert V.usable(floats).schema["embedding"].dataType.simpleString() == "array<float>"
+    some = floats.limit(3000).withColumn("embedding", F.col("embedding"))
+    double = some.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    one, two = (sorted(tuple(r) for r in V.search(t, t.where("vec_id % 250 = 0"), k=5).collect()) for t in (some, double))
+    assert one == two
