@@ -32,8 +32,8 @@ from pyspark.sql.window import Window
 from siteaudit.llm.common import bound_batches, tidy
 
 UNKNOWN = "und"
-DOCS = 300
-TAUGHT = 1_000_000
+DOCS = 150
+TAUGHT = 200_000
 SPAN = 10
 LEXICON = 300
 BUCKETS = 1 << 16
