@@ -1,7 +1,7 @@
 """Search over page bodies through an index of trigrams.
 
-``build`` writes (gram, id) for the distinct trigrams of each body, sorted by gram in range partitions, and how
-many bodies have each gram. A search asks for the rarest trigrams that every hit must have, opens only
+``build`` writes lists of ids for the distinct trigrams of the bodies, sorted by trigram in range partitions, and how
+many bodies have each. A task turns round the bodies that it reads, so a common trigram is as many short lists. A search asks for the rarest trigrams that every hit must have, opens only
 the bodies that have all of them, and looks there for the needle itself; so hits are those of a full
 scan. Trigrams are of ASCII characters, upper case as lower case, as search takes them to be the same; what has
 no three of them in a row that every hit must have (short needles, other scripts, alternatives at the top of a
@@ -23,6 +23,8 @@ from siteaudit.operators.inspector import pattern, snippet
 
 #: How many trigrams a search asks for, and the share of bodies from which on an index is no help.
 ASKED, SHARE = 4, 0.3
+#: Trigrams of bodies that a task turns round at a time, some 40 MB.
+HELD = 2_000_000
 #: Other characters that a search without regard to case takes for ASCII letters.
 _ALSO = str.maketrans({"\u017f": "s", "\u212a": "k", "\u0130": "i", "\u0131": "i"})
 
@@ -93,6 +95,24 @@ def required(needle: str, is_regex: bool = False) -> list[int]:
     return sorted({int(g) for p in parts for g in grams(p)})
 
 
+def lists(held: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+    """The trigrams of some bodies turned round: rows of a trigram, the first id and all ids' distances from it."""
+    gram = np.concatenate([g for g, _ in held])
+    ids = np.concatenate([np.full(len(g), i, np.int64) for g, i in held])
+    order = np.lexsort((ids, gram))
+    gram, ids = gram[order], ids[order]
+    new = np.concatenate(([True], gram[1:] != gram[:-1]))
+    again = np.concatenate(([False], (gram[1:] == gram[:-1]) & (ids[1:] == ids[:-1])))
+    gram, ids, new = gram[~again], ids[~again], new[~again]
+    # ids far apart go to rows of their own: by ranges of 2^31
+    block = ids >> 31
+    new |= np.concatenate(([True], block[1:] != block[:-1]))
+    starts = np.flatnonzero(new)
+    offsets = ids - np.repeat(ids[starts], np.diff(np.append(starts, len(ids))))
+    whole = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)), pa.int32()), pa.array(offsets, pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(gram[starts], pa.int32()), pa.array(ids[starts]), whole], ["gram", "first", "offsets"])
+
+
 @dataclass(frozen=True)
 class BodyIndex:
     """A written index. ``bodies`` gives (id, text) again, for the bodies that a search opens."""
@@ -112,7 +132,8 @@ class BodyIndex:
         if known.get(rare[0], 0) > SHARE * total:
             return None
         held = self.spark.read.parquet(f"{self.path}/postings").where(F.col("gram").isin(rare))
-        return held.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(rare)).select("id")
+        each = held.select("gram", F.explode(F.transform("offsets", lambda o: F.col("first") + o)).alias("id"))
+        return each.groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(rare)).select("id")
 
     def search(self, needle: str, is_regex: bool = False) -> DataFrame:
         """(id, matches, snippet) of every body with a hit. An invalid pattern matches nothing."""
@@ -142,13 +163,22 @@ def build(bodies: DataFrame, path: str, key: Column | str = "id", text: Column |
     own = bodies.select((F.col(key) if isinstance(key, str) else key).cast("long").alias("id"), (F.col(text) if isinstance(text, str) else text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, int]] = []
+        size = 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 found = grams(t.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), i, np.int64))], ["gram", "id"])
-
-    postings = own.mapInArrow(run, "gram int, id long").distinct()
-    postings.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/grams")
+                held.append((found, i))
+                size += len(found)
+                if size >= HELD:
+                    yield lists(held)
+                    held, size = [], 0
+        if size:
+            yield lists(held)
+
+    shape = "gram int, first long, offsets array<int>"
+    postings = own.mapInArrow(run, shape).repartitionByRange("gram", "first").sortWithinPartitions("gram", "first")
+    postings.write.mode("overwrite").parquet(f"{path}/postings")
+    spark.read.schema(shape).parquet(f"{path}/postings").groupBy("gram").agg(F.sum(F.size("offsets")).alias("n")).write.mode("overwrite").parquet(f"{path}/grams")
     own.agg(F.countDistinct("id").alias("n")).write.mode("overwrite").parquet(f"{path}/total")
     return BodyIndex(spark, path, own)

@@ -55,6 +55,14 @@ def test_search_agrees_with_a_full_scan(spark, tmp_path):
     assert index.candidates("rare needle").count() == 1 and index.candidates("nothing at all").count() == 0 and index.candidates("ca") is None and index.candidates("alpha") is None
 
 
+def test_ids_far_apart(spark, tmp_path, monkeypatch):
+    ids = [5, 2**31 - 1, 2**31, 2**40 + 3, -(2**33), 5]
+    held = body_index.lists([(body_index.grams("abcd"), i) for i in ids]).to_pylist()
+    assert {(r["gram"], r["first"] + o) for r in held for o in r["offsets"]} == {(int(g), i) for g in body_index.grams("abcd") for i in ids} and sum(len(r["offsets"]) for r in held) == 10
+    index = body_index.build(spark.createDataFrame([(i, "abcd") for i in ids[:5]] + [(i, "none") for i in range(100, 120)], "id long, text string"), str(tmp_path))
+    assert sorted(r.id for r in index.candidates("bcd").collect()) == sorted(ids[:5])
+
+
 def test_bodies_of_pages(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     index = body_index.build(pages, str(tmp_path), "page_id", "html")
