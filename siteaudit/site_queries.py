@@ -9,9 +9,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteaudit.operators import body_index, ordinal
+from siteaudit.operators import body_index, ordinal, tally
+from siteaudit.plans import second
+from siteaudit.plans.wide import base_rows, wide_view
+from siteaudit.queries import crawl_and_view
 from siteaudit.sources import pages as page_source
 from siteaudit.sources import sitemaps
+from siteaudit.sources.crawl import Crawl
 from siteaudit.sources.tables import new_folder, written
 
 
@@ -65,6 +69,20 @@ def sitemap_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitemaps.expand(start, lambda todo: todo.join(web, "url", "left"), None)[0].select("url", "sitemap")
 
 
+#: Tables by the column of the page that a row was found on or belongs to.
+_FOUND = {"responses": "url_id", "page_facts": "url_id", "links": "from_url_id", "images": "url_id", "resources": "url_id", "hreflang": "url_id", "structured_data": "url_id", "extractions": "url_id", "external_metrics": "url_id"}
+
+
+def counts_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all filters, noted while the pages in German had not been fetched and moved when they came."""
+    after = crawl_and_view(spark, sf_dir)[0]
+    late = written(after.page_facts.where("lang = 'de'").select(F.col("url_id").alias("id")), "late")
+    before = Crawl(spark, dict(after.tables) | {n: after.tables[n].join(late.withColumnRenamed("id", c), c, "left_anti") for n, c in _FOUND.items()})
+    path, old = new_folder(spark, "tally"), base_rows(before)
+    tally.start(wide_view(before, base=old), path)
+    return tally.advance(before, after, late, path, old)
+
+
 #: Space as the reader takes it, and references that these pages use.
 _DECODED = "replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&amp;', '&')"
 _CLEAN = "nullif(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '')"
@@ -87,10 +105,11 @@ def _hits(needle: str, is_regex: bool) -> str:
     return f"SELECT '{needle}' AS needle, page_id, CAST(len(regexp_extract_all(html, '(?is){regex}')) AS int) AS matches FROM pages"
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (page_facts, page_at_ordinal, body_search, sitemap_expansion)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (page_facts, page_at_ordinal, body_search, sitemap_expansion, counts_maintained)}
 ORACLES: dict[str, str] = {
     "page_facts": _PAGE_FACTS,
     "page_at_ordinal": f"SELECT row_number() OVER (ORDER BY word_count DESC, page_id) - 1 AS ordinal, page_id, title, word_count FROM ({_PAGE_FACTS}) f ORDER BY ordinal LIMIT 50 OFFSET 100",
+    "counts_maintained": second.counts(),
     "body_search": f"SELECT * FROM ({' UNION ALL '.join(_hits(*n) for n in NEEDLES)}) h WHERE matches > 0",
     "sitemap_expansion": "SELECT url, concat('https://sitemaps.test/', arg_min(num, (num % 7) * 1000000000 + num), '.xml') AS sitemap FROM (SELECT trim(url) AS url, page_id // 100 AS num FROM pages WHERE url IS NOT NULL) p GROUP BY url",
 }
