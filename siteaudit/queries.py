@@ -20,19 +20,28 @@ from siteaudit.sources.crawl import Crawl
 from siteaudit.sources.derived import derive
 from siteaudit.sources.tables import shared_folder, written
 
-_KNOWN: dict[tuple[str, str], tuple[Crawl, DataFrame]] = {}
+_CRAWLS: dict[tuple[str, str], Crawl] = {}
+_VIEWS: dict[tuple[str, str], DataFrame] = {}
 
 
-def crawl_and_view(spark: SparkSession, sf_dir: str) -> tuple[Crawl, DataFrame]:
-    """The derived crawl and its wide view, each written once a session and read from then on."""
+def derived_crawl(spark: SparkSession, sf_dir: str) -> Crawl:
+    """The derived crawl, written once a session and read from then on."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _KNOWN:
+    if key not in _CRAWLS:
         pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
         path = f"{shared_folder(spark)}/siteaudit-crawl-{abs(hash(key)):x}"
         derive(spark, pages, lambda name, df: written(df, f"derived-{name}")).save(path, "overwrite")
-        crawl = Crawl.load(spark, path)
-        _KNOWN[key] = crawl, written(wide_view(crawl), "view")
-    return _KNOWN[key]
+        _CRAWLS[key] = Crawl.load(spark, path)
+    return _CRAWLS[key]
+
+
+def crawl_and_view(spark: SparkSession, sf_dir: str) -> tuple[Crawl, DataFrame]:
+    """The derived crawl and its wide view, written once a session too."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    crawl = derived_crawl(spark, sf_dir)
+    if key not in _VIEWS:
+        _VIEWS[key] = written(wide_view(crawl), "view")
+    return crawl, _VIEWS[key]
 
 
 def _members(report) -> Callable[[SparkSession, str], DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siteaudit.operators import body_index, ordinal, tally
 from siteaudit.plans import second
 from siteaudit.plans.wide import base_rows, wide_view
-from siteaudit.queries import crawl_and_view
+from siteaudit.queries import derived_crawl
 from siteaudit.sources import pages as page_source
 from siteaudit.sources import sitemaps
 from siteaudit.sources.crawl import Crawl
@@ -75,10 +75,12 @@ _FOUND = {"responses": "url_id", "page_facts": "url_id", "links": "from_url_id",
 
 def counts_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all filters, noted while the pages in German had not been fetched and moved when they came."""
-    after = crawl_and_view(spark, sf_dir)[0]
+    after = derived_crawl(spark, sf_dir)
     late = written(after.page_facts.where("lang = 'de'").select(F.col("url_id").alias("id")), "late")
-    before = Crawl(spark, dict(after.tables) | {n: after.tables[n].join(late.withColumnRenamed("id", c), c, "left_anti") for n, c in _FOUND.items()})
-    path, old = new_folder(spark, "tally"), base_rows(before)
+    path = new_folder(spark, "tally")
+    Crawl(spark, dict(after.tables) | {n: after.tables[n].join(late.withColumnRenamed("id", c), c, "left_anti") for n, c in _FOUND.items()}).save(f"{path}/before")
+    before = Crawl.load(spark, f"{path}/before")
+    old = base_rows(before)
     tally.start(wide_view(before, base=old), path)
     return tally.advance(before, after, late, path, old)
 
