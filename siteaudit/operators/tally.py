@@ -62,7 +62,7 @@ def _commit(changes: DataFrame, path: str, batch: int) -> None:
 
 
 def start(pv: DataFrame, path: str) -> DataFrame:
-    """Batch 0 from a whole view. The counts after it."""
+    """Batch 0 from a whole view, best a written one. The counts after it."""
     _flags(pv).write.mode("overwrite").parquet(f"{path}/flags/batch=0")
     held = _read(pv.sparkSession, f"{path}/flags", _FLAGS).where("batch = 0")
     _commit(held.select(F.explode("held").alias("position")).groupBy("position").agg(F.count("*").alias("n")), path, 0)
@@ -96,8 +96,10 @@ def affected(before: Crawl, after: Crawl, old: DataFrame, new: DataFrame, touche
     for crawl, base in ((before, old), (after, new)):
         edges = [(crawl.tables[t], at, out) for t, at, out in _EDGES] + [(base, c, "id") for c in ("canonical_id", "redirect_target_id")]
         parts += [df.select(F.col(at).alias("at"), F.col(out).alias("id")).join(touched.withColumnRenamed("id", "at"), "at", "left_semi").select("id") for df, at, out in edges]
-    parts.append(asked_keys(new).join(_crossed(old, new, touched), ["kind", "key"], "left_semi").select("id"))
-    around = near_fingerprints(new, of=_turned(old, new, touched)).select(F.col("c").alias("simhash")).distinct()
+    # each written by itself: the driver holds a plan as often as it has exchanges
+    crossed, turned = written(_crossed(old, new, touched), "crossed"), written(_turned(old, new, touched), "turned")
+    parts.append(asked_keys(new).join(crossed, ["kind", "key"], "left_semi").select("id"))
+    around = written(near_fingerprints(new, of=turned).select(F.col("c").alias("simhash")).distinct(), "around")
     parts.append(new.join(around, "simhash", "left_semi").select("id"))
     return reduce(DataFrame.union, parts).where("id IS NOT NULL").distinct()
 
@@ -115,11 +117,12 @@ def advance(before: Crawl, after: Crawl, touched: DataFrame, path: str, old: Dat
     touched = written(touched.select("id").where("id IS NOT NULL").distinct(), "touched")
     ids = written(affected(before, after, old, new, touched), "affected")
     # urls that are gone have no row of the view: they are in no filter
-    now = ids.join(_flags(wide_view(after, ids, new)), "id", "left").select("id", F.coalesce("held", F.array().cast("array<int>")).alias("held"))
+    view = written(wide_view(after, ids, new), "view")
+    now = ids.join(_flags(view), "id", "left").select("id", F.coalesce("held", F.array().cast("array<int>")).alias("held"))
     now.write.mode("overwrite").parquet(f"{path}/flags/batch={batch}")
     notes = _read(spark, f"{path}/flags", _FLAGS).where(F.col("batch") <= batch).join(ids, "id", "left_semi")
     was = notes.where(F.col("batch") < batch).groupBy("id").agg(F.max_by("held", "batch").alias("held"))
     side = lambda df, sign: df.select(F.explode("held").alias("position"), F.lit(sign).cast("long").alias("n"))
     _commit(side(was, -1).union(side(notes.where(F.col("batch") == batch), 1)).groupBy("position").agg(F.sum("n").alias("n")), path, batch)
-    discard(touched, ids, new, *([old] if mine else []))
+    discard(touched, ids, view, new, *([old] if mine else []))
     return counts(spark, path, batch)

@@ -81,7 +81,7 @@ def counts_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
     Crawl(spark, dict(after.tables) | {n: after.tables[n].join(late.withColumnRenamed("id", c), c, "left_anti") for n, c in _FOUND.items()}).save(f"{path}/before")
     before = Crawl.load(spark, f"{path}/before")
     old = base_rows(before)
-    tally.start(wide_view(before, base=old), path)
+    tally.start(written(wide_view(before, base=old), "view"), path)
     return tally.advance(before, after, late, path, old)
 
 
