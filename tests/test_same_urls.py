@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tests.conftest import SF
 
-ROWS_APART = ("compare_added",)
+ROWS_APART = ("compare_added", "compare_changes")
 
 
 @pytest.fixture(scope="module")
