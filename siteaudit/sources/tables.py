@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,24 @@ def discard(*tables: DataFrame) -> None:
             remove(t.sparkSession, path)
 
 
+#: Joins by size: a table below the threshold passes the driver whole.
+_BROADCASTS = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+@contextmanager
+def without_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Joins that run inside shuffle both sides, unless a broadcast is asked for. A plan of many joins over
+    tables that are still small would send each of them through the driver, and hold them there together."""
+    was = {k: spark.conf.get(k, None) for k in _BROADCASTS}
+    for k in _BROADCASTS:
+        spark.conf.set(k, "-1")
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def numbered(df: DataFrame, by: str, name: str, start: int = 1, column: str = "id") -> DataFrame:
     """The rows with numbers from ``start`` in order of ``by``, without gathering them in one task: range
     partitions are written, counted, and each is numbered from the sum of those before it."""
