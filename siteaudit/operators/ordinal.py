@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteaudit.sources.tables import discard, written
+
 _ROW = (1 << 33) - 1  # what monotonically_increasing_id() counts within a partition
 
 
@@ -53,15 +55,18 @@ class Ordinals:
 
 
 def build(rows: DataFrame, order: list[Column], path: str, partitions: int | None = None) -> Ordinals:
-    """Write the rows in this order and open them."""
+    """Write the rows in this order and open them. They are written as they come first: range partitions look
+    at their rows once more, and what gives them may be costly."""
     spark = rows.sparkSession
+    rows = written(rows, "unordered")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     numbered = numbered.select(*rows.columns, F.shiftright("__at", 33).cast("int").alias("part"), F.col("__at").bitwiseAND(F.lit(_ROW)).alias("nth"))
     numbered.write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
     spark.createDataFrame([], numbered.schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/shape")
-    written = spark.read.schema(numbered.schema).parquet(f"{path}/rows")
-    written.groupBy("part").agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
+    placed = spark.read.schema(numbered.schema).parquet(f"{path}/rows")
+    placed.groupBy("part").agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
+    discard(rows)
     return load(spark, path)
 
 

@@ -18,7 +18,7 @@ from siteaudit.functions.html_facts import Facts, parse
 from siteaudit.functions.serp import width
 from siteaudit.functions.urls import host_and_path, normalise, url_hash
 from siteaudit.sources.crawl import Crawl
-from siteaudit.sources.tables import written
+from siteaudit.sources.tables import bound_batches, written
 
 _REFS = "array<struct<kind:string,hash:binary,url:string,host:string,path:string,text:string,rel:string,position:int,width:int,height:int>>"
 PARSED = f"""given string, url string, url_hash binary, host string, path string, title string, title_count int, meta_description string, meta_description_count int, h1 string, h1_count int, h2 string, h2_count int,
@@ -66,6 +66,7 @@ def parse_pages(pages: DataFrame, reader: Callable[[str | None], Facts] = parse)
                 rows = [r for u, h in zip(part["url"][lo : lo + 200], part["html"][lo : lo + 200], strict=True) if (r := read_page(u, h, reader))]
                 yield pd.DataFrame(rows, columns=names, dtype=object)
 
+    bound_batches(pages.sparkSession)
     return pages.select("url", "html").mapInPandas(run, PARSED)
 
 
@@ -91,6 +92,7 @@ def page_facts(pages: DataFrame, key: str = "page_id", reader: Callable[[str | N
                 own = part.iloc[lo : lo + 200]
                 yield pd.DataFrame([row(k, h) for k, h in zip(own["__key"], own["html"], strict=True)], columns=names, dtype=object)
 
+    bound_batches(pages.sparkSession)
     return pages.select(F.col(key).alias("__key"), "html").mapInPandas(run, schema).withColumnRenamed("__key", key)
 
 

@@ -50,6 +50,19 @@ def discard(*tables: DataFrame) -> None:
             remove(t.sparkSession, path)
 
 
+#: What of pages goes to a Python worker at a time: rows of Arrow batches are counted, and pages have any length.
+PAGE_BATCH = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have pages go to Python in batches of ``PAGE_BATCH`` bytes at most; a smaller setting stays. It holds for the
+    session, as plans that are run later read it then."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(key, None) or "").lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= PAGE_BATCH:
+        spark.conf.set(key, str(PAGE_BATCH))
+
+
 #: Joins by size: a table below the threshold passes the driver whole.
 _BROADCASTS = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
 

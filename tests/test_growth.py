@@ -1,9 +1,13 @@
 """What passes the driver or a Python worker does not grow with the pages."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from siteaudit import queries, site_queries
+from siteaudit.functions.html_facts import Facts
+from siteaudit.operators import ordinal
 from siteaudit.sources import tables
+from siteaudit.sources.pages import page_facts
 from tests.conftest import SF
 
 
@@ -48,3 +52,17 @@ def test_setting_comes_back(spark):
         assert spark.conf.get(key) == "-1"
         raise ValueError
     assert spark.conf.get(key) == was
+
+
+def test_pages_are_read_once_and_in_small_batches(spark, pages, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    read = spark.sparkContext.accumulator(0)
+
+    def reader(html):
+        read.add(1)
+        return Facts(word_count=len(html or ""))
+
+    facts = page_facts(spark.read.parquet(f"{pages}/pages.parquet"), reader=reader).select("page_id", "word_count")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(tables.PAGE_BATCH)
+    order = ordinal.build(facts, [F.col("word_count").desc(), F.col("page_id")], str(tmp_path))
+    assert read.value == order.total == 40
