@@ -48,7 +48,7 @@ GRAM = 16
 #: Windows that share a minimizer stand this close at most.
 SPREAD = LENGTH - GRAM + 1
 GROUP_BYTES = 8 << 20
-SHARD_BYTES = 1 << 16
+SHARD_BYTES = 1 << 15
 #: Buckets of segments for each document group: what a bucket's merge holds is this much less.
 BUCKETS_A_GROUP = 16
 #: Occurrences of one minimizer that are merged in one place.
@@ -57,6 +57,7 @@ HOT = 1 << 14
 STEP, ENDS = 5, 8
 _CHUNK = 1 << 16
 _KEY_BITS = 48
+_PLACE_BITS = 24
 _PART_BITS = 15
 
 # ---- segments -------------------------------------------------------------------------------
@@ -132,9 +133,9 @@ def shard_transform(raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.n
     ends, n = np.repeat(end, size), total + ENDS * texts
     symbols = np.zeros(n + STEP, np.uint8)
     symbols[place] = raw + 1
-    key = np.zeros(n, np.uint64)
-    for i in range(STEP):
-        key = (key << np.uint64(8)) | symbols[i : i + n]
+    pair = (symbols[:-1].astype(np.uint16) << 8) | symbols[1:]
+    four = (pair[:-2].astype(np.uint32) << 16) | pair[2:]
+    key = (four[:n].astype(np.uint64) << np.uint64(8)) | symbols[STEP - 1 : STEP - 1 + n]
     sorted_keys, order = _stably(key[place])
     head = np.ones(total, bool)
     head[1:] = sorted_keys[1:] != sorted_keys[:-1]
@@ -144,21 +145,29 @@ def shard_transform(raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.n
     bits = np.uint64(max(1, (total + texts).bit_length()))
     if 3 * int(bits) > 64:
         raise ValueError("the shard is too large")
-    width = STEP
-    while not head.all():
+    width, at = STEP, None
+    while True:
         # only suffixes that share a rank are ordered anew, by the rank ``width`` further on; a tie
         # reaches past an end only if both end at once, and the end's rank, by text, decides
         tied = ~head
-        tied[:-1] |= ~head[1:]
-        at = np.flatnonzero(tied)
-        where = place[order[at]]
-        after = rank[np.minimum(where + width, ends[order[at]])]
-        packed = (((rank[where].astype(np.uint64) << bits) | after.astype(np.uint64)) << bits) | order[at].astype(np.uint64)
+        tied[:-1] |= tied[1:]
+        at = np.flatnonzero(tied) if at is None else at[tied]
+        if not len(at):
+            break
+        old = order[at]
+        where = place[old]
+        packed = rank[where].astype(np.uint64)
+        packed <<= bits
+        packed |= rank[np.minimum(where + width, ends[old])].astype(np.uint64)
+        packed <<= bits
+        packed |= old.astype(np.uint64)
         packed.sort()
-        order[at] = (packed & np.uint64((1 << int(bits)) - 1)).astype(np.int32)
+        old = (packed & np.uint64((1 << int(bits)) - 1)).astype(np.int32)
+        order[at] = old
         packed >>= bits
-        head[at[1:]] = packed[1:] != packed[:-1]
-        rank[place[order[at]]] = texts + np.maximum.accumulate(np.where(head[at], at, 0)).astype(np.int32)
+        head = np.ones(len(at), bool)
+        head[1:] = packed[1:] != packed[:-1]
+        rank[place[old]] = texts + np.maximum.accumulate(np.where(head, at, 0)).astype(np.int32)
         width *= 2
     suffixes = np.concatenate((end, place[order]))
     rank[suffixes] = np.arange(len(suffixes), dtype=np.int32)
@@ -177,21 +186,33 @@ def merge_transforms(before: np.ndarray, left: np.ndarray, now: np.ndarray, colo
     Blocks of one colour only are left out: whatever they are refined into has one colour too."""
     if length % STEP:
         raise ValueError("each round adds STEP symbols")
-    which, block = np.arange(len(now), dtype=np.int32), np.zeros(len(now), np.int32)  # nothing is compared yet
+    # what is looked up or dealt together is kept in one word: symbols and mapping, colour and place
+    joint = (before << np.uint64(_PLACE_BITS)) | (left + 1).astype(np.uint64) if len(before) < (1 << _PLACE_BITS) - 1 and 8 * STEP + _PLACE_BITS <= 64 else None
+    tag = (colour.astype(np.int64) << 32) | np.arange(len(now))
+    block = np.zeros(len(now), np.int32)  # nothing is compared yet
     for _ in range(length // STEP):
-        symbols, by = _stably(before[now])
-        if not len(by):
+        if not len(now):
             break
-        block, now, which, colour = block[by], left[now[by]], which[by], colour[by]
+        if joint is None:
+            key, now = before[now], left[now]
+        else:
+            found = joint[now]
+            key, now = found >> np.uint64(_PLACE_BITS), (found & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int32) - np.int32(1)
+        symbols, by = _stably(key)
+        held, tag = block[by], tag[by]
         fresh = np.ones(len(by), bool)
-        fresh[1:] = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
-        heads = np.flatnonzero(fresh)
-        n = np.diff(np.append(heads, len(by)))
-        mixed = np.minimum.reduceat(colour, heads) != np.maximum.reduceat(colour, heads)
-        stay = np.repeat(mixed, n)
-        now, which, colour = now[stay], which[stay], colour[stay]
-        block = np.repeat(np.arange(np.count_nonzero(mixed), dtype=np.int32), n[mixed])
-    return which, block
+        np.not_equal(symbols[1:], symbols[:-1], out=fresh[1:])
+        fresh[1:] |= held[1:] != held[:-1]
+        block = np.cumsum(fresh, dtype=np.int32)
+        # a block with a second colour has it beside another one
+        tint = (tag >> 32).astype(np.int32)
+        mixed = np.zeros(block[-1] + 1, bool)
+        mixed[block[1:][(tint[1:] != tint[:-1]) & ~fresh[1:]]] = True
+        stay = mixed[block]
+        if not stay.all():
+            by, block, tag = by[stay], block[stay], tag[stay]
+        now = now[by]
+    return (tag & 0xFFFFFFFF).astype(np.int32), block
 
 
 def repeated_windows(raw: np.ndarray, size: np.ndarray, docs: np.ndarray, shard_bytes: int = SHARD_BYTES, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:

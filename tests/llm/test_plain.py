@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siteaudit.llm import bench_join, langid, packing, resampling, sharding, simhash
+from siteaudit.llm import bench_join, bwt_dedup, langid, packing, resampling, sharding, simhash
 from tests.llm.test_llm import brute_removal, odd_documents
 from tests.llm.test_packing import plain_pack
 
@@ -213,3 +213,21 @@ def test_stages_take_odd_rows(spark, planted):
     assert (7, "ünï cødé — ÄÖÜ words") in near and len([1 for _, t in near if not (t or "").strip()]) == 1 and (8, None) not in near
     left = Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in corpus_pipeline.repeated_passages(spark, odd, planted).collect())
     assert left == Counter((i, h) for (i, _, _, _, h), n in brute_removal([(r.doc_id, r.text) for r in odd.collect()]).items() for _ in range(n))
+
+
+def test_merge_of_many_shards_is_that_of_two():
+    """Interleaves of small and large shards, and places too many for one word, give the same windows."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(97, 123, (40, 30), np.uint8)
+    texts = [np.concatenate(words[rng.integers(0, 40, 3)]) for _ in range(600)]
+    raw, size, docs = np.concatenate(texts), np.full(600, 90), rng.integers(0, 200, 600)
+    plain: dict[bytes, int] = {}
+    for t, d in zip(texts, docs.tolist(), strict=True):
+        for i in range(41):
+            w = t[i : i + 50].tobytes()
+            plain[w] = min(d, plain.get(w, d))
+    wanted = [plain[t[i : i + 50].tobytes()] for t in texts for i in range(41)]
+    for shard_bytes, bits in ((1 << 15, 24), (1 << 10, 24), (1 << 15, 4)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(bwt_dedup, "_PLACE_BITS", bits)
+            assert bwt_dedup.repeated_windows(raw, size, docs, shard_bytes)[0].tolist() == wanted
