@@ -91,7 +91,8 @@ def statement(sql: str, dialect: str) -> str:
     sql = re.sub(r"\{sha256\((.*?)\)\}", sha, sql)
     sql = re.sub(r"\{bytes\((.*?)\)\}", size, sql)
     sql = sql.replace("{links}", _LINKS[dialect]).replace("{prints}", _PRINTS[dialect]).replace("{{", "{").replace("}}", "}")
-    return sql if dialect == "spark" else re.sub(r"\bAS string\b", "AS varchar", sql)
+    # DuckDB's concat leaves NULLs out: a page without an url has links, one without html an empty second heading
+    return sql.replace("concat(", "concat_ws('', ") if dialect == "spark" else re.sub(r"\bAS string\b", "AS varchar", sql)
 
 
 def ctes(dialect: str) -> str:

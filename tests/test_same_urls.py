@@ -1,4 +1,4 @@
-"""Queries against their SQL on pages of which several have one url, and whose titles are cut anywhere."""
+"""Queries against their SQL on pages of which several have one url or none, and whose titles are cut anywhere."""
 
 from collections import Counter
 
@@ -44,6 +44,20 @@ def test_what_is_left_of_a_cut_reference_stays(spark, pages):
     assert not differing(spark, pages, "page_facts")
 
 
+@pytest.fixture(scope="module")
+def blank_pages(spark, tmp_path_factory):
+    """Pages of which some have no url and some no html."""
+    path = str(tmp_path_factory.mktemp("blank"))
+    gone = {"url": F.when(F.col("page_id") % 7 != 0, F.col("url")), "html": F.when(F.col("page_id") % 9 != 2, F.col("html"))}
+    spark.read.parquet(f"{SF}/pages.parquet").where("page_id < 40").withColumns(gone).coalesce(1).write.parquet(f"{path}/pages.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ("band_totals", "counts_all", "report_metaDescription", "report_table_headings", "compare_changes", "compare_removed", "compare_totals"))
+def test_pages_without_url_or_html(spark, blank_pages, name):
+    assert not differing(spark, blank_pages, name)
+
+
 def test_whole_references():
     assert whole_references("a &amp; b &amp &ampx; &#65; &#x42; &#65 &am") == "a & b &amp &ampx; A B &#65 &am"
     assert parse("<title>A &amp</title>").title == "A &" and parse("<title>A &amp</title>", whole_references).title == "A &amp"
