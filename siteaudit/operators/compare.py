@@ -1,4 +1,5 @@
-"""What changed between two crawls. Urls are the same where their hashes are."""
+"""What changed between two crawls. Urls are the same where their hashes are. Both sides of a join have
+rows in the number of urls, so they are shuffled and merged at any size: none passes the driver."""
 
 from __future__ import annotations
 
@@ -13,9 +14,9 @@ FIELDS = (("Status", "status"), ("Title", "title"), ("Meta Description", "meta_d
 
 def _facts(crawl: Crawl) -> DataFrame:
     f, r, u = crawl.page_facts, crawl.responses, crawl.urls
-    rows = u.select("id", "url", "url_hash").join(r.select(F.col("url_id").alias("id"), "status"), "id", "left")
-    rows = rows.join(f.select(F.col("url_id").alias("id"), "title", "meta_description", "h1", "canonical_id", "meta_robots", "x_robots_tag"), "id", "left")
-    rows = rows.join(u.select(F.col("id").alias("canonical_id"), F.col("url").alias("canonical_url")), "canonical_id", "left")
+    rows = u.select("id", "url", "url_hash").join(r.select(F.col("url_id").alias("id"), "status").hint("merge"), "id", "left")
+    rows = rows.join(f.select(F.col("url_id").alias("id"), "title", "meta_description", "h1", "canonical_id", "meta_robots", "x_robots_tag").hint("merge"), "id", "left")
+    rows = rows.join(u.select(F.col("id").alias("canonical_id"), F.col("url").alias("canonical_url")).hint("merge"), "canonical_id", "left")
     label = X.indexability(F.col("status"), F.col("meta_robots"), F.col("x_robots_tag"), F.col("canonical_id"), F.col("id"))
     return rows.withColumn("indexability", label).withColumn("crawled", F.col("status").isNotNull())
 
@@ -38,7 +39,7 @@ def changes(now: Crawl, before: Crawl) -> DataFrame:
     """(url, field, before, after) in one pass: both sides are joined once, then compared field by
     field. NULL and a value differ, NULL and NULL do not."""
     old = _facts(before).select("url_hash", F.col("crawled").alias("was_crawled"), *[F.col(c).cast("string").alias(f"old_{c}") for _, c in FIELDS])
-    both = _facts(now).join(old, "url_hash").where("crawled OR was_crawled")
+    both = _facts(now).join(old.hint("merge"), "url_hash").where("crawled OR was_crawled")
     each = F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"old_{c}").alias("before"), F.col(c).cast("string").alias("after")) for n, c in FIELDS])
     return both.select("url", F.explode(F.filter(each, lambda e: ~e["before"].eqNullSafe(e["after"]))).alias("e")).select("url", "e.*")
 
