@@ -1,4 +1,4 @@
-"""What changed between two crawls. Urls are the same where their hashes are. Both sides of a join have
+"""What changed between two crawls. Urls are the same where their hashes are. Both sides of each join have
 rows in the number of urls, so they are shuffled and merged at any size: none passes the driver."""
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def _facts(crawl: Crawl) -> DataFrame:
 
 def _only_in(a: Crawl, b: Crawl) -> DataFrame:
     crawled = a.responses.select(F.col("url_id").alias("id"))
-    return a.urls.join(crawled, "id", "left_semi").join(b.urls.select("url_hash"), "url_hash", "left_anti").select("url")
+    return a.urls.join(crawled.hint("merge"), "id", "left_semi").join(b.urls.select("url_hash").hint("merge"), "url_hash", "left_anti").select("url")
 
 
 def added(now: Crawl, before: Crawl) -> DataFrame:
