@@ -45,7 +45,7 @@ def test_only_small_tables_are_broadcast(spark, pages, monkeypatch, name):
     assert broadcasts(spark, lambda: query(spark, pages).collect()) <= ASKED[name]
 
 
-@pytest.mark.parametrize("name", ("compare_changes", "compare_removed"))
+@pytest.mark.parametrize("name", ("compare_changes", "compare_removed", "compare_totals"))
 def test_compared_crawls_are_not_broadcast(spark, pages, name):
     queries.crawl_and_view(spark, pages)
     assert broadcasts(spark, lambda: queries.QUERIES[name](spark, pages).collect()) == 0
